@@ -107,7 +107,7 @@ def detect_language(spark, sf):
 
 @query("content_fingerprint", oracle(
     f"""WITH {CLASSIFIED} SELECT file_id, CASE WHEN status = 'OK' THEN sha256(content) END AS content_hash,
-        CASE WHEN status = 'OK' AND {LANG.format(s=SUFFIX.format(p='path'))} IS NOT NULL THEN length(decode(content)) END AS text_length
+        CASE WHEN status = 'OK' AND {LANG.format(s=SUFFIX.format(p='path'))} IS NOT NULL THEN length(decode(content, 'replace')) END AS text_length
         FROM classified""", "raw_files"))
 def content_fingerprint(spark, sf):
     done = I.content_fingerprint(I.classify_files(Tables(spark, sf).raw_files(), 20_000))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -39,3 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         shared = tempfile.mkdtemp(prefix="codelode-checkpoint-")
     context.setCheckpointDir(shared)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """Write an expensive result once to the checkpoint folder and read it from there.
+
+    Reliable across lost executors, and every later use of the frame starts from the stored rows.
+    """
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint(eager=True)
