@@ -165,6 +165,7 @@ class Tables:
 
     def evidence(self) -> DataFrame:
         """Evidence rows per context with the fields that dedupe, budgets and quality read."""
+        web = "(l_linenumber = 7 AND l_tax > 0.03)"
         return self.raw("lineitem").select(
             F.expr("cast(floor(l_orderkey / 8) as bigint)").alias("context_id"),
             F.expr(
@@ -173,15 +174,24 @@ class Tables:
             ).alias("evidence_id"),
             F.expr("CASE WHEN l_linenumber = 7 AND l_tax > 0.03 THEN 'WEB' ELSE 'CODE' END").alias("source_type"),
             F.expr("concat('c', l_suppkey % 3)").alias("repository_id"),
-            F.expr("concat('src/f', l_suppkey % 4, '.py')").alias("file_path"),
-            F.expr("cast(l_partkey % 100 + 1 as int)").alias("start_line"),
-            F.expr("cast(l_partkey % 100 + 1 + l_quantity as int)").alias("end_line"),
-            F.expr("concat('https://docs.example/', l_partkey % 50)").alias("url"),
+            F.expr(f"CASE WHEN NOT {web} THEN concat('src/f', l_suppkey % 4, '.py') END").alias("file_path"),
+            F.expr(f"CASE WHEN NOT {web} THEN cast(l_partkey % 100 + 1 as int) END").alias("start_line"),
+            F.expr(f"CASE WHEN NOT {web} THEN cast(l_partkey % 100 + 1 + l_quantity as int) END").alias("end_line"),
+            F.expr(f"CASE WHEN {web} THEN concat('https://docs.example/', l_partkey % 50) END").alias("url"),
             F.expr("round(l_quantity / 50 - l_discount, 4)").alias("score"),
-            (F.col("l_linestatus") == "F").alias("is_structural"),
+            F.expr(f"l_linestatus = 'F' AND NOT {web}").alias("is_structural"),
             F.expr("cast(l_quantity * 80 as bigint)").alias("chars"),
             F.expr("CASE WHEN l_returnflag = 'R' THEN concat('sym_', l_partkey % 64) END").alias("symbol"),
             F.expr("cast(l_partkey % 100 + 1 + l_quantity + l_linenumber as int)").alias("file_line_count"),
+            F.expr(
+                "CASE l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'lexical' ELSE 'symbol' END"
+            ).alias("signal"),
+            F.expr("CASE WHEN l_returnflag = 'A' THEN round(l_extendedprice / 100000, 6) END").alias("raw_semantic"),
+            F.expr(
+                "CASE WHEN l_returnflag = 'N' THEN array(element_at(array('login', 'token', 'user', 'session', 'cache'), "
+                "cast(l_suppkey % 5 + 1 as int))) ELSE array() END"
+            ).alias("matched_terms"),
+            F.expr("CASE WHEN l_tax = 0 THEN concat('/api/', l_suppkey % 20) END").alias("route"),
         )
 
     def index_versions(self) -> DataFrame:
@@ -352,13 +362,19 @@ SQL: dict[str, str] = {
         CASE l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'lexical' ELSE 'symbol' END AS signal FROM lineitem""",
     "evidence": """SELECT l_orderkey // 8 AS context_id,
         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS evidence_id,
-        CASE WHEN l_linenumber = 7 AND l_tax > 0.03 THEN 'WEB' ELSE 'CODE' END AS source_type,
-        concat('c', l_suppkey % 3) AS repository_id, concat('src/f', l_suppkey % 4, '.py') AS file_path,
-        CAST(l_partkey % 100 + 1 AS INTEGER) AS start_line, CAST(l_partkey % 100 + 1 + l_quantity AS INTEGER) AS end_line,
-        concat('https://docs.example/', l_partkey % 50) AS url, round(l_quantity / 50 - l_discount, 4) AS score,
-        l_linestatus = 'F' AS is_structural, CAST(l_quantity * 80 AS BIGINT) AS chars,
+        CASE WHEN web THEN 'WEB' ELSE 'CODE' END AS source_type,
+        concat('c', l_suppkey % 3) AS repository_id, CASE WHEN NOT web THEN concat('src/f', l_suppkey % 4, '.py') END AS file_path,
+        CASE WHEN NOT web THEN CAST(l_partkey % 100 + 1 AS INTEGER) END AS start_line,
+        CASE WHEN NOT web THEN CAST(l_partkey % 100 + 1 + l_quantity AS INTEGER) END AS end_line,
+        CASE WHEN web THEN concat('https://docs.example/', l_partkey % 50) END AS url, round(l_quantity / 50 - l_discount, 4) AS score,
+        l_linestatus = 'F' AND NOT web AS is_structural, CAST(l_quantity * 80 AS BIGINT) AS chars,
         CASE WHEN l_returnflag = 'R' THEN concat('sym_', l_partkey % 64) END AS symbol,
-        CAST(l_partkey % 100 + 1 + l_quantity + l_linenumber AS INTEGER) AS file_line_count FROM lineitem""",
+        CAST(l_partkey % 100 + 1 + l_quantity + l_linenumber AS INTEGER) AS file_line_count,
+        CASE l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'lexical' ELSE 'symbol' END AS signal,
+        CASE WHEN l_returnflag = 'A' THEN round(l_extendedprice / 100000, 6) END AS raw_semantic,
+        CASE WHEN l_returnflag = 'N' THEN [(['login', 'token', 'user', 'session', 'cache'])[l_suppkey % 5 + 1]] ELSE [] END AS matched_terms,
+        CASE WHEN l_tax = 0 THEN concat('/api/', l_suppkey % 20) END AS route
+        FROM (SELECT *, l_linenumber = 7 AND l_tax > 0.03 AS web FROM lineitem)""",
     "index_versions": """SELECT o_custkey AS repository_id, o_orderkey AS version,
         CASE o_orderstatus WHEN 'O' THEN 'READY' WHEN 'F' THEN 'PARTIAL'
              ELSE CASE WHEN o_orderpriority = '1-URGENT' THEN 'PARSING' ELSE 'FAILED' END END AS state,
