@@ -561,6 +561,7 @@ def chunk_documents(files: DataFrame) -> DataFrame:
         return F.struct(
             F.when(big, first).otherwise(F.col("start_line")).alias("start_line"),
             F.when(big, last).otherwise(F.col("end_line")).alias("end_line"), piece.alias("content"),
+            F.floor(at / SECTION_CHARS).cast("int").alias("piece"),
         )
 
     cuts = F.transform(F.sequence(F.lit(0), F.length("content") - 1, F.lit(SECTION_CHARS)), cut)

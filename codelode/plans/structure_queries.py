@@ -197,8 +197,7 @@ BLOCK_SQL = """
 BLOCK_SQL = BLOCK_SQL.replace("FROM db GROUP BY ALL", "FROM db GROUP BY path, block")
 
 
-@query("chunk_documents", oracle(
-    f"""WITH {BLOCK_SQL.format(source='files')},
+PACK_SQL = f"""{BLOCK_SQL.format(source='files')},
       seq AS (SELECT path, list({{'g': 1, 'acc': length(content), 'chars': length(content), 'head': regexp_matches(content, '^\\s*#'), 'gs': [1]}} ORDER BY b) AS items,
          list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es, list(content ORDER BY b) AS cs FROM blocks GROUP BY path),
       red AS (SELECT *, list_reduce(items, lambda a, x: CASE WHEN a.chars > 1500 OR x.chars > 1500 OR x.head OR a.acc + x.chars > 1500
@@ -208,12 +207,15 @@ BLOCK_SQL = BLOCK_SQL.replace("FROM db GROUP BY ALL", "FROM db GROUP BY path, bl
       packed AS (SELECT path, g, min(b) AS b, max(e) AS e, string_agg(c, '' ORDER BY b) AS c FROM u GROUP BY path, g),
       cut AS (SELECT *, unnest(range(0, length(c), 1500)) AS p0, length(c) > 1500 AS big FROM packed),
       piece AS (SELECT *, substring(c, p0 + 1, 1500) AS content, b + length(substring(c, 1, p0)) - length(replace(substring(c, 1, p0), chr(10), '')) AS s FROM cut),
-      cnt AS (SELECT *, length(content) - length(replace(content, chr(10), '')) AS k FROM piece)
-      SELECT path, CAST(CASE WHEN big THEN s ELSE b END AS INTEGER) AS start_line,
-        CAST(CASE WHEN big THEN s + k - CASE WHEN suffix(content, chr(10)) AND k > 0 THEN 1 ELSE 0 END ELSE e END AS INTEGER) AS end_line, content
-      FROM cnt""", "files"))
+      cnt AS (SELECT *, length(content) - length(replace(content, chr(10), '')) AS k FROM piece),
+      document_chunks AS (SELECT path, CAST(CASE WHEN big THEN s ELSE b END AS INTEGER) AS start_line,
+        CAST(CASE WHEN big THEN s + k - CASE WHEN suffix(content, chr(10)) AND k > 0 THEN 1 ELSE 0 END ELSE e END AS INTEGER) AS end_line, content,
+        p0 // 1500 AS piece FROM cnt)"""
+
+
+@query("chunk_documents", oracle(f"WITH {PACK_SQL} SELECT path, start_line, end_line, content FROM document_chunks", "files"))
 def chunk_documents(spark, sf):
-    return C.chunk_documents(Tables(spark, sf).files()).drop("repository_id")
+    return C.chunk_documents(Tables(spark, sf).files()).drop("repository_id", "piece")
 
 
 CONFIG = """config_files AS (SELECT c_mktsegment AS repository_id, concat('conf/c', c_custkey, (['.json', '.yaml', '.toml', '.ini'])[c_nationkey % 4 + 1]) AS path,
