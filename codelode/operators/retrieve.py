@@ -194,7 +194,10 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     )
     sized = pairs.join(sizes.select("query_id", "n_terms", "n_inner"), "query_id")
     holds_inner = sized.where((F.col("n_inner") > 0) & (F.col("inner_matched") == F.col("n_inner")))
-    suspects = holds_inner.select("query_id", "chunk_id").unionByName(_short_phrase_pairs(chunks, asked))
+    suspects = holds_inner.select("query_id", "chunk_id")
+    short = asked.where(F.size("_inner") == 0)
+    if not short.isEmpty():  # the question table only; most question tables hold no such text
+        suspects = suspects.unionByName(_short_phrase_pairs(chunks, short))
     phrases = (
         suspects.join(sizes.select("query_id", "query_text"), "query_id")
         .join(chunks.select("chunk_id", "content"), "chunk_id")
@@ -212,13 +215,13 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def _short_phrase_pairs(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+def _short_phrase_pairs(chunks: DataFrame, short: DataFrame) -> DataFrame:
     """Candidate (query, chunk) pairs for questions of one or two tokens.
 
     Such a question can sit inside longer words. Its longest token is looked up in the distinct
     words of the corpus by leading gram, then the words lead back to their chunks.
     """
-    short = asked.where(F.size("_inner") == 0).select(
+    short = short.select(
         "query_id",
         F.expr(
             "array_max(transform(regexp_extract_all(lower(query_text), '[A-Za-z0-9_]+', 0), "
@@ -226,32 +229,14 @@ def _short_phrase_pairs(chunks: DataFrame, asked: DataFrame) -> DataFrame:
         ).alias("token"),
     )
     short = short.withColumn("gram", F.substring("token", 1, 3))
-    grams = short.select("gram").distinct()
     words = postings(chunks).select("term").distinct()
     positions = F.sequence(F.lit(1), F.length("term"))
-    spread = words.select(
-        "term",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        positions,
-                        lambda i: F.array(
-                            F.substring("term", i, F.lit(1)),
-                            F.substring("term", i, F.lit(2)),
-                            F.substring("term", i, F.lit(3)),
-                        ),
-                    )
-                )
-            )
-        ).alias("gram"),
-    )
+    pieces = F.flatten(F.transform(
+        positions, lambda i: F.array(*[F.substring("term", i, F.lit(n)) for n in (1, 2, 3)])
+    ))
+    spread = words.select("term", F.explode(F.array_distinct(pieces)).alias("gram"))
     holders = (
-        spread.join(F.broadcast(grams) if scale.within_rows(grams, 100_000) else grams, "gram", "left_semi")
-        .join(short, "gram")
-        .where(F.contains("term", F.col("token")))
-        .select("query_id", "term")
-        .distinct()
+        spread.join(short, "gram").where(F.contains("term", F.col("token"))).select("query_id", "term").distinct()
     )
     return postings(chunks).join(holders, "term").select("query_id", "chunk_id").distinct()
 
@@ -336,38 +321,28 @@ def symbol_exact(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     ).drop("_lower", "query_text")
 
 
-def grams(name: Column) -> Column:
-    """Padded trigrams, numbered per repeat so that plain equality compares multisets."""
-    padded = F.concat(F.lit("  "), F.lower(name), F.lit(" "))
-    count = F.greatest(F.length(padded) - 2, F.lit(0))
-    plain = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.transform(
-        plain,
-        lambda gram, i: F.concat(
-            gram, F.lit("#"), F.size(F.filter(F.slice(plain, F.lit(1), i), lambda other: other == gram)).cast("string")
-        ),
-    )
+def gram_counts(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Padded lower-case trigrams with their counts: (keys, gram, k)."""
+    padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
+    starts = F.sequence(F.lit(1), F.length(text) + 1)
+    return rows.select(
+        *keys, F.explode(F.transform(starts, lambda i: F.substring(padded, i, F.lit(3)))).alias("gram")
+    ).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("k"))
 
 
 def name_similarity(names: DataFrame, queries: DataFrame) -> DataFrame:
     """Dice similarity of distinct names and queries above the fuzzy threshold: (query_id, name, score)."""
-    left = names.select("name").distinct().withColumn("_grams", grams(F.col("name"))).select(
-        "name", F.size("_grams").alias("_n"), F.explode("_grams").alias("_gram")
-    )
+    left = gram_counts(names.select("name").distinct(), ["name"], "name")
     asked = queries.select("query_id", F.trim("query_text").alias("query_text")).where(F.col("query_text") != "")
-    right = asked.withColumn("_grams", grams(F.col("query_text"))).select(
-        "query_id", F.lower("query_text").alias("_query_lower"), F.size("_grams").alias("_m"),
-        F.explode("_grams").alias("_gram"),
-    )
+    right = gram_counts(asked, ["query_id", "query_text"], "query_text").withColumnRenamed("k", "m")
     # A pair above the threshold has gram counts within this ratio of each other.
     ratio = (2 - FUZZY_THRESHOLD) / FUZZY_THRESHOLD
-    joined = left.join(right, "_gram").where(
-        (F.col("_n") <= F.col("_m") * ratio)
-        & (F.col("_m") <= F.col("_n") * ratio)
-        & (F.lower("name") != F.col("_query_lower"))
+    n, m = F.length("name") + 1, F.length("query_text") + 1
+    joined = left.join(right, "gram").where(
+        (n <= m * ratio) & (m <= n * ratio) & (F.lower("name") != F.lower("query_text"))
     )
-    overlap = joined.groupBy("query_id", "name", "_n", "_m").agg(F.count(F.lit(1)).alias("_overlap"))
-    score = F.round(2.0 * F.col("_overlap") / (F.col("_n") + F.col("_m")), SCORE_DIGITS)
+    overlap = joined.groupBy("query_id", "query_text", "name").agg(F.sum(F.least("k", "m")).alias("_overlap"))
+    score = F.round(2.0 * F.col("_overlap") / (n + m), SCORE_DIGITS)
     return overlap.select("query_id", "name", score.alias("score")).where(F.col("score") > FUZZY_THRESHOLD)
 
 
@@ -382,21 +357,30 @@ def symbol_matches(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return symbol_exact(symbols, queries).unionByName(symbol_fuzzy(symbols, queries))
 
 
-def owner_pairs(matches: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(match, chunk) pairs where the chunk owns the symbol: same file and same name or start line inside."""
-    located = scale.points_in_intervals(
-        matches.withColumnsRenamed({"start_line": "symbol_start", "end_line": "symbol_end"}),
-        chunks.select("chunk_id", "file_path", "symbol_name", "start_line", "end_line"),
-        ["file_path"], "symbol_start", "start_line", "end_line",
-    )
-    named = matches.withColumnsRenamed({"start_line": "symbol_start", "end_line": "symbol_end"}).join(
-        chunks.select(
-            "chunk_id", "file_path", F.col("symbol_name").alias("name"), "start_line", "end_line"
+def owner_join(points: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Join symbols (file_path, name, symbol_start, ...) to owning chunks: same file and same name or start line inside.
+
+    Both conditions become keys of one equi-join: a line block or a name. A pair that meets by name
+    counts only when the start line lies outside, so no pair is produced twice.
+    """
+    block = lambda line: F.concat(F.lit("b"), F.floor(line / F.lit(scale.LINE_BLOCK)).cast("string"))
+    by_name = lambda name: F.concat(F.lit("n"), name)
+    left = points.withColumn("_key", F.explode(F.array(block(F.col("symbol_start")), by_name(F.col("name")))))
+    blocks = F.transform(
+        F.sequence(
+            F.floor(F.col("start_line") / scale.LINE_BLOCK), F.floor(F.greatest("start_line", "end_line") / scale.LINE_BLOCK)
         ),
-        ["file_path", "name"],
-    ).where(~F.col("symbol_start").between(F.col("start_line"), F.col("end_line")))
-    columns = [c for c in named.columns]
-    return located.select(*columns).unionByName(named)
+        lambda x: F.concat(F.lit("b"), x.cast("string")),
+    )
+    keys = F.filter(F.array_append(blocks, by_name(F.col("symbol_name"))), lambda k: k.isNotNull())
+    right = chunks.select("chunk_id", "file_path", "start_line", "end_line", F.explode(keys).alias("_key"))
+    inside = F.col("symbol_start").between(F.col("start_line"), F.col("end_line"))
+    return left.join(right, ["file_path", "_key"]).where(F.col("_key").startswith("b") == inside).drop("_key")
+
+
+def owner_pairs(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(match, chunk) pairs where the chunk owns the matched symbol."""
+    return owner_join(matches.withColumnsRenamed({"start_line": "symbol_start", "end_line": "symbol_end"}), chunks)
 
 
 def symbol_owner_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:
