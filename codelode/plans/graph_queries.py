@@ -352,8 +352,8 @@ def impact_fields(spark, sf):
     return G.impact_fields(evidence, fields)
 
 
-BACKFILL = f"""{IMPACT_SQL}, kept AS (SELECT *, evidence_id AS rank FROM ev WHERE evidence_symbol IS NOT NULL OR contains(content, 'Brand#1')),
-  c AS (SELECT query_id, file, symbol, string_split(evidence_ids, ',') AS ids FROM direct),
+BACKFILL = f"""{IMPACT_SQL}, kept AS (SELECT *, evidence_id AS rank FROM ev WHERE evidence_symbol IS NULL),
+  c AS (SELECT query_id, file, symbol, [string_split(evidence_ids, ',')[1]] AS ids FROM direct),
   lost AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = c.query_id AND list_contains(c.ids, k.evidence_id::VARCHAR)))"""
 
 
@@ -363,8 +363,9 @@ BACKFILL = f"""{IMPACT_SQL}, kept AS (SELECT *, evidence_id AS rank FROM ev WHER
 def impact_evidence_backfill(spark, sf):
     t = Tables(spark, sf)
     evidence = stored(impact_evidence(t))
-    kept = evidence.where("evidence_symbol IS NOT NULL OR contains(content, 'Brand#1')").withColumn("rank", F.col("evidence_id"))
-    return G.impact_evidence_backfill(G.impact_direct(impact_definitions(t), evidence), kept)
+    kept = evidence.where("evidence_symbol IS NULL").withColumn("rank", F.col("evidence_id"))
+    cited_once = G.impact_direct(impact_definitions(t), evidence).withColumn("evidence_ids", F.slice("evidence_ids", 1, 1))
+    return G.impact_evidence_backfill(cited_once, kept)
 
 
 @query("impact_merge", oracle(

@@ -190,7 +190,7 @@ def session_exchanges(spark, sf):
 
 
 KEYS = "list_distinct(list_transform(list_filter(regexp_extract_all({x}, '[A-Za-z_][A-Za-z0-9_]*'), lambda z: length(z) >= 3), lambda z: lower(z)))"
-RECALL = f"""{EXCHANGES}, q AS (SELECT DISTINCT conv_id AS session_id, CASE WHEN doc_id IS NULL THEN '' ELSE substring(d.text, 1, 25) END AS query_text
+RECALL = f"""{EXCHANGES}, q AS (SELECT DISTINCT conv_id AS session_id, coalesce(d.text, '') AS query_text
       FROM conversations LEFT JOIN documents d ON d.doc_id = conv_id * 3),
    words AS (SELECT session_id, exchange, string_agg(content, ' ') AS t FROM exchanges GROUP BY ALL),
    rel AS (SELECT w.session_id, exchange, row_number() OVER (PARTITION BY w.session_id ORDER BY exchange DESC) AS back FROM words w JOIN q USING (session_id)
@@ -199,7 +199,7 @@ RECALL = f"""{EXCHANGES}, q AS (SELECT DISTINCT conv_id AS session_id, CASE WHEN
 
 
 def recalled(t: Tables):
-    documents = t.raw("documents").select(F.col("doc_id").alias("_doc"), F.substring("text", 1, 25).alias("_text"))
+    documents = t.raw("documents").select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     sessions = t.messages().select("session_id").distinct().withColumn("_doc", F.col("session_id") * 3)
     asked = sessions.join(documents, "_doc", "left").select("session_id", F.coalesce("_text", F.lit("")).alias("query_text"))
     return M.session_recall(M.session_exchanges(t.messages()), asked)
@@ -218,7 +218,7 @@ def session_transcript(spark, sf):
 
 
 @query("memory_search", oracle(
-    f"""WITH q AS (SELECT conv_id || '-' || turn AS query_id, source AS repository_id, CASE WHEN role = 'system' THEN '?' ELSE substring(c.text, 1, 60) END AS query_text
+    f"""WITH q AS (SELECT conv_id || '-' || turn AS query_id, source AS repository_id, CASE WHEN role = 'system' THEN '?' ELSE c.text END AS query_text
         FROM conversations c JOIN documents d ON d.doc_id = c.conv_id),
       k AS (SELECT *, {KEYS.format(x='query_text')} AS ks FROM q)
       SELECT query_id, memory_id FROM k JOIN memories m USING (repository_id) WHERE NOT is_stale AND (len(ks) = 0 OR
@@ -228,7 +228,7 @@ def memory_search(spark, sf):
     corpora = t.raw("documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("repository_id"))
     queries = t.raw("conversations").join(corpora, "conv_id").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), "repository_id",
-        F.expr("CASE WHEN role = 'system' THEN '?' ELSE substring(text, 1, 60) END").alias("query_text"),
+        F.expr("CASE WHEN role = 'system' THEN '?' ELSE text END").alias("query_text"),
     )
     return M.memory_search(t.memories(), queries)
 

@@ -151,12 +151,12 @@ def cache_lookup(spark, sf):
 
 
 @query("cache_upsert", f"""WITH {CACHE}, e AS (SELECT *, 0 AS fresh FROM cache UNION ALL
-      SELECT query_hash, split_part(url, '?', 1), position + 1000, retrieved_at + INTERVAL 1 HOUR, 1 FROM cache WHERE position % 2 = 0),
+      SELECT query_hash, split_part(url, '?', 1), position + 1000, retrieved_at + INTERVAL 1 HOUR, 1 FROM cache WHERE contains(url, '?')),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_hash, url ORDER BY retrieved_at DESC, fresh DESC, position DESC) AS n FROM e)
     SELECT query_hash, url, position, strftime(retrieved_at, '%Y-%m-%d %H:%M:%S') AS retrieved FROM r WHERE n = 1""")
 def cache_upsert(spark, sf):
     rows = cache_rows(Tables(spark, sf))
-    incoming = rows.where("position % 2 = 0").select(
+    incoming = rows.where("contains(url, '?')").select(
         "query_hash", F.split_part("url", F.lit("?"), F.lit(1)).alias("url"), (F.col("position") + 1000).alias("position"),
         F.expr("retrieved_at + INTERVAL 1 HOUR").alias("retrieved_at"),
     )
@@ -212,14 +212,14 @@ def redact_arguments(spark, sf):
 
 # ---------------------------------------------------------------- embedding
 
-EMB = """emb AS (SELECT doc_id AS chunk_id, sha256(substring(text, 1, 200)) AS content_hash, substring(text, 1, 200) AS content,
+EMB = """emb AS (SELECT doc_id AS chunk_id, sha256(text) AS content_hash, text AS content,
     CASE WHEN doc_id % 3 = 0 THEN NULL ELSE [CAST(doc_id AS DOUBLE)] END AS embedding, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'm0' ELSE 'm1' END AS model_version FROM documents),
   pending AS (SELECT * FROM emb WHERE embedding IS NULL OR model_version IS DISTINCT FROM 'm1')"""
 
 
 def embedded_chunks(t: Tables):
     return t.raw("documents").selectExpr(
-        "doc_id AS chunk_id", "sha2(substring(text, 1, 200), 256) AS content_hash", "substring(text, 1, 200) AS content",
+        "doc_id AS chunk_id", "sha2(text, 256) AS content_hash", "text AS content",
         "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE array(cast(doc_id as double)) END AS embedding",
         "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'm0' ELSE 'm1' END AS model_version",
     )
