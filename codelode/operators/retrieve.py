@@ -164,8 +164,8 @@ def _phrase_tokens(text: Column) -> Column:
 def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, matched, hits, phrase, n_terms) for every chunk with a positive score.
 
-    Query tokens meet token occurrences in one equi-join whose counts are combined before the
-    shuffle. Texts are compared only for pairs that hold every inner token of the question.
+    Term counts per chunk meet the question terms in one equi-join. Texts are compared only for
+    pairs that hold every inner token of the question.
     """
     asked = (
         queries.withColumn("query_text", F.trim("query_text"))
@@ -183,11 +183,15 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         F.array_contains("_terms", F.col("term")).alias("is_term"),
         F.array_contains("_inner", F.col("term")).alias("is_inner"),
     )
-    occurrences = postings(chunks).join(wanted, "term")
-    per_term = occurrences.groupBy("query_id", "chunk_id", "term", "is_term", "is_inner").agg(
+    vocabulary = wanted.select("term").distinct()
+    # Texts are placed by chunk id once; counting terms and summing per question both reuse that
+    # placement, so neither the token rows nor the (question, chunk) pairs are shuffled. A chunk
+    # table bucketed by chunk id skips even this step.
+    placed = chunks.select("chunk_id", "content").repartition("chunk_id")
+    counts = postings(placed).join(vocabulary, "term", "left_semi").groupBy("chunk_id", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
-    pairs = per_term.groupBy("query_id", "chunk_id").agg(
+    pairs = counts.join(wanted, "term").groupBy("query_id", "chunk_id").agg(
         F.sum(F.when(F.col("is_term"), F.col("tf")).otherwise(0)).alias("hits"),
         F.count_if("is_term").alias("matched"),
         F.count_if("is_inner").alias("inner_matched"),

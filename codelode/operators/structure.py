@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelode.functions import grammar
 from codelode.functions import paths as P
@@ -279,7 +280,7 @@ def resolve_api_routes(parsed: DataFrame, files: DataFrame, symbols: DataFrame)
 
 # ---------------------------------------------------------------- chunks
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def line_offsets(content: pd.Series) -> pd.Series:
     """Characters before each line, and the total at the end."""
     def offsets(text: str) -> list[int]:

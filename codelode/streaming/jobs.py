@@ -10,52 +10,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PAIR_SCHEMA = "run_id long, sequence long, tool_name string, status string, duration_ms double, verdict string"
-PAIR_STATE = "tool_name string, opened_ms long"
+PAIR_COLUMNS = [part.split()[0] for part in PAIR_SCHEMA.split(", ")]
+OPEN_COLUMNS = ["run_id", "sequence", "tool_name", "opened_ms"]
+OPEN_STATE = "run_id array<long>, sequence array<long>, tool_name array<string>, opened_ms array<long>"
 
 
-def pair_calls(calls: DataFrame, wait: str = "1 hour") -> DataFrame:
+def pair_calls(calls: DataFrame, wait: str = "1 hour", shards: int = 64) -> DataFrame:
     """Complete pre rows with their post rows per (run_id, sequence).
 
-    A post without a pre is an error row; a pre whose post does not come before the watermark
-    passes its wait becomes an open row and leaves the state. Reads phase (pre / post), tool_name,
-    status, duration_ms and event_time.
+    A post without a pre is an orphan row; a pre whose post does not come before the watermark
+    passes its wait becomes an open row and leaves the state. State is kept per hash shard of
+    (run_id, sequence), so a very long run spreads over all shards and each shard is merged as a
+    whole instead of call by call. Reads phase (pre / post), tool_name, status, duration_ms and event_time.
     """
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    keys = ["run_id", "sequence"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_id, sequence = key
-        if state.hasTimedOut:
-            (tool_name, _) = state.get
+        waiting = pd.DataFrame(dict(zip(OPEN_COLUMNS, state.get)) if state.exists else {c: [] for c in OPEN_COLUMNS})
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            pres = rows[rows["phase"] == "pre"].assign(opened_ms=lambda r: r["event_time"].astype("datetime64[ms]").astype("int64"))
+            waiting = pd.concat([waiting, pres[OPEN_COLUMNS]]).drop_duplicates(keys)
+            posts = rows[rows["phase"] == "post"].drop(columns=["tool_name"])
+            done = posts.merge(waiting, on=keys, how="left", indicator="_side")
+            done["verdict"] = done["_side"].map({"both": "PAIRED", "left_only": "ORPHAN"}).astype(str)
+            if len(done):
+                yield done[PAIR_COLUMNS]
+            left = waiting.merge(posts[keys].drop_duplicates(), on=keys, how="left", indicator="_side")
+            waiting = left[left["_side"] == "left_only"][OPEN_COLUMNS]
+        late = waiting["opened_ms"] + wait_ms <= state.getCurrentWatermarkMs()
+        if late.any():
+            yield waiting[late].assign(status=None, duration_ms=None, verdict="OPEN")[PAIR_COLUMNS]
+            waiting = waiting[~late]
+        if len(waiting):
+            state.update(tuple(waiting[c].tolist() for c in OPEN_COLUMNS))
+            state.setTimeoutTimestamp(max(int(waiting["opened_ms"].min()) + wait_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(run_id, sequence, tool_name, None, None, "OPEN")], columns=_columns())
-            return
-        rows = pd.concat(list(batches))  # one call holds a handful of rows
-        pres, posts = rows[rows["phase"] == "pre"], rows[rows["phase"] == "post"]
-        opened = state.get[0] if state.exists else (pres["tool_name"].iloc[0] if len(pres) else None)
-        if len(posts):
-            post = posts.iloc[0]
-            verdict = "PAIRED" if opened is not None else "ORPHAN"
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame(
-                [(run_id, sequence, opened, post["status"], post["duration_ms"], verdict)], columns=_columns()
-            )
-        elif len(pres) and not state.exists:
-            seen = int(pres["event_time"].iloc[0].timestamp() * 1000)
-            state.update((opened, seen))
-            state.setTimeoutTimestamp(max(seen + wait_ms, state.getCurrentWatermarkMs() + 1))
 
+    shard = F.pmod(F.xxhash64("run_id", "sequence"), F.lit(shards)).alias("shard")
     return (
         calls.withWatermark("event_time", wait)
-        .groupBy("run_id", "sequence")
-        .applyInPandasWithState(step, PAIR_SCHEMA, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .select("*", shard)
+        .groupBy("shard")
+        .applyInPandasWithState(step, PAIR_SCHEMA, OPEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def _columns() -> list[str]:
-    return [part.split()[0] for part in PAIR_SCHEMA.split(", ")]
-
-
 def first_results(results: DataFrame, keys: list[str], ttl: str = "24 hours") -> DataFrame:
     """First result per key within the time limit wins; an expired key is taken again."""
     return results.withWatermark("retrieved_at", ttl).dropDuplicatesWithinWatermark(keys)
