@@ -201,7 +201,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     suspects = holds_inner.select("query_id", "chunk_id")
     short = asked.where(F.size("_inner") == 0)
     if not short.isEmpty():  # the question table only; most question tables hold no such text
-        suspects = suspects.unionByName(_short_phrase_pairs(chunks, short))
+        suspects = suspects.unionByName(_short_phrase_pairs(placed, short))
     phrases = (
         suspects.join(sizes.select("query_id", "query_text"), "query_id")
         .join(chunks.select("chunk_id", "content"), "chunk_id")
