@@ -170,8 +170,12 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     asked = (
         queries.withColumn("query_text", F.trim("query_text"))
         .withColumn("_terms", X.query_terms(F.col("query_text")))
-        .withColumn("_inner", _phrase_tokens(F.col("query_text")))
+        .withColumn("_all_inner", _phrase_tokens(F.col("query_text")))
         .where(F.size("_terms") > 0)
+        # Inner tokens that are terms already select few texts; common words are used only when there are no others.
+        .withColumn("_common", F.array_intersect("_all_inner", "_terms"))
+        .withColumn("_inner", F.when(F.size("_common") > 0, F.col("_common")).otherwise(F.col("_all_inner")))
+        .drop("_all_inner", "_common")
     )
     sizes = asked.select(
         "query_id", F.size("_terms").alias("n_terms"), F.size("_inner").alias("n_inner"), "query_text"
@@ -216,7 +220,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         F.coalesce("hits", F.lit(0)).alias("hits"),
         F.coalesce("matched", F.lit(0)).alias("matched"),
         F.coalesce("phrase", F.lit(0)).alias("phrase"),
-    )
+    ).where(F.col("hits") + F.col("phrase") > 0)
 
 
 def _short_phrase_pairs(chunks: DataFrame, short: DataFrame) -> DataFrame:
