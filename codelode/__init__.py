@@ -1 +1,8 @@
 """codelode: versioned text and code corpora as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code with them, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
