@@ -29,7 +29,7 @@ d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS name, hex(encode(coalesce(
 b AS (SELECT r, list_transform(regexp_extract_all(hexed, '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM d),
 e AS (
   SELECT doc_id, name, length(hexed) // 2 + 1 AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, cells[xor(a, x) & 255 + 1]))) AS text_crc32
+    xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, cells[(xor(a, x) & 255) + 1]))) AS text_crc32
   FROM d JOIN b USING (r), crc),
 s AS (
   SELECT doc_id, size, text_crc32, {_shard_sql(SHARDS)} AS shard, {_shard_sql(SHARDS + 1)} AS grown_shard,
