@@ -15,6 +15,7 @@ from codelode.llm.common import mix, text_bytes, word_hashes
 
 BITS = 18
 GRAMS = (3, 4)
+ECHO = 8
 CHUNK_BYTES = 4 << 20
 _FLAT = np.arange(256, dtype=np.uint8)
 _FLAT[[9, 10, 11, 12, 13]] = 32
@@ -35,7 +36,10 @@ def _spread(values: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of words, word pairs and character n-grams, one kind at a time."""
+    """(row, bucket) of words, word pairs, echoes and character n-grams, one kind at a time.
+
+    An echo is a word n-gram of which only the pattern is hashed: how many words back the same word stands last.
+    """
     hashes, row = word_hashes(data, offsets, lower=False)
     if not len(hashes):
         return
@@ -43,6 +47,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     same = row[1:] == row[:-1]
     pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:])[same]
     yield row[1:][same], _spread(pairs)
+    back = np.zeros(len(hashes), np.uint64)
+    for d in range(min(ECHO, len(hashes) - 1), 0, -1):
+        back[d:][(hashes[d:] == hashes[:-d]) & (row[d:] == row[:-d])] = d
+    yield row, _spread(mix(back + np.uint64(1 << 60)))
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     np.take(_FLAT, data, out=padded[: len(data)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
