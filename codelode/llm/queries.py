@@ -94,3 +94,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_score(docs, model).select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def similar_sql(documents: str, size: int, percent: int) -> str:
+    """doc_id, n_shingles, component_id of all documents by counting the shingles that each two share."""
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" if k else "ws[i]" for k in range(size))
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM {documents}),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {size - 2}), lambda i: {shingle}) END)) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM {documents} UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.root)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
+
+
+@LLM.query("op5_ngram_jaccard", similar_sql("documents", 3, 90))
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from codelode.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=Fraction(9, 10))
