@@ -45,32 +45,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if known.count() <= BROADCAST_SEEDS:
         known = F.broadcast(known)
     found = _seeds(docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")), "doc_id").join(known, "seed")
-    window = F.least(F.lit(WINDOW), F.size("item"))
-    allowed = F.floor(window * F.lit(SUBSTITUTIONS) / F.lit(WINDOW))
-    back = F.least(F.lit(WINDOW - 1), F.col("item_at"), F.col("at"))
-    stretch = found.select(
-        "doc_id",
-        "item_id",
-        (F.col("at") - F.col("item_at")).alias("shift"),
-        window.alias("window"),
-        allowed.alias("allowed"),
-        F.slice("tokens", F.col("at") - back + 1, back + WINDOW).alias("ours"),
-        F.slice("item", F.col("item_at") - back + 1, back + WINDOW).alias("theirs"),
+    shift = F.col("at") - F.col("item_at")
+    begin = F.greatest(shift, F.lit(0))
+    aligned = (
+        found.select("doc_id", "item_id", shift.alias("shift"), F.slice("tokens", begin + 1, F.size("item") - (begin - shift)).alias("ours"), "item")
+        .groupBy("doc_id", "item_id", "shift")
+        .agg(F.first("ours").alias("ours"), F.first("item").alias("item"))
     )
-    length = F.least(F.size("ours"), F.size("theirs"))
-    agree = [F.coalesce((F.get("ours", F.lit(k)) == F.get("theirs", F.lit(k))).cast("int"), F.lit(0)) for k in range(2 * WINDOW - 1)]
-    stretch = stretch.select("doc_id", "item_id", "shift", "window", "allowed", length.alias("length"), F.array(*agree).alias("agree"))
-    best = F.array_max(
+    theirs = F.slice("item", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("ours"))
+    hits = F.zip_with("ours", theirs, lambda x, y: (x == y).cast("int"))
+    window = F.least(F.lit(WINDOW), F.size("item"))
+    matched = F.array_max(
         F.transform(
-            F.expr("sequence(0, length - window)"),
-            lambda start: F.aggregate(F.slice("agree", start + 1, F.col("window")), F.lit(0), lambda total, hit: total + hit),
+            F.when(F.size("hits") >= F.col("window"), F.sequence(F.lit(1), F.size("hits") - F.col("window") + 1)),
+            lambda start: F.aggregate(F.slice("hits", start, F.col("window")), F.lit(0), lambda total, hit: total + hit),
         )
     )
-    checked = (
-        stretch.where("length >= window")
-        .select("doc_id", "item_id", "shift", "window", "allowed", best.alias("matched"))
-        .where("matched >= window - allowed")
-        .groupBy("doc_id", "item_id", "shift")
-        .agg(F.max("matched").alias("matched"))
+    checked = aligned.select("doc_id", "item_id", hits.alias("hits"), window.alias("window")).select("doc_id", "item_id", "window", matched.alias("matched"))
+    return (
+        checked.where(F.col("matched") >= F.col("window") - F.floor(F.col("window") * SUBSTITUTIONS / WINDOW))
+        .groupBy("doc_id", "item_id")
+        .agg(F.count("*").alias("alignments"), F.max("matched").cast("long").alias("matched"))
     )
-    return checked.groupBy("doc_id", "item_id").agg(F.count("*").alias("alignments"), F.max("matched").cast("long").alias("matched"))
