@@ -166,3 +166,97 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelode.llm.embedding_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@LLM.query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codelode.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _license_sql() -> str:
+    from codelode.llm.license_scan import RULES, SENTENCES
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    steps, hits = [], []
+    for n, (ids, licence) in enumerate(RULES):
+        told = "".join(f"<{x}>" for x in ids)
+        steps.append(f"s{n + 1} AS (SELECT r, doc_id, replace(told, '{told}', '<>') AS told FROM s{n})")
+        hits.append(
+            f"SELECT doc_id, {n} AS rule, '{licence}' AS licence, ((length(told) - length(replace(told, '{told}', ''))) // {len(told)})::INTEGER AS statements"
+            f" FROM s{n} WHERE contains(told, '{told}')"
+        )
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+c AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    string_split(regexp_replace(lower(regexp_replace(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'),
+      '\n[ \t\r]*([A-Z\n])', chr(1) || '\1', 'g')), '[^a-z0-9.\x01]+', ' ', 'g'), chr(1)) AS parts
+  FROM documents WHERE text IS NOT NULL),
+u AS (SELECT r, doc_id, trim(unnest(parts), ' .') AS sentence, generate_subscripts(parts, 1) AS n FROM c),
+i AS (SELECT r, doc_id, n, coalesce(id, CASE WHEN sentence LIKE '%licens%' OR sentence LIKE '%licenc%' OR sentence LIKE '%copyright%' THEN 'Unknown' END) AS id
+  FROM u LEFT JOIN known USING (sentence)),
+s0 AS (SELECT r, doc_id, string_agg('<' || id || '>', '' ORDER BY n) AS told FROM i WHERE id IS NOT NULL GROUP BY r, doc_id),
+{", ".join(steps)}
+{" UNION ALL ".join(hits)}
+"""
+
+
+@LLM.query("op2_license_scan", _license_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.license_scan import license_statements
+
+    return license_statements(table(spark, sf_dir, "documents"))
+
+
+_SITE_SQL = r"""
+  regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^(www|m)\.|:(80|443)$', '', 'g')
+  || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '(/index)?(\.html?)?/*$', '')
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END"""
+
+OP7_SQL = rf"""
+WITH p AS (SELECT *, '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || (page_id // 1440) AS day, sha256(html) AS digest FROM pages),
+c AS (
+  SELECT page_id * 2 AS record_id, page_id * 60 AS ts, url, 'response' AS kind, tag AS etag, day AS lm, digest FROM p
+  UNION ALL
+  SELECT page_id * 2 + 1, CASE WHEN page_id % 13 = 0 THEN page_id * 60 - 30 ELSE page_id * 60 + 60 * (page_id % 200) + 30 END,
+    regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=again#top', 'revisit',
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/' || tag END, CASE WHEN page_id % 22 = 0 THEN NULL ELSE day END, digest
+  FROM p WHERE page_id % 3 <> 2),
+b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z]+://', '') AS bare FROM c),
+k AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref)(=|$)'))) AS kept FROM b),
+s AS (SELECT *, {_SITE_SQL} AS site FROM k),
+f AS (SELECT site, ts, max(record_id) AS response_id FROM s WHERE kind = 'response' GROUP BY site, ts),
+m AS (SELECT v.*, f.response_id FROM (SELECT * FROM s WHERE kind = 'revisit') v ASOF LEFT JOIN f ON v.site = f.site AND v.ts > f.ts),
+j AS (
+  SELECT m.record_id, m.response_id, m.ts, m.etag, m.lm, r.etag AS old_etag, r.lm AS old_lm, r.digest AS old_digest,
+    CASE WHEN m.response_id IS NULL THEN 'missing'
+      WHEN m.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN regexp_replace(m.etag, '^W/', '') = r.etag THEN 'resolved' ELSE 'mismatch' END
+      WHEN m.lm IS NOT NULL AND r.lm IS NOT NULL THEN CASE WHEN m.lm = r.lm THEN 'resolved' ELSE 'mismatch' END
+      WHEN m.digest = r.digest THEN 'resolved' ELSE 'mismatch' END AS state
+  FROM m LEFT JOIN s r ON r.record_id = m.response_id)
+SELECT record_id, response_id, state,
+  CASE WHEN state = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10)
+    || 'etag: ' || coalesce(etag, old_etag) || chr(10) || 'last-modified: ' || coalesce(lm, old_lm) END AS headers,
+  CASE WHEN state = 'resolved' THEN old_digest END AS digest
+FROM j
+"""
+
+
+@LLM.query("op7_revisit_resolution", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.revisits import captures, resolve_revisits
+
+    done = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda x: F.concat(x["key"], F.lit(": "), x["value"])))
+    return done.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")))
+
+
+@LLM.query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
