@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codelode.llm.common import connected_components, mix, saved, shingle_sets, text_bytes, word_hashes
 
 #: Text per unit of work inside a task; bounds the arrays that a task holds.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: Shingles keep 48 bits of their hash, above them stands the frequency class: the global rare-first order.
 HASH_BITS = 48
 HUB_ROUNDS = 2
@@ -111,7 +111,7 @@ def shared_sets(docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     arrays: each shingle moves once as six bytes and once more if it is shared. A slice is known by its task and its
     place there, so `docs` has to be a stored table, which a repeated task reads in the same order.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def assemble(table: pa.Table) -> pa.Table:
         owners, keys, head = [], [], None
