@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINE_BLOCK = 256
+#: Every stored row belongs to one version of one corpus; searches and joins never leave it.
+SCOPE = ["repository_id", "index_version"]
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

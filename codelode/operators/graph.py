@@ -22,6 +22,7 @@ KIND_PRIORITY = {"CALLS": 3, "API_CALL": 3, "REFERENCES": 2, "EXTENDS": 2, "IMPO
 IGNORED_WORDS = "a an and from happens how in is of the to trace what when with".split()
 PHRASAL = ["in", "on", "up", "out"]
 MODULE = "<module>"
+SCOPE = scale.SCOPE
 
 
 # ---------------------------------------------------------------- lookups
@@ -29,15 +30,15 @@ MODULE = "<module>"
 def find_symbol(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """Distinct matched symbols per query with the score of their best owning chunk."""
     pairs = R.owner_pairs(matches, chunks)
-    best = pairs.groupBy("query_id", "chunk_id").agg(F.max("score").alias("_chunk_score"))
-    ranked = pairs.drop("score").join(best, ["query_id", "chunk_id"])
-    picked = ranked.groupBy("query_id", "symbol_id").agg(
+    best = pairs.groupBy("query_id", *SCOPE, "chunk_id").agg(F.max("score").alias("_chunk_score"))
+    ranked = pairs.drop("score").join(best, ["query_id", *SCOPE, "chunk_id"])
+    picked = ranked.groupBy("query_id", *SCOPE, "symbol_id").agg(
         F.min_by(
             F.struct("name", "file_path", "symbol_start", "symbol_end", "match_type", F.col("_chunk_score").alias("score")),
             F.struct((-F.col("_chunk_score")).alias("a"), "file_path", "start_line", "chunk_id"),
         ).alias("r")
     )
-    return picked.select("query_id", "symbol_id", "r.*")
+    return picked.select("query_id", *SCOPE, "symbol_id", "r.*")
 
 
 def named_targets(symbols: DataFrame, queries: DataFrame) -> DataFrame:
@@ -50,14 +51,14 @@ def named_targets(symbols: DataFrame, queries: DataFrame) -> DataFrame:
 def find_references(symbols: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Incoming relationships of a name with the place of source and target."""
     targets = named_targets(symbols, queries).select(
-        "query_id", F.col("symbol_id").alias("to_id"), F.col("file_path").alias("target_file"),
+        "query_id", *SCOPE, F.col("symbol_id").alias("to_id"), F.col("file_path").alias("target_file"),
         F.col("start_line").alias("target_start"), F.col("end_line").alias("target_end"),
     )
     sources = symbols.select(
-        F.col("symbol_id").alias("from_id"), F.col("file_path").alias("file"), F.col("name").alias("symbol"),
+        *SCOPE, F.col("symbol_id").alias("from_id"), F.col("file_path").alias("file"), F.col("name").alias("symbol"),
         F.col("start_line").alias("line"),
     )
-    return edges.join(targets, "to_id").join(sources, "from_id").select(
+    return edges.join(targets, [*SCOPE, "to_id"]).join(sources, [*SCOPE, "from_id"]).select(
         "query_id", "file", "symbol", "line", "kind", "confidence", F.col("from_id").alias("source_id"),
         F.col("to_id").alias("target_id"), "target_file", "target_start", "target_end",
     )
@@ -73,26 +74,26 @@ def related_chunks(
     seeds = owners.join(has, "query_id").where(exact | ~F.col("_has"))
     if source_files is not None:
         seeds = seeds.join(source_files, ["query_id", "file_path"], "left_semi")
-    ranked = stored(seeds.select("query_id", "chunk_id", F.col("raw_score").alias("score"), F.lit("symbol").alias("signal")).join(
-        chunks.select("chunk_id", "file_path", "start_line", "end_line"), "chunk_id"
+    ranked = stored(seeds.select("query_id", *SCOPE, "chunk_id", F.col("raw_score").alias("score"), F.lit("symbol").alias("signal")).join(
+        chunks.select(*SCOPE, "chunk_id", "file_path", "start_line", "end_line"), [*SCOPE, "chunk_id"]
     ))
     added = K.structural_expand(ranked, ranked, chunks, symbols, edges)
-    return ranked.select("query_id", "chunk_id", "score", "signal").unionByName(
-        added.select("query_id", "chunk_id", "score", F.lit("structural").alias("signal"))
+    return ranked.select("query_id", *SCOPE, "chunk_id", "score", "signal").unionByName(
+        added.select("query_id", *SCOPE, "chunk_id", "score", F.lit("structural").alias("signal"))
     )
 
 
 def covering_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(symbol_id, chunk_id): the chunk that covers a symbol, its namesake first, then the earliest."""
+    """(scope, symbol_id, chunk_id): the chunk that covers a symbol, its namesake first, then the earliest."""
     points = symbols.select(
-        "symbol_id", "file_path", "name", F.col("start_line").alias("symbol_start"), F.col("end_line").alias("symbol_end")
+        *SCOPE, "symbol_id", "file_path", "name", F.col("start_line").alias("symbol_start"), F.col("end_line").alias("symbol_end")
     )
     inside = scale.points_in_intervals(
-        points, chunks.select("chunk_id", "file_path", "symbol_name", "start_line", "end_line"),
-        ["file_path"], "symbol_start", "start_line", "end_line",
+        points, chunks.select(*SCOPE, "chunk_id", "file_path", "symbol_name", "start_line", "end_line"),
+        [*SCOPE, "file_path"], "symbol_start", "start_line", "end_line",
     ).where(F.col("end_line") >= F.col("symbol_end"))
     other = ~F.coalesce(F.col("symbol_name") == F.col("name"), F.lit(False))
-    return inside.groupBy("symbol_id").agg(
+    return inside.groupBy(*SCOPE, "symbol_id").agg(
         F.min_by("chunk_id", F.struct(other.alias("other"), "start_line", "chunk_id")).alias("chunk_id")
     )
 
@@ -103,17 +104,17 @@ def forward_neighbors(symbols: DataFrame, edges: DataFrame, chunks: DataFrame, f
     Order: functions before types, other files first, then file, name, line, id. Relationships are
     made distinct first, so a hub's repeated calls collapse before ranking.
     """
-    calls = edges.where(F.col("kind").isin(FLOW_KINDS) & F.col("to_id").isNotNull()).groupBy("from_id", "to_id").agg(
+    calls = edges.where(F.col("kind").isin(FLOW_KINDS) & F.col("to_id").isNotNull()).groupBy(*SCOPE, "from_id", "to_id").agg(
         F.min("kind").alias("kind"), F.min("confidence").alias("confidence")
     )
     target = symbols.select(
-        F.col("symbol_id").alias("to_id"), F.col("file_path").alias("target_file"), F.col("name").alias("target_name"),
+        *SCOPE, F.col("symbol_id").alias("to_id"), F.col("file_path").alias("target_file"), F.col("name").alias("target_name"),
         F.col("symbol_type").alias("target_type"), F.col("start_line").alias("target_start"),
-    ).join(covering_chunks(symbols, chunks).withColumnRenamed("symbol_id", "to_id"), "to_id")
-    source = symbols.select(F.col("symbol_id").alias("from_id"), F.col("file_path").alias("source_file"))
-    joined = calls.join(target, "to_id").join(source, "from_id")
+    ).join(covering_chunks(symbols, chunks).withColumnRenamed("symbol_id", "to_id"), [*SCOPE, "to_id"])
+    source = symbols.select(*SCOPE, F.col("symbol_id").alias("from_id"), F.col("file_path").alias("source_file"))
+    joined = calls.join(target, [*SCOPE, "to_id"]).join(source, [*SCOPE, "from_id"])
     return scale.top_k(
-        joined, ["from_id"],
+        joined, [*SCOPE, "from_id"],
         [
             F.col("target_type").isin(TYPE_LIKE), F.col("target_file") == F.col("source_file"), F.asc("target_file"),
             F.asc("target_name"), F.asc("target_start"), F.asc("to_id"),
@@ -124,14 +125,14 @@ def forward_neighbors(symbols: DataFrame, edges: DataFrame, chunks: DataFrame, f
 
 def flow_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct resolved call edges with the place of both ends."""
-    calls = edges.where(F.col("kind").isin(FLOW_KINDS) & F.col("to_id").isNotNull()).groupBy("from_id", "to_id", "kind").agg(
+    calls = edges.where(F.col("kind").isin(FLOW_KINDS) & F.col("to_id").isNotNull()).groupBy(*SCOPE, "from_id", "to_id", "kind").agg(
         F.min("confidence").alias("confidence")
     )
     side = lambda key, prefix: symbols.select(
-        F.col("symbol_id").alias(key), F.col("name").alias(f"{prefix}_symbol"), F.col("file_path").alias(f"{prefix}_file"),
+        *SCOPE, F.col("symbol_id").alias(key), F.col("name").alias(f"{prefix}_symbol"), F.col("file_path").alias(f"{prefix}_file"),
         F.col("start_line").alias(f"{prefix}_start"), F.col("end_line").alias(f"{prefix}_end"),
     )
-    return calls.join(side("from_id", "source"), "from_id").join(side("to_id", "target"), "to_id")
+    return calls.join(side("from_id", "source"), [*SCOPE, "from_id"]).join(side("to_id", "target"), [*SCOPE, "to_id"])
 
 
 # ---------------------------------------------------------------- entry and flow
@@ -288,20 +289,22 @@ def ordered_path(trace: DataFrame) -> DataFrame:
 def client_first_hop(entries: DataFrame, direct_calls: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """First direct call by name of a front-end entry that leads to exactly one front-end symbol."""
     front = symbols.where(F.col("file_path").startswith("frontend/"))
-    target = front.select(F.col("symbol_id").alias("to_id"), F.col("name").alias("called"))
-    links = edges.where((F.col("kind") == "CALLS") & F.col("to_id").isNotNull()).select("from_id", "to_id").distinct()
+    target = front.select(*SCOPE, F.col("symbol_id").alias("to_id"), F.col("name").alias("called"))
+    links = edges.where((F.col("kind") == "CALLS") & F.col("to_id").isNotNull()).select(
+        *SCOPE, F.col("from_id").alias("symbol_id"), "to_id").distinct()
+    keys = [*SCOPE, "symbol_id"]
     calls = (
-        entries.join(front.select("symbol_id", F.col("name").alias("_own")), "symbol_id")
-        .join(direct_calls, "symbol_id")
+        entries.select(*keys).join(front.select(*keys, F.col("name").alias("_own")), keys)
+        .join(direct_calls, keys)
         .where(F.col("called") != F.col("_own"))
-        .select("symbol_id", "called")
+        .select(*keys, "called")
         .distinct()
     )
-    hops = calls.join(links, F.col("symbol_id") == F.col("from_id")).join(target, ["to_id", "called"])
-    single = hops.groupBy("symbol_id", "called").agg(
+    hops = calls.join(links, keys).join(target, [*SCOPE, "to_id", "called"])
+    single = hops.groupBy(*keys, "called").agg(
         F.count_distinct("to_id").alias("_n"), F.min("to_id").alias("target_id")
     ).where("_n = 1")
-    return single.groupBy("symbol_id").agg(F.min(F.struct("called", "target_id")).alias("h")).select("symbol_id", "h.*")
+    return single.groupBy(*keys).agg(F.min(F.struct("called", "target_id")).alias("h")).select(*keys, "h.*")
 
 
 def unresolved_calls(nodes: DataFrame, resolved: DataFrame) -> DataFrame:

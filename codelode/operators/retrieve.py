@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,14 @@ SEMANTIC_LIMIT = 30
 LEXICAL_LIMIT = 30
 FUZZY_LIMIT = 10
 FUZZY_THRESHOLD = 0.3
-SCORE_DIGITS = 6
-INLINE_QUERY_LIMIT = 20_000
+SCOPE = scale.SCOPE
+#: Rows of one score matrix; the result doesn't depend on them.
+SLICE_VECTORS = 4096
+BLOCK_QUESTIONS = 256
+#: Float noise of a cosine lies below; equal vectors must score equal in any block.
+COSINE_DIGITS = 12
+#: Likewise for a sum of cover shares, which depends on the order of addition.
+COVER_DIGITS = 9
 
 
 # ---------------------------------------------------------------- vectors
@@ -37,21 +43,11 @@ def _cosine(chunk_matrix: np.ndarray, query_matrix: np.ndarray) -> np.ndarray:
     right = np.linalg.norm(chunk_matrix, axis=1)[None, :]
     norms = left * right
     dots = query_matrix @ chunk_matrix.T
-    return np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), SCORE_DIGITS)
+    return np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), COSINE_DIGITS)
 
 
-def _batch_top(chunks: pd.DataFrame, query_ids: list, query_matrix: np.ndarray, k: int) -> pd.DataFrame:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in chunks["embedding"]])
-    ids = chunks["chunk_id"].to_numpy()
-    scores = _cosine(matrix, query_matrix)
-    picks = [_best_rows(ids, row, k) for row in scores]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.asarray(query_ids, dtype=object), [len(p) for p in picks]),
-            "chunk_id": np.concatenate([ids[p] for p in picks]),
-            "raw_score": np.concatenate([row[p] for row, p in zip(scores, picks)]),
-        }
-    )
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
 def active_vectors(vectors: DataFrame, version: str) -> DataFrame:
@@ -59,98 +55,52 @@ def active_vectors(vectors: DataFrame, version: str) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull() & (F.col("model_version") == version))
 
 
-def semantic_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_LIMIT, inline_limit: int = INLINE_QUERY_LIMIT
-) -> DataFrame:
-    """Exact top k by cosine similarity; zero norms score 0; ties by chunk id.
+def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_LIMIT) -> DataFrame:
+    """Exact top k by cosine similarity inside the corpus version of each query; zero norms score 0; ties by chunk id.
 
-    A query table proven small travels with the tasks, so chunk vectors are never shuffled. A larger
-    one is split into blocks that meet salted slices of the chunks; either way each slice emits at
-    most k rows per query and one ranked merge finishes the job.
+    The vectors of a corpus version are cut into slices and its questions into blocks, both of bounded size by their
+    number of rows. A task scores one block against one slice, so its matrix is bounded, and hands on at most k rows
+    per question; one ranked merge finishes the job. Rows without a vector take no part.
     """
-    schema = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, raw_score double"
-    )
-    vectors = vectors.select("chunk_id", "embedding")
-    queries = queries.select("query_id", "query_embedding")
-    if scale.within_rows(queries, inline_limit):
-        rows = queries.collect()
-        query_ids = [row[0] for row in rows]
-        query_matrix = np.array([row[1] for row in rows], dtype=np.float64)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and query_ids:
-                    yield _batch_top(batch, query_ids, query_matrix, k)
-
-        partial = vectors.mapInPandas(scan, schema)
-    else:
-        spark = vectors.sparkSession
-        slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks = 1 + queries.count() // inline_limit
-        left = vectors.withColumn("_slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn(
-            "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
-        )
-
-        def meet(chunk_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
-            if not len(chunk_part) or not len(query_part):
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "raw_score": []})
-            matrix = np.stack([np.asarray(v, dtype=np.float64) for v in query_part["query_embedding"]])
-            return _batch_top(chunk_part, list(query_part["query_id"]), matrix, k)
-
-        partial = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInPandas(meet, schema)
-    return scale.top_k(partial, ["query_id"], [F.desc("raw_score"), F.asc("chunk_id")], k)
-
-
-def semantic_ann(
-    vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_LIMIT, cells: int = 100, probes: int = 8, seed: int = 7
-) -> DataFrame:
-    """Approximate variant: k-means cells, the nearest cells are probed, then exact re-ranking."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = vectors.select("chunk_id", "embedding", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(points)
-    centers = [[float(v) for v in center] for center in model.clusterCenters()]
-    placed = model.transform(points).select("chunk_id", "embedding", F.col("prediction").alias("cell"))
-    center_rows = F.array(*[F.array(*[F.lit(v) for v in center]) for center in centers])
-    distances = F.transform(
-        center_rows,
-        lambda center, i: F.struct(
-            F.aggregate(
-                F.zip_with(center, "query_embedding", lambda a, b: (a - b) * (a - b)),
-                F.lit(0.0), lambda total, value: total + value,
-            ).alias("distance"),
-            i.alias("cell"),
-        ),
+    kinds = {name: frame.schema[name].dataType.simpleString() for frame, name in (
+        (queries, "query_id"), (vectors, "chunk_id"), (vectors, SCOPE[0]), (vectors, SCOPE[1]))}
+    schema = ", ".join(f"{name} {kinds[name]}" for name in ("query_id", *SCOPE, "chunk_id")) + ", raw_score double"
+    vectors = vectors.where("embedding IS NOT NULL").select(*SCOPE, "chunk_id", "embedding")
+    queries = queries.where("query_embedding IS NOT NULL").select(*SCOPE, "query_id", "query_embedding")
+
+    def parts(frame: DataFrame, rows: int, name: str) -> DataFrame:
+        return frame.groupBy(*SCOPE).agg(F.ceil(F.count("*") / F.lit(rows)).alias(name))
+
+    plan = parts(vectors, SLICE_VECTORS, "_slices").join(parts(queries, BLOCK_QUESTIONS, "_blocks"), SCOPE)
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    left = vectors.join(plan, SCOPE).select(
+        *SCOPE, "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.col("_slices")).alias("_slice"), every("_blocks").alias("_block")
     )
-    probed = queries.select(
-        "query_id", "query_embedding", F.explode(F.slice(F.array_sort(distances), 1, probes)).alias("near")
-    ).select("query_id", "query_embedding", F.col("near.cell").alias("cell"))
-    scored = placed.join(probed, "cell").select(
-        "query_id", "chunk_id", cosine(F.col("embedding"), F.col("query_embedding")).alias("raw_score")
+    right = queries.join(plan, SCOPE).select(
+        *SCOPE, "query_id", "query_embedding", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).alias("_block"), every("_slices").alias("_slice")
     )
-    return scale.top_k(scored, ["query_id"], [F.desc("raw_score"), F.asc("chunk_id")], k)
-
-
-def cosine(left: Column, right: Column) -> Column:
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-            F.lit(0.0), lambda total, value: total + value,
-        )
+    keys = [*SCOPE, "_slice", "_block"]
+
+    def meet(key: tuple, chunk_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
+        if not len(chunk_part) or not len(query_part):
+            return pd.DataFrame({"query_id": [], SCOPE[0]: [], SCOPE[1]: [], "chunk_id": [], "raw_score": []})
+        ids = chunk_part["chunk_id"].to_numpy()
+        scores = _cosine(_matrix(chunk_part["embedding"]), _matrix(query_part["query_embedding"]))
+        picks = [_best_rows(ids, row, k) for row in scores]
+        return pd.DataFrame({
+            "query_id": np.repeat(query_part["query_id"].to_numpy(), [len(p) for p in picks]),
+            SCOPE[0]: key[0], SCOPE[1]: key[1],
+            "chunk_id": np.concatenate([ids[p] for p in picks]),
+            "raw_score": np.concatenate([row[p] for row, p in zip(scores, picks)]),
+        })
 
-    norms = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
-    return F.round(F.when(norms > 0, dot(left, right) / norms).otherwise(0.0), SCORE_DIGITS)
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    return scale.top_k(partial, ["query_id"], [F.desc("raw_score"), F.asc("chunk_id")], k)
 
 
 # ---------------------------------------------------------------- lexical
 
-def postings(chunks: DataFrame, keys: Sequence[str] = ("chunk_id",)) -> DataFrame:
+def postings(chunks: DataFrame, keys: Sequence[str] = (*SCOPE, "chunk_id")) -> DataFrame:
     """One row per token occurrence: (keys, term)."""
     return chunks.select(*keys, F.explode(X.tokens(F.col("content"))).alias("term"))
 
@@ -162,10 +112,10 @@ def _phrase_tokens(text: Column) -> Column:
 
 
 def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, matched, hits, phrase, n_terms) for every chunk with a positive score.
+    """(query_id, chunk_id, matched, hits, phrase, n_terms) for every chunk of the query's corpus version with a positive score.
 
-    Term counts per chunk meet the question terms in one equi-join. Texts are compared only for
-    pairs that hold every inner token of the question.
+    Terms are counted per chunk where the texts are read, before anything moves; the counts meet the question terms
+    in one equi-join. Texts are compared only for pairs that hold every inner token of the question.
     """
     asked = (
         queries.withColumn("query_text", F.trim("query_text"))
@@ -177,46 +127,33 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         .withColumn("_inner", F.when(F.size("_common") > 0, F.col("_common")).otherwise(F.col("_all_inner")))
         .drop("_all_inner", "_common")
     )
-    sizes = asked.select(
-        "query_id", F.size("_terms").alias("n_terms"), F.size("_inner").alias("n_inner"), "query_text"
-    )
+    sizes = asked.select("query_id", F.size("_terms").alias("n_terms"), F.size("_inner").alias("n_inner"), "query_text")
     wanted = asked.select(
-        "query_id", "_terms", "_inner", F.explode(F.array_union("_terms", "_inner")).alias("term")
+        *SCOPE, "query_id", "_terms", "_inner", F.explode(F.array_union("_terms", "_inner")).alias("term")
     ).select(
-        "query_id", "term",
+        *SCOPE, "query_id", "term",
         F.array_contains("_terms", F.col("term")).alias("is_term"),
         F.array_contains("_inner", F.col("term")).alias("is_inner"),
     )
-    vocabulary = wanted.select("term").distinct()
-    # Texts are placed by chunk id once; counting terms and summing per question both reuse that
-    # placement, so neither the token rows nor the (question, chunk) pairs are shuffled. A chunk
-    # table bucketed by chunk id skips even this step.
-    placed = chunks.select("chunk_id", "content").repartition("chunk_id")
-    counts = postings(placed).join(vocabulary, "term", "left_semi").groupBy("chunk_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    pairs = counts.join(wanted, "term").groupBy("query_id", "chunk_id").agg(
+    counts = postings(chunks).groupBy(*SCOPE, "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = counts.join(wanted, [*SCOPE, "term"]).groupBy("query_id", *SCOPE, "chunk_id").agg(
         F.sum(F.when(F.col("is_term"), F.col("tf")).otherwise(0)).alias("hits"),
         F.count_if("is_term").alias("matched"),
         F.count_if("is_inner").alias("inner_matched"),
     )
-    sized = pairs.join(sizes.select("query_id", "n_terms", "n_inner"), "query_id")
+    keys = ["query_id", *SCOPE, "chunk_id"]
+    sized = pairs.join(sizes.select("query_id", "n_inner"), "query_id")
     holds_inner = sized.where((F.col("n_inner") > 0) & (F.col("inner_matched") == F.col("n_inner")))
-    suspects = holds_inner.select("query_id", "chunk_id")
-    short = asked.where(F.size("_inner") == 0)
-    if not short.isEmpty():  # the question table only; most question tables hold no such text
-        suspects = suspects.unionByName(_short_phrase_pairs(placed, short))
+    suspects = holds_inner.select(*keys).unionByName(_short_phrase_pairs(chunks, asked.where(F.size("_inner") == 0)))
     phrases = (
         suspects.join(sizes.select("query_id", "query_text"), "query_id")
-        .join(chunks.select("chunk_id", "content"), "chunk_id")
+        .join(chunks.select(*SCOPE, "chunk_id", "content"), [*SCOPE, "chunk_id"])
         .where(F.contains(F.lower("content"), F.lower("query_text")))
-        .select("query_id", "chunk_id", F.lit(1).alias("phrase"))
-    )
-    counted = pairs.select("query_id", "chunk_id", "hits", "matched").join(
-        phrases, ["query_id", "chunk_id"], "full_outer"
+        .select(*keys, F.lit(1).alias("phrase"))
     )
+    counted = pairs.select(*keys, "hits", "matched").join(phrases, keys, "full_outer")
     return counted.join(sizes.select("query_id", "n_terms"), "query_id").select(
-        "query_id", "chunk_id", "n_terms",
+        *keys, "n_terms",
         F.coalesce("hits", F.lit(0)).alias("hits"),
         F.coalesce("matched", F.lit(0)).alias("matched"),
         F.coalesce("phrase", F.lit(0)).alias("phrase"),
@@ -230,23 +167,23 @@ def _short_phrase_pairs(chunks: DataFrame, short: DataFrame) -> DataFrame:
     words of the corpus by leading gram, then the words lead back to their chunks.
     """
     short = short.select(
-        "query_id",
+        *SCOPE, "query_id",
         F.expr(
             "array_max(transform(regexp_extract_all(lower(query_text), '[A-Za-z0-9_]+', 0), "
             "t -> struct(length(t) AS n, t AS token))).token"
         ).alias("token"),
     )
     short = short.withColumn("gram", F.substring("token", 1, 3))
-    words = postings(chunks).select("term").distinct()
+    words = postings(chunks).select(*SCOPE, "term").distinct()
     positions = F.sequence(F.lit(1), F.length("term"))
     pieces = F.flatten(F.transform(
         positions, lambda i: F.array(*[F.substring("term", i, F.lit(n)) for n in (1, 2, 3)])
     ))
-    spread = words.select("term", F.explode(F.array_distinct(pieces)).alias("gram"))
+    spread = words.select(*SCOPE, "term", F.explode(F.array_distinct(pieces)).alias("gram"))
     holders = (
-        spread.join(short, "gram").where(F.contains("term", F.col("token"))).select("query_id", "term").distinct()
+        spread.join(short, [*SCOPE, "gram"]).where(F.contains("term", F.col("token"))).select("query_id", *SCOPE, "term").distinct()
     )
-    return postings(chunks).join(holders, "term").select("query_id", "chunk_id").distinct()
+    return postings(chunks).join(holders, [*SCOPE, "term"]).select("query_id", *SCOPE, "chunk_id").distinct()
 
 
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT) -> DataFrame:
@@ -256,11 +193,11 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
     exactly the rows of the winning tier.
     """
     scored = lexical_scores(chunks, queries).select(
-        "query_id", "chunk_id",
+        "query_id", *SCOPE, "chunk_id",
         (F.col("matched") == F.col("n_terms")).alias("is_strict"),
-        F.round(F.col("hits") + F.col("phrase") + F.col("matched") / F.col("n_terms"), SCORE_DIGITS).alias("raw_score"),
+        (F.col("hits") + F.col("phrase") + F.col("matched") / F.col("n_terms")).alias("raw_score"),
     )
-    located = scored.join(chunks.select("chunk_id", "file_path", "start_line"), "chunk_id")
+    located = scored.join(chunks.select(*SCOPE, "chunk_id", "file_path", "start_line"), [*SCOPE, "chunk_id"])
     ranked = scale.top_k(
         located, ["query_id"],
         [F.desc("is_strict"), F.desc("raw_score"), F.asc("file_path"), F.asc("start_line"), F.asc("chunk_id")], k,
@@ -284,15 +221,15 @@ def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
     per hit. This approximates a database text dictionary; stems come from a short suffix list.
     """
     asked = queries.select(
-        "query_id",
+        *SCOPE, "query_id",
         F.explode(F.array_distinct(F.transform(X.query_terms(F.col("query_text")), fulltext_stem))).alias("term"),
     )
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    placed = chunks.select("chunk_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "word")).select(
-        "chunk_id", "pos", fulltext_stem(F.col("word")).alias("term")
+    placed = chunks.select(*SCOPE, "chunk_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "word")).select(
+        *SCOPE, "chunk_id", "pos", fulltext_stem(F.col("word")).alias("term")
     )
-    hits = placed.join(asked, "term")
-    per_chunk = hits.groupBy("query_id", "chunk_id").agg(
+    hits = placed.join(asked, [*SCOPE, "term"])
+    per_chunk = hits.groupBy("query_id", *SCOPE, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
         F.count_distinct("term").alias("matched"),
     )
@@ -302,10 +239,10 @@ def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
         lambda a, b: F.when(a["term"] != b["term"], 1.0 / (b["pos"] - a["pos"] + 1)).otherwise(0.0),
     )
     density = F.when(F.col("matched") == 1, F.size("hits") * 0.1).otherwise(
-        F.aggregate(neighbours, F.lit(0.0), lambda total, value: total + value)
+        F.round(F.aggregate(neighbours, F.lit(0.0), lambda total, value: total + value), COVER_DIGITS)
     )
     scored = per_chunk.join(sizes, "query_id").select(
-        "query_id", "chunk_id", F.round(density, SCORE_DIGITS).alias("raw_score"),
+        "query_id", *SCOPE, "chunk_id", density.alias("raw_score"),
         (F.col("matched") == F.col("n_terms")).alias("is_strict"),
     )
     ranked = scale.top_k(
@@ -320,9 +257,9 @@ def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
 def symbol_exact(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Case-sensitive name match scores 1.0, case-insensitive 0.95."""
     asked = queries.select(
-        "query_id", F.trim("query_text").alias("query_text"), F.lower(F.trim("query_text")).alias("_lower")
+        *SCOPE, "query_id", F.trim("query_text").alias("query_text"), F.lower(F.trim("query_text")).alias("_lower")
     ).where(F.col("query_text") != "")
-    joined = symbols.withColumn("_lower", F.lower("name")).join(asked, "_lower")
+    joined = symbols.withColumn("_lower", F.lower("name")).join(asked, [*SCOPE, "_lower"])
     same = F.col("name") == F.col("query_text")
     return joined.withColumn("score", F.when(same, 1.0).otherwise(0.95)).withColumn(
         "match_type", F.when(same, "exact_case_sensitive").otherwise("exact_case_insensitive")
@@ -339,24 +276,28 @@ def gram_counts(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 
 def name_similarity(names: DataFrame, queries: DataFrame) -> DataFrame:
-    """Dice similarity of distinct names and queries above the fuzzy threshold: (query_id, name, score)."""
-    left = gram_counts(names.select("name").distinct(), ["name"], "name")
-    asked = queries.select("query_id", F.trim("query_text").alias("query_text")).where(F.col("query_text") != "")
-    right = gram_counts(asked, ["query_id", "query_text"], "query_text").withColumnRenamed("k", "m")
+    """Dice similarity of distinct names and queries above the fuzzy threshold: (query_id, scope, name, score)."""
+    left = gram_counts(names.select(*SCOPE, "name").distinct(), [*SCOPE, "name"], "name")
+    asked = queries.select(*SCOPE, "query_id", F.trim("query_text").alias("query_text")).where(F.col("query_text") != "")
+    right = gram_counts(asked, [*SCOPE, "query_id", "query_text"], "query_text").withColumnRenamed("k", "m")
     # A pair above the threshold has gram counts within this ratio of each other.
     ratio = (2 - FUZZY_THRESHOLD) / FUZZY_THRESHOLD
     n, m = F.length("name") + 1, F.length("query_text") + 1
-    joined = left.join(right, "gram").where(
+    joined = left.join(right, [*SCOPE, "gram"]).where(
         (n <= m * ratio) & (m <= n * ratio) & (F.lower("name") != F.lower("query_text"))
     )
-    overlap = joined.groupBy("query_id", "query_text", "name").agg(F.sum(F.least("k", "m")).alias("_overlap"))
-    score = F.round(2.0 * F.col("_overlap") / (n + m), SCORE_DIGITS)
-    return overlap.select("query_id", "name", score.alias("score")).where(F.col("score") > FUZZY_THRESHOLD)
+    overlap = joined.groupBy(*SCOPE, "query_id", "query_text", "name").agg(F.sum(F.least("k", "m")).alias("_overlap"))
+    score = 2.0 * F.col("_overlap") / (n + m)
+    return overlap.select("query_id", *SCOPE, "name", score.alias("score")).where(F.col("score") > FUZZY_THRESHOLD)
 
 
 def symbol_fuzzy(symbols: DataFrame, queries: DataFrame, k: int = FUZZY_LIMIT) -> DataFrame:
-    """Trigram-close symbols strictly above the threshold, best k by score, name, id; exact names excluded."""
-    scored = symbols.join(name_similarity(symbols, queries), "name").withColumn("match_type", F.lit("fuzzy"))
+    """Trigram-close symbols strictly above the threshold, best k by score, name, id; exact names excluded.
+
+    Names are ranked before they meet their symbols: each of the best k names has a symbol, so k names are enough.
+    """
+    names = scale.top_k(name_similarity(symbols, queries), ["query_id"], [F.desc("score"), F.asc("name")], k).drop("rank")
+    scored = symbols.join(names, [*SCOPE, "name"]).withColumn("match_type", F.lit("fuzzy"))
     ranked = scale.top_k(scored, ["query_id"], [F.desc("score"), F.asc("name"), F.asc("symbol_id")], k)
     return ranked.drop("rank")
 
@@ -366,7 +307,7 @@ def symbol_matches(symbols: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def owner_join(points: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join symbols (file_path, name, symbol_start, ...) to owning chunks: same file and same name or start line inside.
+    """Join symbols (scope, file_path, name, symbol_start, ...) to owning chunks: same file and same name or start line inside.
 
     Both conditions become keys of one equi-join: a line block or a name. A pair that meets by name
     counts only when the start line lies outside, so no pair is produced twice.
@@ -381,9 +322,9 @@ def owner_join(points: DataFrame, chunks: DataFrame) -> DataFrame:
         lambda x: F.concat(F.lit("b"), x.cast("string")),
     )
     keys = F.filter(F.array_append(blocks, by_name(F.col("symbol_name"))), lambda k: k.isNotNull())
-    right = chunks.select("chunk_id", "file_path", "start_line", "end_line", F.explode(keys).alias("_key"))
+    right = chunks.select(*SCOPE, "chunk_id", "file_path", "start_line", "end_line", F.explode(keys).alias("_key"))
     inside = F.col("symbol_start").between(F.col("start_line"), F.col("end_line"))
-    return left.join(right, ["file_path", "_key"]).where(F.col("_key").startswith("b") == inside).drop("_key")
+    return left.join(right, [*SCOPE, "file_path", "_key"]).where(F.col("_key").startswith("b") == inside).drop("_key")
 
 
 def owner_pairs(matches: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -393,7 +334,7 @@ def owner_pairs(matches: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def symbol_owner_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """Best score per owning chunk with the matched symbols collected in place order."""
-    return owner_pairs(matches, chunks).groupBy("query_id", "chunk_id", "file_path").agg(
+    return owner_pairs(matches, chunks).groupBy("query_id", *SCOPE, "chunk_id", "file_path").agg(
         F.max("score").alias("raw_score"),
         F.array_sort(
             F.collect_set(F.struct(
@@ -406,21 +347,21 @@ def symbol_owner_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:
 def contained_symbols(matches: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Matched symbols of each chunk plus every symbol whose start line lies in it; a match wins over plain containment."""
     hits = owner_pairs(matches, chunks).select(
-        "query_id", "chunk_id", "name", "symbol_start", "symbol_end", "match_type", F.lit(0).alias("_priority")
+        "query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end", "match_type", F.lit(0).alias("_priority")
     )
     inside = scale.points_in_intervals(
         symbols.select(
-            "file_path", "name", F.col("start_line").alias("symbol_start"), F.col("end_line").alias("symbol_end")
+            *SCOPE, "file_path", "name", F.col("start_line").alias("symbol_start"), F.col("end_line").alias("symbol_end")
         ),
-        chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
-            "chunk_id", "file_path", "start_line", "end_line"
+        chunks.join(hits.select(*SCOPE, "chunk_id").distinct(), [*SCOPE, "chunk_id"], "left_semi").select(
+            *SCOPE, "chunk_id", "file_path", "start_line", "end_line"
         ),
-        ["file_path"], "symbol_start", "start_line", "end_line",
-    ).select("chunk_id", "name", "symbol_start", "symbol_end").distinct()
-    added = hits.select("query_id", "chunk_id").distinct().join(inside, "chunk_id").select(
-        "query_id", "chunk_id", "name", "symbol_start", "symbol_end",
+        [*SCOPE, "file_path"], "symbol_start", "start_line", "end_line",
+    ).select(*SCOPE, "chunk_id", "name", "symbol_start", "symbol_end").distinct()
+    added = hits.select("query_id", *SCOPE, "chunk_id").distinct().join(inside, [*SCOPE, "chunk_id"]).select(
+        "query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end",
         F.lit("contained").alias("match_type"), F.lit(1).alias("_priority"),
     )
-    return hits.unionByName(added).groupBy("query_id", "chunk_id", "name", "symbol_start", "symbol_end").agg(
+    return hits.unionByName(added).groupBy("query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end").agg(
         F.min(F.struct("_priority", "match_type"))["match_type"].alias("match_type")
     )

@@ -31,7 +31,7 @@ EVIDENCE_ORDER = (
 def build_evidence(spark, sf):
     t = Tables(spark, sf)
     owners = R.symbol_owner_chunks(R.symbol_matches(t.symbols(), t.symbol_queries()), t.symbol_chunks())
-    ranked = owners.drop("file_path").join(t.symbol_chunks(), "chunk_id").select(
+    ranked = owners.drop("file_path", *R.SCOPE).join(t.symbol_chunks(), "chunk_id").select(
         "query_id", "chunk_id", "file_path", "start_line", "end_line", "symbol_name", "content",
         F.col("matched_symbols").alias("contained"), F.lit(None).cast("string").alias("parent_symbol"),
         F.col("raw_score").alias("score"), F.lit("symbol").alias("signal"),

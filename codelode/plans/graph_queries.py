@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from codelode.catalogue import CATALOGUE
 from codelode.operators import graph as G
 from codelode.operators import retrieve as R
-from codelode.plans.retrieve_queries import MATCH_SQL, OWNER_SQL, sql_stem, terms_cte
+from codelode.plans.retrieve_queries import MATCH_SQL, OWNER_SQL, same, sql_stem, terms_cte
+from codelode.plans.rank_queries import EXPAND_BODY
 from codelode.plans.structure_queries import RESOLVE_SQL, parsed_code
 from codelode.operators import structure as C
 from codelode.plans.understand_queries import sql_shaped
@@ -27,18 +28,19 @@ def recursive(sql: str) -> str:
     f"""WITH {OWNER_SQL}, best AS (SELECT query_id, chunk_id, max(score) AS cs FROM owners GROUP BY query_id, chunk_id),
       r AS (SELECT o.*, cs, row_number() OVER (PARTITION BY o.query_id, o.symbol_id ORDER BY cs DESC, o.file_path, o.start_line, o.chunk_id) AS n
         FROM owners o JOIN best b ON b.query_id = o.query_id AND b.chunk_id = o.chunk_id)
-      SELECT query_id, symbol_id, name, file_path, symbol_start, symbol_end, match_type, cs AS score FROM r WHERE n = 1""", *GRAPH[:3]))
+      SELECT query_id, symbol_id, name, file_path, symbol_start, symbol_end, match_type, round(cs, 6) AS score FROM r WHERE n = 1""", *GRAPH[:3]))
 def find_symbol(spark, sf):
     t = Tables(spark, sf)
-    return G.find_symbol(R.symbol_matches(t.symbols(), t.symbol_queries()), t.symbol_chunks())
+    found = G.find_symbol(R.symbol_matches(t.symbols(), t.symbol_queries()), t.symbol_chunks())
+    return found.drop(*G.SCOPE).withColumn("score", F.round("score", 6))
 
 
-REFERENCE_SQL = """
-  tg AS (SELECT q.query_id, s.*, s.name = q.query_text AS same FROM symbols s JOIN symbol_queries q ON lower(s.name) = lower(q.query_text)),
-  targets AS (SELECT * FROM tg WHERE same OR query_id NOT IN (SELECT query_id FROM tg WHERE same)),
+REFERENCE_SQL = f"""
+  tg AS (SELECT q.query_id, s.*, s.name = q.query_text AS exact_name FROM symbols s JOIN symbol_queries q ON lower(s.name) = lower(q.query_text) AND {same('s', 'q')}),
+  targets AS (SELECT * FROM tg WHERE exact_name OR query_id NOT IN (SELECT query_id FROM tg WHERE exact_name)),
   refs AS (SELECT t.query_id, s.file_path AS file, s.name AS symbol, s.start_line AS line, e.kind, e.confidence, e.from_id AS source_id, e.to_id AS target_id,
       t.file_path AS target_file, t.start_line AS target_start, t.end_line AS target_end
-    FROM edges e JOIN targets t ON t.symbol_id = e.to_id JOIN symbols s ON s.symbol_id = e.from_id)"""
+    FROM edges e JOIN targets t ON t.symbol_id = e.to_id AND {same('t', 'e')} JOIN symbols s ON s.symbol_id = e.from_id AND {same('s', 'e')})"""
 
 
 @query("find_references", oracle(f"WITH {REFERENCE_SQL} SELECT * FROM refs", "symbols", "symbol_queries", "edges"))
@@ -47,20 +49,26 @@ def find_references(spark, sf):
     return G.find_references(t.symbols(), t.edges(), t.symbol_queries())
 
 
-@query("related_chunks")
+@query("related_chunks", oracle(
+    f"""WITH {OWNER_SQL}, own AS (SELECT query_id, repository_id, index_version, chunk_id, file_path, start_line, end_line, max(score) AS score, bool_or(prefix(match_type, 'exact_')) AS is_exact FROM owners GROUP BY ALL),
+      ranked_in AS (SELECT * FROM own WHERE is_exact OR query_id NOT IN (SELECT query_id FROM own WHERE is_exact)),
+      taken AS (SELECT query_id, chunk_id FROM ranked_in), {EXPAND_BODY}
+      SELECT query_id, chunk_id, round(score, 6) AS score, 'symbol' AS signal FROM ranked_in
+      UNION ALL SELECT a.query_id, a.k.id, round(s.score, 6), 'structural' FROM added a JOIN seeds s ON s.query_id = a.query_id AND s.seed_rank = a.k.r""", *GRAPH))
 def related_chunks(spark, sf):
     t = Tables(spark, sf)
     matches = R.symbol_matches(t.symbols(), t.symbol_queries())
-    return G.related_chunks(matches, t.symbol_chunks(), t.symbols(), t.edges())
+    found = G.related_chunks(matches, t.symbol_chunks(), t.symbols(), t.edges())
+    return found.drop(*G.SCOPE).withColumn("score", F.round("score", 6))
 
 
-NEIGHBOR_SQL = """
+NEIGHBOR_SQL = f"""
   cover AS (SELECT s.symbol_id, arg_min(c.chunk_id, CASE WHEN c.symbol_name = s.name THEN 0 ELSE 1 END * 1000000000000 + c.start_line::BIGINT * 10000000 + c.chunk_id) AS chunk_id
-    FROM symbols s JOIN symbol_chunks c ON c.file_path = s.file_path AND s.start_line BETWEEN c.start_line AND c.end_line AND c.end_line >= s.end_line GROUP BY 1),
-  calls AS (SELECT from_id, to_id, min(kind) AS kind, min(confidence) AS confidence FROM edges WHERE kind IN ('CALLS', 'API_CALL') AND to_id IS NOT NULL GROUP BY from_id, to_id),
+    FROM symbols s JOIN symbol_chunks c ON {same('c', 's')} AND c.file_path = s.file_path AND s.start_line BETWEEN c.start_line AND c.end_line AND c.end_line >= s.end_line GROUP BY 1),
+  calls AS (SELECT repository_id, index_version, from_id, to_id, min(kind) AS kind, min(confidence) AS confidence FROM edges WHERE kind IN ('CALLS', 'API_CALL') AND to_id IS NOT NULL GROUP BY repository_id, index_version, from_id, to_id),
   nb AS (SELECT * FROM (SELECT c.*, b.file_path AS target_file, b.name AS target_name, cv.chunk_id, row_number() OVER (PARTITION BY from_id ORDER BY b.symbol_type IN ('CLASS', 'INTERFACE', 'TYPE'),
       b.file_path = a.file_path, b.file_path, b.name, b.start_line, b.symbol_id) AS rank
-    FROM calls c JOIN symbols a ON a.symbol_id = c.from_id JOIN symbols b ON b.symbol_id = c.to_id JOIN cover cv ON cv.symbol_id = c.to_id) WHERE rank <= 2)"""
+    FROM calls c JOIN symbols a ON a.symbol_id = c.from_id AND {same('a', 'c')} JOIN symbols b ON b.symbol_id = c.to_id AND {same('b', 'c')} JOIN cover cv ON cv.symbol_id = c.to_id) WHERE rank <= 2)"""
 
 
 @query("forward_neighbors", oracle(
@@ -73,10 +81,10 @@ def forward_neighbors(spark, sf):
 
 
 @query("flow_edges", oracle(
-    """WITH c AS (SELECT from_id, to_id, kind, min(confidence) AS confidence FROM edges WHERE kind IN ('CALLS', 'API_CALL') AND to_id IS NOT NULL GROUP BY from_id, to_id, kind)
+    f"""WITH c AS (SELECT repository_id, index_version, from_id, to_id, kind, min(confidence) AS confidence FROM edges WHERE kind IN ('CALLS', 'API_CALL') AND to_id IS NOT NULL GROUP BY ALL)
        SELECT c.*, a.name AS source_symbol, a.file_path AS source_file, a.start_line AS source_start, a.end_line AS source_end,
          b.name AS target_symbol, b.file_path AS target_file, b.start_line AS target_start, b.end_line AS target_end
-       FROM c JOIN symbols a ON a.symbol_id = from_id JOIN symbols b ON b.symbol_id = to_id""", "symbols", "edges"))
+       FROM c JOIN symbols a ON a.symbol_id = from_id AND {same('a', 'c')} JOIN symbols b ON b.symbol_id = to_id AND {same('b', 'c')}""", "symbols", "edges"))
 def flow_edges(spark, sf):
     t = Tables(spark, sf)
     return G.flow_edges(t.symbols(), t.edges())
@@ -164,17 +172,19 @@ def flow_trace(spark, sf):
 
 
 @query("client_first_hop", oracle(
-    """WITH front AS (SELECT * FROM symbols WHERE prefix(file_path, 'frontend/')),
-       dc AS (SELECT DISTINCT e.from_id AS symbol_id, s.name AS called FROM edges e JOIN symbols s ON s.symbol_id = e.to_id WHERE confidence = 'high'),
+    f"""WITH front AS (SELECT * FROM symbols WHERE prefix(file_path, 'frontend/')),
+       dc AS (SELECT DISTINCT e.from_id AS symbol_id, s.name AS called FROM edges e JOIN symbols s ON s.symbol_id = e.to_id AND {same('s', 'e')} WHERE confidence = 'high'),
        h AS (SELECT f.symbol_id, dc.called, e.to_id FROM front f JOIN dc ON dc.symbol_id = f.symbol_id AND dc.called <> f.name
-         JOIN (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'CALLS') e ON e.from_id = f.symbol_id JOIN front g ON g.symbol_id = e.to_id AND g.name = dc.called),
+         JOIN (SELECT DISTINCT repository_id, index_version, from_id, to_id FROM edges WHERE kind = 'CALLS') e ON e.from_id = f.symbol_id JOIN front g ON g.symbol_id = e.to_id AND {same('g', 'e')} AND g.name = dc.called),
        s AS (SELECT symbol_id, called, min(to_id) AS target_id FROM h GROUP BY symbol_id, called HAVING count(DISTINCT to_id) = 1)
        SELECT symbol_id, min(called) AS called, arg_min(target_id, called) AS target_id FROM s GROUP BY 1""", "symbols", "edges"))
 def client_first_hop(spark, sf):
     t = Tables(spark, sf)
-    named = t.symbols().select(F.col("symbol_id").alias("to_id"), F.col("name").alias("called"))
-    direct = t.edges().where("confidence = 'high'").join(named, "to_id").select(F.col("from_id").alias("symbol_id"), "called").distinct()
-    return G.client_first_hop(t.symbols().select("symbol_id"), direct, t.symbols(), t.edges())
+    named = t.symbols().select(*G.SCOPE, F.col("symbol_id").alias("to_id"), F.col("name").alias("called"))
+    direct = t.edges().where("confidence = 'high'").join(named, [*G.SCOPE, "to_id"]).select(
+        *G.SCOPE, F.col("from_id").alias("symbol_id"), "called"
+    ).distinct()
+    return G.client_first_hop(t.symbols(), direct, t.symbols(), t.edges()).drop(*G.SCOPE)
 
 
 @query("unresolved_calls", f"""WITH {RESOLVE_SQL}, open AS (SELECT c.path, c.name, c.b, c.direct FROM code_symbols c WHERE concat_ws(':', 'app', path, b, name) NOT IN
@@ -199,10 +209,10 @@ STEP_SQL = f"""{FLOW_SQL},
       CASE WHEN stack[1] IS NOT NULL AND NOT list_contains(done, stack[1]) THEN list_concat(list_transform(list_filter(links, lambda l: l.s = stack[1]), lambda l: l.t), stack[2:]) ELSE stack[2:] END,
       CASE WHEN stack[1] IS NOT NULL AND NOT list_contains(done, stack[1]) THEN list_append(done, stack[1]) ELSE done END, links, visited, queue, total FROM dfs WHERE n < total),
   ordered AS (SELECT query_id, visited, queue, links, generate_subscripts(done, 1) AS position, unnest(done) AS node_id FROM dfs WHERE n = total),
-  pathed AS (SELECT o.query_id, o.position, o.node_id, s.file_path AS file, s.name AS symbol, s.start_line, s.end_line, len(queue) > 0 AND NOT list_contains(visited, o.node_id) AS is_unresolved
+  pathed AS (SELECT o.query_id, o.position, o.node_id, s.repository_id, s.index_version, s.file_path AS file, s.name AS symbol, s.start_line, s.end_line, len(queue) > 0 AND NOT list_contains(visited, o.node_id) AS is_unresolved
     FROM ordered o JOIN symbols s ON s.symbol_id = o.node_id),
   support AS (SELECT p.query_id, p.position, p.node_id, c.chunk_id AS evidence_id, c.start_line AS es, c.end_line AS ee, row_number() OVER (PARTITION BY p.query_id, p.node_id ORDER BY c.chunk_id) AS rank
-    FROM pathed p JOIN symbol_chunks c ON c.file_path = p.file AND p.start_line BETWEEN c.start_line AND c.end_line),
+    FROM pathed p JOIN symbol_chunks c ON {same('c', 'p')} AND c.file_path = p.file AND p.start_line BETWEEN c.start_line AND c.end_line),
   anchor AS (SELECT query_id, node_id, arg_min(es, rank) AS fs, arg_min(ee, rank) AS fe FROM support GROUP BY query_id, node_id),
   placed AS (SELECT p.*, fs, fe, EXISTS (SELECT 1 FROM support s WHERE s.query_id = p.query_id AND s.node_id = p.node_id AND abs(es - p.start_line) <= 5 AND abs(ee - p.end_line) <= 5) AS near
     FROM pathed p JOIN anchor a ON a.query_id = p.query_id AND a.node_id = p.node_id),
@@ -218,15 +228,15 @@ STEP_SQL = STEP_SQL.replace("FROM trace) GROUP BY ALL)", "FROM trace) GROUP BY q
 def stepped(t: Tables):
     trace = stored(traced(t))
     places = t.symbols().select(
-        F.col("symbol_id").alias("node_id"), F.col("file_path").alias("file"), F.col("name").alias("symbol"), "start_line", "end_line"
+        *G.SCOPE, F.col("symbol_id").alias("node_id"), F.col("file_path").alias("file"), F.col("name").alias("symbol"), "start_line", "end_line"
     )
     path = stored(G.ordered_path(trace).join(places, "node_id"))
-    points = path.select("query_id", "position", "node_id", F.col("file").alias("file_path"), F.col("start_line").alias("symbol_start"))
+    points = path.select(*G.SCOPE, "node_id", F.col("file").alias("file_path"), F.col("start_line").alias("symbol_start"))
     from codelode.functions import scale
 
     nodes = scale.points_in_intervals(
-        points.select("node_id", "file_path", "symbol_start").distinct(),
-        t.symbol_chunks().select("chunk_id", "file_path", "start_line", "end_line"), ["file_path"], "symbol_start", "start_line", "end_line",
+        points.distinct(), t.symbol_chunks().select(*G.SCOPE, "chunk_id", "file_path", "start_line", "end_line"),
+        [*G.SCOPE, "file_path"], "symbol_start", "start_line", "end_line",
     )
     support = path.select("query_id", "position", "node_id", "file").join(nodes, "node_id").select(
         "query_id", "position", "node_id", "file", F.col("chunk_id").alias("rank"), F.col("chunk_id").alias("evidence_id"),
@@ -292,7 +302,7 @@ IMPACT_SQL = IMPACT_SQL.replace("USING (chunk_id) GROUP BY ALL)", "USING (chunk_
 
 def impact_evidence(t: Tables):
     owners = R.symbol_owner_chunks(R.symbol_matches(t.symbols(), t.symbol_queries()), t.symbol_chunks())
-    return owners.drop("file_path").join(t.symbol_chunks(), "chunk_id").select(
+    return owners.drop("file_path").join(t.symbol_chunks(), [*G.SCOPE, "chunk_id"]).select(
         "query_id", F.col("chunk_id").alias("evidence_id"), F.col("file_path").alias("file"), F.col("symbol_name").alias("evidence_symbol"),
         "content", "start_line", F.transform("matched_symbols", lambda s: s["name"]).alias("contained_names"),
     )
@@ -326,14 +336,14 @@ def impact_references(spark, sf):
 
 
 @query("impact_mentions", oracle(
-    f"""WITH {IMPACT_SQL}, tgt AS (SELECT DISTINCT query_id, split_part(query_id, '_', 2) AS target FROM symbol_queries WHERE contains(query_id, '_')),
+    f"""WITH {IMPACT_SQL}, tgt AS (SELECT DISTINCT query_id, split_part(query_text, '_', 2) AS target FROM symbol_queries WHERE contains(query_text, '_')),
       m AS (SELECT ev.query_id, file, evidence_symbol AS symbol, min(evidence_id) AS evidence_id FROM ev JOIN tgt USING (query_id)
         WHERE evidence_symbol IS NOT NULL AND evidence_symbol <> target AND contains(content, target) AND (contains(file, 'test') OR contains(file, 'schema') OR contains(file, 'types') OR prefix(file, 'frontend/')) GROUP BY ev.query_id, file, evidence_symbol)
       SELECT m.* FROM m ANTI JOIN direct USING (query_id, file, symbol)""", *GRAPH))
 def impact_mentions(spark, sf):
     t = Tables(spark, sf)
     evidence = stored(impact_evidence(t))
-    targets = t.symbol_queries().where("contains(query_id, '_')").select("query_id", F.split("query_id", "_")[1].alias("target"))
+    targets = t.symbol_queries().where("contains(query_text, '_')").select("query_id", F.split("query_text", "_")[1].alias("target"))
     return G.impact_mentions(evidence, targets, G.impact_direct(impact_definitions(t), evidence))
 
 

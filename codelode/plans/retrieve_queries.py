@@ -127,59 +127,63 @@ def stem_match(spark, sf):
     )
 
 
+def same(a: str, b: str) -> str:
+    """Both rows belong to one corpus version."""
+    return f"{a}.repository_id = {b}.repository_id AND {a}.index_version = {b}.index_version"
+
+
 SEMANTIC_SQL = """
   scored AS (SELECT q.query_id, v.chunk_id, round(coalesce(
       list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.query_embedding AS DOUBLE[]))
       / nullif(sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))
-             * sqrt(list_dot_product(CAST(q.query_embedding AS DOUBLE[]), CAST(q.query_embedding AS DOUBLE[]))), 0), 0), 6) AS raw_score
-    FROM vectors v, query_vectors q {where}),
+             * sqrt(list_dot_product(CAST(q.query_embedding AS DOUBLE[]), CAST(q.query_embedding AS DOUBLE[]))), 0), 0), 12) AS raw_score
+    FROM vectors v JOIN query_vectors q ON v.repository_id = q.repository_id AND v.index_version = q.index_version {where}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, chunk_id) AS rank FROM scored)
 """
 
 
+def six_digits(found):
+    """Scores are ranked as they are and rounded only for the comparison."""
+    return found.select("query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+
+
 @query(
     "semantic_topk",
     oracle(
         "WITH " + SEMANTIC_SQL.format(where="")
-        + "SELECT query_id, chunk_id, raw_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 30",
+        + "SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 30",
         "vectors", "query_vectors",
     ),
 )
 def semantic_topk(spark, sf):
     t = Tables(spark, sf)
-    return R.semantic_topk(t.vectors(), t.query_vectors())
+    return six_digits(R.semantic_topk(t.vectors(), t.query_vectors()))
 
 
 @query(
     "stale_vector_filter",
     oracle(
         "WITH " + SEMANTIC_SQL.format(where=f"WHERE v.model_version = '{MODEL_VERSION}'")
-        + "SELECT query_id, chunk_id, raw_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
+        + "SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
         "vectors", "query_vectors",
     ),
 )
 def stale_vector_filter(spark, sf):
     t = Tables(spark, sf)
-    return R.semantic_topk(R.active_vectors(t.vectors(), MODEL_VERSION), t.query_vectors(), 10)
-
-
-@query("semantic_ann")
-def semantic_ann(spark, sf):
-    t = Tables(spark, sf)
-    return R.semantic_ann(t.vectors(), t.query_vectors(), cells=20)
+    return six_digits(R.semantic_topk(R.active_vectors(t.vectors(), MODEL_VERSION), t.query_vectors(), 10))
 
 
 LEXICAL_SQL = f"""{terms_cte('queries')},
   n AS (SELECT query_id, count(*) AS n_terms FROM queries_terms GROUP BY 1),
-  tf AS (SELECT chunk_id, term, count(*) AS tf FROM (
-      SELECT chunk_id, unnest({sql_tokens('content')}) AS term FROM chunks) GROUP BY ALL),
+  tf AS (SELECT repository_id, index_version, chunk_id, term, count(*) AS tf FROM (
+      SELECT repository_id, index_version, chunk_id, unnest({sql_tokens('content')}) AS term FROM chunks) GROUP BY ALL),
   m AS (SELECT query_id, chunk_id, sum(tf) AS hits, count(*) AS matched
-      FROM queries_terms JOIN tf USING (term) GROUP BY ALL),
+      FROM queries_terms JOIN queries USING (query_id) JOIN tf USING (term, repository_id, index_version) GROUP BY ALL),
   s AS (SELECT q.query_id, c.chunk_id, c.file_path, c.start_line, n_terms, coalesce(hits, 0) AS hits,
       coalesce(matched, 0) AS matched, CASE WHEN contains(lower(c.content), lower(trim(q.query_text))) THEN 1 ELSE 0 END AS phrase
-      FROM queries q JOIN n USING (query_id) CROSS JOIN chunks c
+      FROM queries q JOIN n USING (query_id) JOIN chunks c ON {same('c', 'q')}
       LEFT JOIN m ON m.query_id = q.query_id AND m.chunk_id = c.chunk_id),
-  lexical_scored AS (SELECT *, matched = n_terms AS is_strict, round(hits + phrase + matched / n_terms, 6) AS raw_score
+  lexical_scored AS (SELECT *, matched = n_terms AS is_strict, hits + phrase + matched / n_terms AS raw_score
       FROM s WHERE hits + phrase > 0),
   tier AS (SELECT query_id, bool_or(is_strict) AS best FROM lexical_scored GROUP BY 1),
   lexical_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, file_path, start_line, chunk_id) AS rank
@@ -189,43 +193,68 @@ LEXICAL_SQL = f"""{terms_cte('queries')},
 @query(
     "lexical_topk",
     oracle(
-        f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, raw_score, is_strict, CAST(rank AS INTEGER) AS rank "
+        f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, is_strict, CAST(rank AS INTEGER) AS rank "
         "FROM lexical_ranked WHERE rank <= 30",
         "queries", "chunks",
     ),
 )
 def lexical_topk(spark, sf):
     t = Tables(spark, sf)
-    return R.lexical_topk(t.chunks(), t.queries()).select("query_id", "chunk_id", "raw_score", "is_strict", "rank")
+    return R.lexical_topk(t.chunks(), t.queries()).select(
+        "query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "is_strict", "rank"
+    )
 
 
-@query("fulltext_rank")
+def sql_fulltext_stem(x: str) -> str:
+    return f"CASE WHEN length({x}) > 4 THEN regexp_replace({x}, '{R.FULLTEXT_SUFFIXES}', '') ELSE {x} END"
+
+
+@query(
+    "fulltext_rank",
+    oracle(
+        f"""WITH {terms_cte('queries')},
+        a AS (SELECT DISTINCT q.repository_id, q.index_version, t.query_id, {sql_fulltext_stem('t.term')} AS term FROM queries_terms t JOIN queries q USING (query_id)),
+        n AS (SELECT query_id, count(*) AS n_terms FROM a GROUP BY 1),
+        w AS (SELECT repository_id, index_version, chunk_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos
+          FROM (SELECT *, {sql_tokens('content')} AS t FROM chunks)),
+        h AS (SELECT a.query_id, w.chunk_id, w.pos, a.term, lead(w.pos) OVER s AS next_pos, lead(a.term) OVER s AS next_term
+          FROM a JOIN w ON {same('a', 'w')} AND {sql_fulltext_stem('w.word')} = a.term WINDOW s AS (PARTITION BY a.query_id, w.chunk_id ORDER BY w.pos)),
+        d AS (SELECT query_id, chunk_id, count(DISTINCT term) AS matched, count(*) AS hits,
+          round(coalesce(sum(CASE WHEN next_term <> term THEN 1.0::DOUBLE / (next_pos - pos + 1) ELSE 0 END), 0), 9) AS covers FROM h GROUP BY query_id, chunk_id),
+        z AS (SELECT query_id, chunk_id, CASE WHEN matched = 1 THEN hits * 0.1::DOUBLE ELSE covers END AS raw_score, matched = n_terms AS is_strict FROM d JOIN n USING (query_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_strict DESC, raw_score DESC, chunk_id) AS rank, bool_or(is_strict) OVER (PARTITION BY query_id) AS tier FROM z)
+        SELECT query_id, chunk_id, round(raw_score, 6) AS raw_score, is_strict, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30 AND is_strict = tier""",
+        "queries", "chunks",
+    ),
+)
 def fulltext_rank(spark, sf):
     t = Tables(spark, sf)
-    return R.fulltext_rank(t.chunks(), t.queries())
+    return R.fulltext_rank(t.chunks(), t.queries()).select(
+        "query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), "is_strict", "rank"
+    )
 
 
-EXACT_SQL = """
+EXACT_SQL = f"""
   exact AS (SELECT q.query_id, s.*, CASE WHEN s.name = q.query_text THEN 1.0 ELSE 0.95 END::DOUBLE AS score,
       CASE WHEN s.name = q.query_text THEN 'exact_case_sensitive' ELSE 'exact_case_insensitive' END AS match_type
-      FROM symbols s JOIN symbol_queries q ON lower(s.name) = lower(q.query_text))"""
+      FROM symbols s JOIN symbol_queries q ON lower(s.name) = lower(q.query_text) AND {same('s', 'q')})"""
 GRAM_SQL = """
-  names AS (SELECT DISTINCT name FROM symbols),
-  ng AS (SELECT name, g, count(*) AS k FROM (SELECT name, unnest(list_transform(range(1, length(name) + 2),
+  names AS (SELECT DISTINCT repository_id, index_version, name FROM symbols),
+  ng AS (SELECT repository_id, index_version, name, g, count(*) AS k FROM (SELECT repository_id, index_version, name, unnest(list_transform(range(1, length(name) + 2),
       lambda i: substring('  ' || lower(name) || ' ', i, 3))) AS g FROM names) GROUP BY ALL),
-  qg AS (SELECT query_id, query_text, g, count(*) AS k FROM (SELECT query_id, query_text, unnest(list_transform(range(1, length(query_text) + 2),
+  qg AS (SELECT repository_id, index_version, query_id, query_text, g, count(*) AS k FROM (SELECT repository_id, index_version, query_id, query_text, unnest(list_transform(range(1, length(query_text) + 2),
       lambda i: substring('  ' || lower(query_text) || ' ', i, 3))) AS g FROM symbol_queries) GROUP BY ALL),
-  dice AS (SELECT query_id, query_text, name, round(2.0 * sum(least(ng.k, qg.k)) / (length(name) + 1 + length(query_text) + 1), 6)::DOUBLE AS score
-      FROM ng JOIN qg USING (g) WHERE lower(name) <> lower(query_text) GROUP BY query_id, query_text, name),
+  dice AS (SELECT repository_id, index_version, query_id, query_text, name, 2.0::DOUBLE * sum(least(ng.k, qg.k))::DOUBLE / (length(name) + 1 + length(query_text) + 1) AS score
+      FROM ng JOIN qg USING (g, repository_id, index_version) WHERE lower(name) <> lower(query_text) GROUP BY repository_id, index_version, query_id, query_text, name),
   fuzzy AS (SELECT * FROM (SELECT query_id, s.*, score, 'fuzzy' AS match_type,
       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.name, s.symbol_id) AS rk
-      FROM dice JOIN symbols s USING (name) WHERE score > 0.3) WHERE rk <= 10)"""
-MATCH_COLUMNS = "query_id, symbol_id, name, file_path, symbol_type, start_line, end_line, parent_symbol, score, match_type"
+      FROM dice JOIN symbols s USING (repository_id, index_version, name) WHERE score > 0.3) WHERE rk <= 10)"""
+MATCH_COLUMNS = "query_id, repository_id, index_version, symbol_id, name, file_path, symbol_type, start_line, end_line, parent_symbol, score, match_type"
 MATCH_SQL = f"{EXACT_SQL}, {GRAM_SQL}, matches AS (SELECT {MATCH_COLUMNS} FROM exact UNION ALL SELECT {MATCH_COLUMNS} FROM fuzzy)"
 OWNER_SQL = f"""{MATCH_SQL},
-  owners AS (SELECT m.query_id, c.chunk_id, c.file_path, m.score, m.name, m.match_type, m.start_line AS symbol_start,
+  owners AS (SELECT m.query_id, m.repository_id, m.index_version, c.chunk_id, c.file_path, m.score, m.name, m.match_type, m.start_line AS symbol_start,
       m.end_line AS symbol_end, c.start_line, c.end_line, m.symbol_id, m.symbol_type, m.parent_symbol
-      FROM matches m JOIN symbol_chunks c ON c.file_path = m.file_path
+      FROM matches m JOIN symbol_chunks c ON {same('c', 'm')} AND c.file_path = m.file_path
       AND (c.symbol_name = m.name OR m.start_line BETWEEN c.start_line AND c.end_line))"""
 
 
@@ -235,16 +264,16 @@ def symbol_exact(spark, sf):
     return R.symbol_exact(t.symbols(), t.symbol_queries()).select("query_id", "symbol_id", "score", "match_type")
 
 
-@query("symbol_fuzzy", oracle(f"WITH {GRAM_SQL} SELECT query_id, symbol_id, name, score FROM fuzzy", "symbols", "symbol_queries"))
+@query("symbol_fuzzy", oracle(f"WITH {GRAM_SQL} SELECT query_id, symbol_id, name, round(score, 6) AS score FROM fuzzy", "symbols", "symbol_queries"))
 def symbol_fuzzy(spark, sf):
     t = Tables(spark, sf)
-    return R.symbol_fuzzy(t.symbols(), t.symbol_queries()).select("query_id", "symbol_id", "name", "score")
+    return R.symbol_fuzzy(t.symbols(), t.symbol_queries()).select("query_id", "symbol_id", "name", F.round("score", 6).alias("score"))
 
 
 @query(
     "symbol_owner_chunks",
     oracle(
-        f"""WITH {OWNER_SQL} SELECT query_id, chunk_id, max(score) AS raw_score,
+        f"""WITH {OWNER_SQL} SELECT query_id, chunk_id, round(max(score), 6) AS raw_score,
         string_agg(DISTINCT lpad(symbol_start::VARCHAR, 6, '0') || ':' || name || ':' || match_type, ',' ORDER BY
           lpad(symbol_start::VARCHAR, 6, '0') || ':' || name || ':' || match_type) AS matched
         FROM owners GROUP BY query_id, chunk_id""",
@@ -260,7 +289,7 @@ def symbol_owner_chunks(spark, sf):
         lambda s: F.concat_ws(":", F.lpad(s["symbol_start"].cast("string"), 6, "0"), s["name"], s["match_type"]),
     )
     return owners.select(
-        "query_id", "chunk_id", "raw_score", F.array_join(F.array_sort(F.array_distinct(label)), ",").alias("matched")
+        "query_id", "chunk_id", F.round("raw_score", 6).alias("raw_score"), F.array_join(F.array_sort(F.array_distinct(label)), ",").alias("matched")
     )
 
 
@@ -268,10 +297,10 @@ def symbol_owner_chunks(spark, sf):
     "contained_symbols",
     oracle(
         f"""WITH {OWNER_SQL},
-        own AS (SELECT DISTINCT query_id, chunk_id, file_path, start_line, end_line FROM owners),
+        own AS (SELECT DISTINCT query_id, repository_id, index_version, chunk_id, file_path, start_line, end_line FROM owners),
         alls AS (SELECT query_id, chunk_id, name, symbol_start, symbol_end, 0 AS p, match_type FROM owners
           UNION ALL SELECT o.query_id, o.chunk_id, s.name, s.start_line, s.end_line, 1, 'contained'
-          FROM own o JOIN symbols s ON s.file_path = o.file_path AND s.start_line BETWEEN o.start_line AND o.end_line)
+          FROM own o JOIN symbols s ON {same('s', 'o')} AND s.file_path = o.file_path AND s.start_line BETWEEN o.start_line AND o.end_line)
         SELECT query_id, chunk_id, name, symbol_start, symbol_end, substring(min(p || match_type), 2) AS match_type
         FROM alls GROUP BY query_id, chunk_id, name, symbol_start, symbol_end""",
         "symbols", "symbol_queries", "symbol_chunks",
@@ -280,4 +309,4 @@ def symbol_owner_chunks(spark, sf):
 def contained_symbols(spark, sf):
     t = Tables(spark, sf)
     matches = R.symbol_matches(t.symbols(), t.symbol_queries())
-    return R.contained_symbols(matches, t.symbol_chunks(), t.symbols())
+    return R.contained_symbols(matches, t.symbol_chunks(), t.symbols()).drop(*R.SCOPE)

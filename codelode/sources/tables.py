@@ -38,16 +38,19 @@ class Tables:
         """One retrieval chunk per document."""
         return self.raw("documents").select(
             F.col("source").alias("repository_id"),
+            F.expr("cast(1 + floor(doc_id / 20) % 2 as int)").alias("index_version"),
             F.col("doc_id").alias("chunk_id"),
-            F.expr("concat(source, '/', lang, '/doc_', doc_id, '.md')").alias("file_path"),
+            F.expr("concat(lang, '/doc_', cast(floor(doc_id / 40) as bigint), '.md')").alias("file_path"),
             F.lit(1).alias("start_line"),
             X.line_count(F.col("text")).alias("end_line"),
             F.col("text").alias("content"),
         )
 
     def queries(self) -> DataFrame:
-        return self.raw("benchmark").select(
-            F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
+        """Every benchmark text, asked in each of the 40 versions of the 20 corpora."""
+        return self.raw("benchmark").select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("_n")).select(
+            F.expr("item_id * 40 + _n").alias("query_id"), F.expr("concat('src', _n % 20)").alias("repository_id"),
+            F.expr("cast(1 + floor(_n / 20) as int)").alias("index_version"), F.col("text").alias("query_text"),
         )
 
     def questions(self) -> DataFrame:
@@ -74,6 +77,8 @@ class Tables:
 
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select(
+            F.expr("concat('c', vec_id % 3)").alias("repository_id"),
+            F.expr("cast(1 + floor(vec_id / 3) % 2 as int)").alias("index_version"),
             F.col("vec_id").alias("chunk_id"),
             "embedding",
             F.expr("concat('m', label % 2)").alias("model_version"),
@@ -81,13 +86,15 @@ class Tables:
         )
 
     def query_vectors(self) -> DataFrame:
-        """One question vector per label: the vector with the lowest id of that label."""
-        return self.raw("embeddings").groupBy(F.col("label").alias("query_id")).agg(
-            F.min_by("embedding", "vec_id").alias("query_embedding")
-        )
+        """One question vector per label and corpus version: the vector with the lowest id there."""
+        return self.vectors().groupBy("repository_id", "index_version", "label").agg(
+            F.min_by("embedding", "chunk_id").alias("query_embedding")
+        ).select(F.concat_ws(":", "repository_id", "index_version", "label").alias("query_id"), "repository_id", "index_version", "query_embedding")
 
     def symbols(self) -> DataFrame:
         return self.raw("part").select(
+            F.expr("concat('c', p_partkey % 3)").alias("repository_id"),
+            F.expr("cast(1 + floor(p_partkey / 3) % 2 as int)").alias("index_version"),
             F.col("p_partkey").alias("symbol_id"),
             F.expr(
                 "CASE WHEN p_size % 10 = 0 THEN replace(initcap(p_name), ' ', '_') "
@@ -108,8 +115,9 @@ class Tables:
     def symbol_chunks(self) -> DataFrame:
         """Chunks that carry a symbol name, for joins between symbols and chunks."""
         return self.raw("part").select(
+            F.expr("concat('c', p_partkey % 3)").alias("repository_id"),
+            F.expr("cast(1 + floor(p_partkey / 3) % 2 as int)").alias("index_version"),
             F.col("p_partkey").alias("chunk_id"),
-            F.expr("concat('c', p_brand)").alias("repository_id"),
             F.expr(
                 "concat(CASE p_type WHEN 'ECONOMY' THEN 'frontend/' WHEN 'PROMO' THEN 'backend/tests/' "
                 "ELSE 'backend/' END, lower(p_type), '/m', cast(floor(p_partkey / 40) as bigint), '.py')"
@@ -123,21 +131,25 @@ class Tables:
         )
 
     def symbol_queries(self) -> DataFrame:
-        """Names to look up: every distinct part name, spelled right and spelled wrong."""
+        """Names to look up in each corpus version: every distinct part name, spelled right and spelled wrong."""
         names = self.raw("part").select("p_name").distinct()
         return names.select(
             F.explode(
                 F.expr("array(replace(p_name, ' ', '_'), concat(replace(p_name, 'e', 'a'), 'z'))")
             ).alias("query_text")
-        ).select(F.col("query_text").alias("query_id"), "query_text")
+        ).select("query_text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("_n")).select(
+            "query_text", F.expr("concat('c', _n % 3)").alias("repository_id"), F.expr("cast(1 + floor(_n / 3) as int)").alias("index_version"),
+        ).select(F.concat_ws(":", "repository_id", "index_version", "query_text").alias("query_id"), "repository_id", "index_version", "query_text")
 
     def edges(self) -> DataFrame:
-        """Directed relationships between symbols; some targets are unresolved."""
+        """Directed relationships between symbols; some targets are unresolved, some lie in another corpus by mistake."""
         return self.raw("lineitem").select(
+            F.expr("concat('c', l_partkey % 3)").alias("repository_id"),
+            F.expr("cast(1 + floor(l_partkey / 3) % 2 as int)").alias("index_version"),
             F.col("l_partkey").alias("from_id"),
             F.expr(
-                "CASE WHEN l_discount = 0 THEN NULL WHEN l_returnflag = 'A' THEN l_partkey - l_suppkey "
-                "ELSE l_partkey + l_suppkey + l_linenumber END"
+                "CASE WHEN l_discount = 0 THEN NULL WHEN l_discount = 0.01 THEN l_partkey + 1 WHEN l_returnflag = 'A' THEN l_partkey - 6 * l_suppkey "
+                "ELSE l_partkey + 6 * (l_suppkey + l_linenumber) END"
             ).alias("to_id"),
             F.expr(
                 "CASE concat(l_returnflag, l_linestatus) WHEN 'RF' THEN 'CALLS' WHEN 'RO' THEN 'API_CALL' "
@@ -154,6 +166,8 @@ class Tables:
                 "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
                 "cast(round(l_extendedprice * 100) as bigint))"
             ).alias("chunk_id"),
+            F.expr("concat('c', l_suppkey % 3)").alias("repository_id"),
+            F.expr("cast(1 + l_linenumber % 2 as int)").alias("index_version"),
             F.expr("concat('src/f', l_suppkey % 4, '.py')").alias("file_path"),
             F.expr("cast(l_partkey % 100 + 1 as int)").alias("start_line"),
             F.expr("cast(l_partkey % 100 + 1 + l_quantity as int)").alias("end_line"),
@@ -242,7 +256,7 @@ class Tables:
         return documents.join(labels, "doc_id", "left").select(
             F.col("doc_id").alias("memory_id"),
             F.col("source").alias("repository_id"),
-            F.expr("substring(text, 1, 40)").alias("topic"),
+            F.substring_index("text", "\n", 1).alias("topic"),
             F.col("text").alias("content"),
             F.expr("coalesce(quality = 0, false)").alias("is_stale"),
             F.expr("array(doc_id, doc_id + 1)").alias("evidence_ids"),
@@ -313,11 +327,12 @@ SQL: dict[str, str] = {
     "files": """SELECT source AS repository_id, doc_id AS file_id,
         concat(source, '/', lang, '/doc_', doc_id, '.md') AS path, lang AS language,
         CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha, text AS content FROM documents""",
-    "chunks": """SELECT source AS repository_id, doc_id AS chunk_id,
-        concat(source, '/', lang, '/doc_', doc_id, '.md') AS file_path, 1 AS start_line,
+    "chunks": """SELECT source AS repository_id, CAST(1 + (doc_id // 20) % 2 AS INTEGER) AS index_version, doc_id AS chunk_id,
+        concat(lang, '/doc_', doc_id // 40, '.md') AS file_path, 1 AS start_line,
         CAST(greatest(len(string_split(text, chr(10))) - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END, 1) AS INTEGER)
         AS end_line, text AS content FROM documents""",
-    "queries": "SELECT item_id AS query_id, text AS query_text FROM benchmark",
+    "queries": """SELECT item_id * 40 + n AS query_id, concat('src', n % 20) AS repository_id, CAST(1 + n // 20 AS INTEGER) AS index_version,
+        text AS query_text FROM benchmark, range(40) r(n)""",
     "questions": """SELECT p_partkey AS query_id, concat(
         (['Where is `', 'How does ', 'trace ', 'What is affected by ',
           'open src/', 'Explain the architecture of ', 'usages of ', 'find ', 'official docs for ',
@@ -328,9 +343,10 @@ SQL: dict[str, str] = {
           ' request when users sign up', ' schema; where are tokens saved? what happens next',
           ' and what is the current owner'])[(p_partkey + p_size) % 8 + 1]) AS query_text
         FROM (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part)""",
-    "vectors": """SELECT vec_id AS chunk_id, embedding, concat('m', label % 2) AS model_version, label FROM embeddings""",
-    "query_vectors": "SELECT label AS query_id, arg_min(embedding, vec_id) AS query_embedding FROM embeddings GROUP BY label",
-    "symbols": """SELECT p_partkey AS symbol_id,
+    "vectors": """SELECT concat('c', vec_id % 3) AS repository_id, CAST(1 + (vec_id // 3) % 2 AS INTEGER) AS index_version, vec_id AS chunk_id, embedding, concat('m', label % 2) AS model_version, label FROM embeddings""",
+    "query_vectors": """SELECT concat_ws(':', repository_id, index_version, label) AS query_id, repository_id, index_version,
+        arg_min(embedding, chunk_id) AS query_embedding FROM vectors GROUP BY repository_id, index_version, label""",
+    "symbols": """SELECT concat('c', p_partkey % 3) AS repository_id, CAST(1 + (p_partkey // 3) % 2 AS INTEGER) AS index_version, p_partkey AS symbol_id,
         CASE WHEN p_size % 10 = 0 THEN concat(upper(w1[1]), w1[2:], '_', upper(w2[1]), w2[2:])
              ELSE replace(p_name, ' ', '_') END AS name,
         concat(CASE p_type WHEN 'ECONOMY' THEN 'frontend/' WHEN 'PROMO' THEN 'backend/tests/' ELSE 'backend/' END,
@@ -339,25 +355,26 @@ SQL: dict[str, str] = {
         CAST(p_partkey % 200 + 1 AS INTEGER) AS start_line, CAST(p_partkey % 200 + 1 + p_size AS INTEGER) AS end_line,
         CASE WHEN p_size % 6 = 1 THEN concat('hot_', w2) END AS parent_symbol
         FROM (SELECT *, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part)""",
-    "symbol_chunks": """SELECT p_partkey AS chunk_id, concat('c', p_brand) AS repository_id,
+    "symbol_chunks": """SELECT concat('c', p_partkey % 3) AS repository_id, CAST(1 + (p_partkey // 3) % 2 AS INTEGER) AS index_version, p_partkey AS chunk_id,
         concat(CASE p_type WHEN 'ECONOMY' THEN 'frontend/' WHEN 'PROMO' THEN 'backend/tests/' ELSE 'backend/' END,
                lower(p_type), '/m', p_partkey // 40, '.py') AS file_path,
         CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '_') END AS symbol_name,
         CAST(p_partkey % 200 + 1 AS INTEGER) AS start_line, CAST(p_partkey % 200 + 4 + p_size % 17 AS INTEGER) AS end_line,
         concat('def ', replace(p_name, ' ', '_'), '(x): return ', replace(p_name, ' ', '.'), '(x) # ', p_brand) AS content
         FROM part""",
-    "symbol_queries": """SELECT query_text AS query_id, query_text FROM (
+    "symbol_queries": """SELECT concat_ws(':', repository_id, index_version, query_text) AS query_id, * FROM (
+        SELECT concat('c', n % 3) AS repository_id, CAST(1 + n // 3 AS INTEGER) AS index_version, query_text FROM range(6) r(n), (
         SELECT unnest([replace(p_name, ' ', '_'), concat(replace(p_name, 'e', 'a'), 'z')]) AS query_text
-        FROM (SELECT DISTINCT p_name FROM part))""",
-    "edges": """SELECT l_partkey AS from_id,
-        CASE WHEN l_discount = 0 THEN NULL WHEN l_returnflag = 'A' THEN l_partkey - l_suppkey
-             ELSE l_partkey + l_suppkey + l_linenumber END AS to_id,
+        FROM (SELECT DISTINCT p_name FROM part)))""",
+    "edges": """SELECT concat('c', l_partkey % 3) AS repository_id, CAST(1 + (l_partkey // 3) % 2 AS INTEGER) AS index_version, l_partkey AS from_id,
+        CASE WHEN l_discount = 0 THEN NULL WHEN l_discount = 0.01 THEN l_partkey + 1 WHEN l_returnflag = 'A' THEN l_partkey - 6 * l_suppkey
+             ELSE l_partkey + 6 * (l_suppkey + l_linenumber) END AS to_id,
         CASE concat(l_returnflag, l_linestatus) WHEN 'RF' THEN 'CALLS' WHEN 'RO' THEN 'API_CALL'
              WHEN 'AF' THEN 'REFERENCES' WHEN 'AO' THEN 'EXTENDS' WHEN 'NO' THEN 'CALLS' ELSE 'IMPORTS' END AS kind,
         CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END AS confidence FROM lineitem""",
     "candidates": """SELECT l_orderkey // 8 AS query_id,
         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS chunk_id,
-        concat('src/f', l_suppkey % 4, '.py') AS file_path, CAST(l_partkey % 100 + 1 AS INTEGER) AS start_line,
+        concat('c', l_suppkey % 3) AS repository_id, CAST(1 + l_linenumber % 2 AS INTEGER) AS index_version, concat('src/f', l_suppkey % 4, '.py') AS file_path, CAST(l_partkey % 100 + 1 AS INTEGER) AS start_line,
         CAST(l_partkey % 100 + 1 + l_quantity AS INTEGER) AS end_line, l_extendedprice AS raw_score,
         CASE l_returnflag WHEN 'A' THEN 'semantic' WHEN 'N' THEN 'lexical' ELSE 'symbol' END AS signal FROM lineitem""",
     "evidence": """SELECT l_orderkey // 8 AS context_id,
@@ -393,7 +410,7 @@ SQL: dict[str, str] = {
              CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'x' ELSE '' END) END AS sha
         FROM orders WHERE o_orderpriority <> '5-LOW'""",
     "messages": "SELECT conv_id AS session_id, turn, role, text AS content FROM conversations",
-    "memories": """SELECT doc_id AS memory_id, source AS repository_id, substring(text, 1, 40) AS topic, text AS content,
+    "memories": """SELECT doc_id AS memory_id, source AS repository_id, split_part(text, chr(10), 1) AS topic, text AS content,
         coalesce(quality = 0, false) AS is_stale, [doc_id, doc_id + 1] AS evidence_ids
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "tool_calls": """SELECT user_id AS run_id, event_id AS sequence, event_type AS tool_name, value AS duration_ms,
