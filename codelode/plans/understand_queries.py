@@ -243,19 +243,13 @@ def embedding_dedupe(spark, sf):
     return B.embedding_dedupe(B.embedding_pending(embedded_chunks(Tables(spark, sf)), "m1"))
 
 
-@query("embed_batch")
-def embed_batch(spark, sf):
-    rows = Tables(spark, sf).chunks().select("chunk_id", "content", F.sha2("content", 256).alias("content_hash"))
-    done = B.embed_missing(rows, B.TokenHashProvider())
-    return done.select("chunk_id", F.size("embedding").alias("dimensions"), F.round(F.aggregate(
-        "embedding", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double")), 3).alias("norm"))
-
-
 @query("hash_embedding", oracle(
-    f"""WITH both_t AS (SELECT query_id, query_text FROM questions), {terms_cte('both_t')},
-      b AS (SELECT query_id, CAST(CAST(concat('0x', substring(sha256(term), 1, 8)) AS BIGINT) % 384 AS INTEGER) AS bucket, count(*) AS n FROM both_t_terms GROUP BY ALL),
-      z AS (SELECT query_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1)
-      SELECT query_id, bucket, round(n / norm, 6) AS weight FROM b JOIN z USING (query_id)""", "questions"))
+    f"""WITH {terms_cte('chunks', 'chunk_id', 'content')},
+      b AS (SELECT chunk_id, CAST(concat('0x', substring(sha256(term), 1, 8)) AS BIGINT) % 384 AS bucket, count(*) AS n FROM chunks_terms GROUP BY ALL),
+      z AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1),
+      g AS (SELECT chunk_id, k AS bucket FROM chunks, range(384) r(k))
+      SELECT g.chunk_id, list(round(coalesce(n / norm, 0), 6)::DOUBLE ORDER BY g.bucket) AS embedding
+      FROM g LEFT JOIN b ON b.chunk_id = g.chunk_id AND b.bucket = g.bucket LEFT JOIN z ON z.chunk_id = g.chunk_id GROUP BY g.chunk_id""", "chunks"))
 def hash_embedding(spark, sf):
-    buckets = B.hash_buckets(Tables(spark, sf).questions(), "query_id", F.col("query_text"))
-    return buckets.withColumn("weight", F.round("weight", 6))
+    vectors = B.hash_embedding(Tables(spark, sf).chunks(), F.col("content"))
+    return vectors.select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
