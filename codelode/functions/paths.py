@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Excluded folders, secret names, binary suffixes, languages.
-EXCLUDED_FOLDERS = ".git .next .turbo .cache .venv __pycache__ build coverage dist node_modules venv".split()
+EXCLUDED_FOLDERS = [
+    ".git", ".next", ".turbo", ".cache", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules",
+    "venv",
+]
 SECRET_NAME = r"(?s)^(\.env|\.env\..*|.*\.pem|.*\.key|id_rsa.*|.*\.p12|credentials\.json|secrets\..*)$"
-BINARY_SUFFIXES = (
-    ".7z .a .avi .bin .bmp .class .dll .dylib .exe .gif .gz .ico .jar .jpeg .jpg .mov .mp3 .mp4 .o .pdf .png .pyc "
-    ".so .tar .tgz .wav .webp .zip"
-).split()
+BINARY_SUFFIXES = [
+    ".7z", ".a", ".avi", ".bin", ".bmp", ".class", ".dll", ".dylib", ".exe", ".gif", ".gz", ".ico", ".jar", ".jpeg",
+    ".jpg", ".mov", ".mp3", ".mp4", ".o", ".pdf", ".png", ".pyc", ".so", ".tar", ".tgz", ".wav", ".webp", ".zip",
+]
 LANGUAGES = {
     ".js": "javascript", ".jsx": "jsx", ".py": "python", ".ts": "typescript", ".tsx": "tsx",
     ".json": "config", ".yaml": "config", ".yml": "config", ".toml": "config",

@@ -17,9 +17,15 @@ DETECTED = r"\b([A-Z][A-Za-z0-9.+-]*)\s+is\s+detected\b"
 TECHNOLOGY = r"\b(?i:uses|built with|powered by|backed by)\s+([A-Z][A-Za-z0-9.+-]*)\b"
 COMPONENT = r"\b([A-Z][a-z][A-Za-z0-9_]*)\s+(?:model|service|component|class)\b"
 NUMBER = r"(?<![\w.])\d+(?:\.\d+)?(?![\w.])"
-KNOWN_FRAMEWORKS = "angular django express fastapi flask nestjs next.js react svelte vite vue".split()
-KNOWN_LANGUAGES = "python javascript typescript jsx tsx documentation".split()
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve".split()
+KNOWN_FRAMEWORKS = [
+    "angular", "django", "express", "fastapi", "flask", "nestjs", "next.js", "react", "svelte", "vite", "vue",
+]
+KNOWN_LANGUAGES = [
+    "python", "javascript", "typescript", "jsx", "tsx", "documentation",
+]
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
+]
 PLAIN_FOLDERS = ["top-level", "repository", "project", "source", "no", "application"]
 PLAIN_FRAMEWORKS = ["web", "backend", "frontend", "application", "database", "ui"]
 

@@ -19,7 +19,9 @@ NEARBY_LINES = 5
 FLOW_KINDS = ["CALLS", "API_CALL"]
 TYPE_LIKE = ["CLASS", "INTERFACE", "TYPE"]
 KIND_PRIORITY = {"CALLS": 3, "API_CALL": 3, "REFERENCES": 2, "EXTENDS": 2, "IMPORTS": 1}
-IGNORED_WORDS = "a an and from happens how in is of the to trace what when with".split()
+IGNORED_WORDS = [
+    "a", "an", "and", "from", "happens", "how", "in", "is", "of", "the", "to", "trace", "what", "when", "with",
+]
 PHRASAL = ["in", "on", "up", "out"]
 MODULE = "<module>"
 SCOPE = scale.SCOPE

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from codelode.catalogue import CATALOGUE
 from codelode.functions import paths as P
 from codelode.operators import ingest as I
+from codelode.session import ensure_checkpoint_dir
 from codelode.sources import files as S
 from codelode.sources.tables import Tables, oracle
 from codelode.sources.versions import write_version
@@ -30,16 +30,9 @@ LANG = (
 
 
 def shared_location(spark, name: str) -> str:
-    """A fresh folder for written output: the cluster's shared folder, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared if shared else tempfile.mkdtemp(prefix="codelode-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("scan_tree")
-def scan_tree(spark, sf):
-    """Lists the data folder itself; listing needs no file contents."""
-    return S.read_tree(spark, sf).select("path", "size_bytes")
+    """A fresh folder for written output below the cluster's shared folder; a local one only for local masters."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_manifest", oracle(
