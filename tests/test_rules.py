@@ -38,10 +38,13 @@ def test_phrasal_join_stems_the_first_word(spark):
     ]
 
 
-def ranked(spark, rows):
+SCOPE = "repository_id string, index_version int"
+
+
+def ranked(spark, rows, scopes=(("a", 1),)):
     return spark.createDataFrame(
-        [(1, i, "f.py", s, e, score, "hybrid", ["lexical"], str(i)) for i, (s, e, score) in enumerate(rows)],
-        "query_id int, chunk_id int, file_path string, start_line int, end_line int, score double, signal string, "
+        [(1, *scope, i + 1000 * n, "f.py", s, e, score, "hybrid", ["lexical"], str(i)) for n, scope in enumerate(scopes) for i, (s, e, score) in enumerate(rows)],
+        f"query_id int, {SCOPE}, chunk_id int, file_path string, start_line int, end_line int, score double, signal string, "
         "signals array<string>, content string",
     )
 
@@ -56,6 +59,24 @@ def test_gap_of_five_merges_and_six_does_not(spark):
     assert sorted((r.start_line, r.end_line) for r in merged.collect()) == [(1, 20), (26, 30)]
 
 
+def test_one_path_in_two_corpora_and_versions_stays_apart(spark):
+    rows = [(1, 10, 0.9), (2, 11, 0.7), (15, 20, 0.8)]
+    frame = ranked(spark, rows, (("a", 1), ("a", 2), ("b", 1)))
+    assert sorted(r.chunk_id for r in K.overlap_dedupe(frame).collect()) == [0, 2, 1000, 1002, 2000, 2002]
+    merged = K.adjacent_merge(frame).collect()
+    assert sorted((r.repository_id, r.index_version, r.content) for r in merged) == [(a, v, "0\n1\n2") for a, v in (("a", 1), ("a", 2), ("b", 1))]
+
+
+def test_symbols_are_owned_inside_their_corpus_version_only(spark):
+    matches = spark.createDataFrame(
+        [("q", "a", 1, 7, "run", "src/app.py", 5, 6, 1.0, "exact_case_sensitive")],
+        f"query_id string, {SCOPE}, symbol_id int, name string, file_path string, start_line int, end_line int, score double, match_type string")
+    chunks = spark.createDataFrame(
+        [("a", 1, 1, "src/app.py", "run", 1, 9), ("a", 2, 2, "src/app.py", "run", 1, 9), ("b", 1, 3, "src/app.py", "run", 1, 9)],
+        f"{SCOPE}, chunk_id int, file_path string, symbol_name string, start_line int, end_line int")
+    assert [r.chunk_id for r in R.symbol_owner_chunks(matches, chunks).collect()] == [1]
+
+
 def test_islands_across_line_blocks(spark):
     random.seed(1)
     spans = [(s, s + random.randint(0, 300)) for s in random.sample(range(1, 5000), 60)]
@@ -85,29 +106,36 @@ def test_budget_stops_at_the_first_oversize_item(spark):
     assert [r.evidence_id for r in E.context_budget(frame).collect()] == ["0"]
 
 
-def vectors(spark, rows, key, column):
-    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], f"{key} int, {column} array<double>")
+def vectors(spark, rows, key, column, start=0):
+    data = [("a" if i % 2 else "b", 1, i + start, None if v is None else [float(x) for x in v]) for i, v in enumerate(rows)]
+    return spark.createDataFrame(data, f"{SCOPE}, {key} int, {column} array<double>")
 
 
-def test_vector_blocks_equal_inline_and_zero_norm_scores_zero(spark):
+def test_vector_search_in_many_blocks_equals_numpy(spark, monkeypatch):
+    """More questions and vectors than one block and slice hold, with nulls, zero vectors and equal vectors."""
     random.seed(2)
-    data = [[random.random() for _ in range(8)] for _ in range(40)] + [[0.0] * 8]
-    asked = [[random.random() for _ in range(8)] for _ in range(7)]
-    chunks, queries = vectors(spark, data, "chunk_id", "embedding"), vectors(spark, asked, "query_id", "query_embedding")
-    inline = {tuple(r) for r in R.semantic_topk(chunks, queries, 5).collect()}
-    blocks = {tuple(r) for r in R.semantic_topk(chunks, queries, 5, inline_limit=2).collect()}
-    assert inline == blocks and len(inline) == 35
-    everything = R.semantic_topk(chunks, queries, 41).where("chunk_id = 40").collect()
-    assert {r.raw_score for r in everything} == {0.0}
-    matrix = np.array(data)
-    best = {q: int(np.argmax(matrix @ v / np.maximum(np.linalg.norm(matrix, axis=1), 1e-9))) for q, v in enumerate(map(np.array, asked))}
-    assert {r[0]: r[1] for r in inline if r[3] == 1} == best
+    monkeypatch.setattr(R, "SLICE_VECTORS", 7)
+    monkeypatch.setattr(R, "BLOCK_QUESTIONS", 3)
+    data = [[random.random() for _ in range(8)] for _ in range(60)] + [[0.0] * 8, [0.0] * 8, None, None]
+    data += data[:6]
+    asked = [[random.random() for _ in range(8)] for _ in range(20)] + [None, None]
+    got = {}
+    for r in R.semantic_topk(vectors(spark, data, "chunk_id", "embedding"), vectors(spark, asked, "query_id", "query_embedding"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    expected = {}
+    for q, v in enumerate(asked):
+        if v is not None:
+            rows = [(i, np.array(d)) for i, d in enumerate(data) if d is not None and i % 2 == q % 2]
+            cosine = {i: round(float(d @ v / (np.linalg.norm(d) * np.linalg.norm(v) or 1)), 12) for i, d in rows}
+            expected[q] = sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
+    assert {q: [c for _, c in sorted(rows)] for q, rows in got.items()} == expected
 
 
 def test_short_questions_match_inside_words(spark):
-    chunks = spark.createDataFrame([(1, "f", 1, "the concatenate call"), (2, "g", 1, "no hit"), (3, "h", 1, "cat here")],
-                                   "chunk_id int, file_path string, start_line int, content string")
-    queries = spark.createDataFrame([(1, "cat")], "query_id int, query_text string")
+    chunks = spark.createDataFrame(
+        [("a", 1, 1, "f", 1, "the concatenate call"), ("a", 1, 2, "g", 1, "no hit"), ("a", 1, 3, "h", 1, "cat here"), ("b", 1, 4, "h", 1, "cat here")],
+        f"{SCOPE}, chunk_id int, file_path string, start_line int, content string")
+    queries = spark.createDataFrame([("a", 1, 1, "cat")], f"{SCOPE}, query_id int, query_text string")
     scores = {r.chunk_id: (r.hits, r.phrase) for r in R.lexical_scores(chunks, queries).collect()}
     assert scores == {1: (0, 1), 3: (1, 1)}
 
@@ -118,14 +146,14 @@ def test_fuzzy_score_equal_to_the_threshold_is_excluded(spark):
         return [p[i:i + 3] for i in range(len(p) - 2)]
 
     names, asked = ["alpha", "alpine", "beta", "al"], ["alpaca", "bet"]
-    symbols = spark.createDataFrame([(n,) for n in names], "name string")
-    queries = spark.createDataFrame([(q, q) for q in asked], "query_id string, query_text string")
+    symbols = spark.createDataFrame([("a", 1, n) for n in names], f"{SCOPE}, name string")
+    queries = spark.createDataFrame([("a", 1, q, q) for q in asked], f"{SCOPE}, query_id string, query_text string")
     got = {(r.query_id, r.name): r.score for r in R.name_similarity(symbols, queries).collect()}
     expected = {}
     for q in asked:
         for n in names:
             a, b = grams(q), grams(n)
-            score = round(2 * sum(min(a.count(g), b.count(g)) for g in set(a)) / (len(a) + len(b)), 6)
+            score = (2 * sum(min(a.count(g), b.count(g)) for g in set(a)) / (len(a) + len(b)))
             if score > 0.3:
                 expected[(q, n)] = score
     assert got == expected
