@@ -226,9 +226,10 @@ def near_duplicates(docs: DataFrame, *, size: int, threshold: Fraction, hub_roun
     low, high = f"least(n, hub.n) * {threshold.denominator}", f"greatest(n, hub.n) * {threshold.numerator}"
     for number in range(hub_rounds):
         placed = postings if number == 0 else _in_several(postings, links)
-        hubs = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(number)).alias("draw"), "doc_id", "class", "n")).alias("hub"))
-        if number:
-            hubs = hubs.select("key", F.struct("hub.*").alias("hub"))
+        # Few rare shingles before the key: close to what the list has in common. A drawn one gets another chance after that.
+        draw = F.xxhash64("class", F.lit(number))
+        order = F.struct(F.col("pos") if number == 0 else draw, draw)
+        hubs = placed.groupBy("key").agg(F.min_by(F.struct("doc_id", "class", "n"), order).alias("hub"))
         pairs = (
             placed.join(hubs, "key")
             .where(f"class <> hub.class AND doc_id <> hub.doc_id AND {low} >= {high}")
@@ -243,22 +244,18 @@ def near_duplicates(docs: DataFrame, *, size: int, threshold: Fraction, hub_roun
     main = placed.groupBy("key", "component").agg(F.count("*").alias("len")).groupBy("key").agg(F.max_by("component", "len").alias("main"))
     marked = placed.join(main, "key")
     a, b = marked.where("component <> main").alias("a"), marked.alias("b")
+    # The position filter is exact list by list: at the first shared key of a pair it is weakest, and that list has the pair.
+    total = f"ceil((a.n + b.n) * {threshold.numerator} / {threshold.numerator + threshold.denominator})"
     met = a.join(b, F.expr(
         "a.key = b.key AND a.component <> b.component AND (b.component = b.main OR a.class < b.class)"
         f" AND least(a.n, b.n) * {threshold.denominator} >= greatest(a.n, b.n) * {threshold.numerator}"
+        f" AND least(a.n - a.pos, b.n - b.pos) >= {total}"
     ))
-    sides = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in ("class", "doc_id", "n", "pos")]) for x in "ab"]
+    sides = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in ("class", "doc_id")]) for x in "ab"]
     pairs = (
         met.select(F.least(*sides).alias("l"), F.greatest(*sides).alias("r"))
-        .groupBy(
-            F.col("l.doc_id").alias("left"), F.col("l.class").alias("left_class"),
-            F.col("r.doc_id").alias("right"), F.col("r.class").alias("right_class"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"),
-        )
-        .agg(F.min("l.pos").alias("left_pos"), F.min("r.pos").alias("right_pos"))
-        .where(
-            f"least(ln - left_pos, rn - right_pos) >= ceil((ln + rn) * {threshold.numerator} / {threshold.numerator + threshold.denominator})"
-        )
-        .select("left", "left_class", "right", "right_class")
+        .select(F.col("l.doc_id").alias("left"), F.col("l.class").alias("left_class"), F.col("r.doc_id").alias("right"), F.col("r.class").alias("right_class"))
+        .distinct()
     )
     links = links.union(saved(_verified(pairs, sets, threshold), "links"))
     found = connected_components(links, "left", "right")
