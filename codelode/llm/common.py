@@ -32,9 +32,13 @@ def saved(frame: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of each row in them; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
-    data = column.buffers()[2]
+    if column.null_count:
+        column = column.fill_null("")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, places, data = column.buffers()
+    if places is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(places, dtype=width, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

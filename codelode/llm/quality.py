@@ -16,7 +16,7 @@ from codelode.llm.common import mix, text_bytes, word_hashes
 BITS = 18
 GRAMS = (3, 4)
 ECHO = 8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 _FLAT = np.arange(256, dtype=np.uint8)
 _FLAT[[9, 10, 11, 12, 13]] = 32
 
