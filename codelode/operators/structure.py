@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelode.functions import grammar
+from codelode.functions import layout
 from codelode.functions import paths as P
 from codelode.functions import text as X
 
@@ -23,44 +23,11 @@ CODE_SUFFIXES = [".py", ".js", ".jsx", ".ts", ".tsx"]
 CONFIG_SUFFIXES = [".json", ".yaml", ".yml", ".toml"]
 DOCUMENT_SUFFIXES = [".md", ".txt"]
 
-SYMBOL_TYPE = (
-    "struct<name:string,declared:string,start_line:int,end_line:int,lead_line:int,parent:string,bases:array<string>,"
-    "calls:array<string>,direct_calls:array<string>,refs:array<string>,api_routes:array<string>,"
-    "route_calls:array<struct<callee:string,path:string,method:string>>,has_jsx:boolean>"
-)
-PARSED_SCHEMA = (
-    "parse_ok boolean, is_test boolean, symbols array<" + SYMBOL_TYPE + ">, "
-    "imports array<struct<module:string,names:array<string>,start_line:int,end_line:int>>, exports array<string>"
-)
-
-
 # ---------------------------------------------------------------- extraction
 
-def extract_files(files: DataFrame, extractor: Callable[[str, str], dict] = grammar.extract) -> DataFrame:
-    """One row per code file with parse result, symbols, imports and exports.
-
-    The grammar is a replaceable function of (source, path); Arrow batches feed it and everything
-    after it is relational.
-    """
-    # Parsing costs far more than moving the text, so spread files evenly by their unique key first.
-    code = files.where(P.suffix(F.col("path")).isin(CODE_SUFFIXES) & F.col("content").isNotNull()).select(
-        "repository_id", "path", "content"
-    ).repartition("repository_id", "path")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = []
-            for source, path in zip(batch["content"], batch["path"]):
-                try:
-                    parsed.append(extractor(source, path))
-                except Exception:  # a grammar failure is a parse failure of that file only
-                    parsed.append(grammar.empty(False))
-            frame = pd.DataFrame(parsed, columns=["parse_ok", "is_test", "symbols", "imports", "exports"])
-            frame.insert(0, "path", batch["path"].to_numpy())
-            frame.insert(0, "repository_id", batch["repository_id"].to_numpy())
-            yield frame
-
-    return code.mapInPandas(run, f"repository_id string, path string, {PARSED_SCHEMA}")
+def extract_files(files: DataFrame) -> DataFrame:
+    """One row per code file with parse result, symbols, imports and exports, made inside the row."""
+    return layout.parse(files.where(P.suffix(F.col("path")).isin(CODE_SUFFIXES) & F.col("content").isNotNull()))
 
 
 def symbol_kind(language: Column, s: Column) -> Column:
