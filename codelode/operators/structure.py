@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,18 +248,27 @@ def resolve_api_routes(parsed: DataFrame, files: DataFrame, symbols: DataFrame)
 
 # ---------------------------------------------------------------- chunks
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def line_offsets(content: pd.Series) -> pd.Series:
-    """Characters before each line, and the total at the end."""
-    def offsets(text: str) -> list[int]:
-        at, out = 0, [0]
-        for line in text.split("\n"):
-            at += len(line) + 1
-            out.append(at)
-        out[-1] = len(text)
-        return out[:-1] if text.endswith("\n") else out
-
-    return content.map(offsets)
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def line_offsets(content: pa.Array) -> pa.Array:
+    """Characters before each line, and the total at the end; computed for all texts of a batch together."""
+    column = content.fill_null("").cast(pa.large_string())
+    places = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset:]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[places[0]:places[-1]] if data is not None else np.zeros(0, np.uint8)
+    places = places - places[0]
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    breaks = np.flatnonzero(data == 10) + 1
+    row = np.searchsorted(places, breaks, side="left") - 1
+    total = chars[places[1:]] - chars[places[:-1]]
+    rows = np.arange(len(column))
+    open_end = np.ones(len(column), dtype=bool)
+    filled = rows[np.diff(places) > 0]
+    open_end[filled] = data[places[filled + 1] - 1] != 10
+    owner = np.concatenate([rows, row, rows[open_end]])
+    value = np.concatenate([np.zeros(len(rows), np.int64), chars[breaks] - chars[places[row]], total[open_end]])
+    order = np.argsort(owner, kind="stable")  # zeros, then line ends in reading order, then open totals
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(column)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[order], pa.int32()))
 
 
 def lines_text(content: Column, offsets: Column, start: Column, end: Column) -> Column:

@@ -221,8 +221,9 @@ def session_transcript(spark, sf):
     f"""WITH q AS (SELECT conv_id || '-' || turn AS query_id, source AS repository_id, CASE WHEN role = 'system' THEN '?' ELSE c.text END AS query_text
         FROM conversations c JOIN documents d ON d.doc_id = c.conv_id),
       k AS (SELECT *, {KEYS.format(x='query_text')} AS ks FROM q)
-      SELECT query_id, memory_id FROM k JOIN memories m USING (repository_id) WHERE NOT is_stale AND (len(ks) = 0 OR
-        len(list_filter(ks, lambda z: contains(lower(topic), z) OR contains(lower(content), z))) > 0)""", "memories"))
+      SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, memory_id) AS INTEGER) AS position
+      FROM k JOIN memories m USING (repository_id) WHERE NOT is_stale AND (len(ks) = 0 OR
+        len(list_filter(ks, lambda z: contains(lower(topic), z) OR contains(lower(content), z))) > 0) QUALIFY position <= 50""", "memories"))
 def memory_search(spark, sf):
     t = Tables(spark, sf)
     corpora = t.raw("documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("repository_id"))
@@ -230,7 +231,7 @@ def memory_search(spark, sf):
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), "repository_id",
         F.expr("CASE WHEN role = 'system' THEN '?' ELSE text END").alias("query_text"),
     )
-    return M.memory_search(t.memories(), queries)
+    return M.memory_search(t.memories(), queries, limit=50)
 
 
 @query("memory_admit", oracle(

@@ -260,6 +260,7 @@ class Tables:
             F.col("text").alias("content"),
             F.expr("coalesce(quality = 0, false)").alias("is_stale"),
             F.expr("array(doc_id, doc_id + 1)").alias("evidence_ids"),
+            F.expr("doc_id * 37 % 1000").alias("updated_at"),
         )
 
     def tool_calls(self) -> DataFrame:
@@ -411,7 +412,7 @@ SQL: dict[str, str] = {
         FROM orders WHERE o_orderpriority <> '5-LOW'""",
     "messages": "SELECT conv_id AS session_id, turn, role, text AS content FROM conversations",
     "memories": """SELECT doc_id AS memory_id, source AS repository_id, split_part(text, chr(10), 1) AS topic, text AS content,
-        coalesce(quality = 0, false) AS is_stale, [doc_id, doc_id + 1] AS evidence_ids
+        coalesce(quality = 0, false) AS is_stale, [doc_id, doc_id + 1] AS evidence_ids, doc_id * 37 % 1000 AS updated_at
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "tool_calls": """SELECT user_id AS run_id, event_id AS sequence, event_type AS tool_name, value AS duration_ms,
         props AS args, ts AS started_at FROM events""",

@@ -194,3 +194,41 @@ def test_calls_on_imported_modules_are_unresolved(spark):
         "node_id string, symbol string, calls array<string>, direct_calls array<string>, source_text string, file_text string, explicit array<string>")
     none = spark.createDataFrame([], "node_id string")
     assert [tuple(r) for r in G.unresolved_calls(nodes, none).collect()] == [("n", "get")]
+
+
+def parsed(spark, path, text):
+    return C.extract_files(spark.createDataFrame([("r", path, text)], "repository_id string, path string, content string")).first()
+
+
+def test_a_route_call_takes_the_method_of_its_own_arguments(spark):
+    row = parsed(spark, "a.ts", "export function go() {\n  fetch('/a');\n  fetch('/b', { method: 'POST', body: pack(1) });\n}\n")
+    assert [(c.path, c.method) for c in row.symbols[0].route_calls] == [("/a", "GET"), ("/b", "POST")]
+
+
+def test_brackets_in_regular_expressions_strings_and_comments_pair_up(spark):
+    text = "// (\nconst clean = (s) => {\n  return s.replace(/[(]\\(/g, '(').trim();\n};\n"
+    row = parsed(spark, "a.js", text)
+    assert row.parse_ok and [(x.name, x.start_line, x.end_line, x.lead_line, x.calls) for x in row.symbols] == [("clean", 2, 4, 1, ["replace", "trim"])]
+    assert not parsed(spark, "a.js", "const f = () => {\n").parse_ok
+
+
+def test_python_blocks_decorators_nested_functions_and_imports(spark):
+    text = (
+        "import os, sys as system\nfrom .pkg import (\n    one,\n    two as deux,\n)\n\n# lead\n@mark\n@app.post('/x')\nasync def outer(\n    a,\n):\n"
+        "    def inner():\n        return a()\n    return inner(not_called)\n\n\nclass Box(Base, mod.Mixin):\n    '(text'\n    def get(self):\n        return self.put('(')\n"
+    )
+    row = parsed(spark, "test_a.py", text)
+    got = [(x.name, x.declared, x.start_line, x.end_line, x.lead_line, x.parent, x.calls, x.direct_calls, x.bases, x.api_routes) for x in row.symbols]
+    assert got == [
+        ("outer", "function", 8, 15, 6, None, ["a", "inner"], ["a", "inner"], [], ["@app.post('/x')"]),
+        ("Box", "class", 18, 21, 16, None, [], [], ["Base", "mod.Mixin"], []),
+        ("get", "method", 20, 21, 20, "Box", ["put"], [], [], []),
+    ]
+    assert row.is_test and [(i.module, i.names, i.start_line, i.end_line) for i in row.imports] == [("os", ["os", "sys"], 1, 1), (".pkg", ["one", "two"], 2, 5)]
+
+
+def test_line_offsets_count_characters(spark):
+    texts = ["", "ab", "ab\n", "é\n\nx", "\n", "日本\ny\n", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    got = {r.i: r.o for r in frame.select("i", C.line_offsets(F.col("t")).alias("o")).collect()}
+    assert [got[i] for i in range(7)] == [[0, 0], [0, 2], [0, 3], [0, 2, 3, 4], [0, 1], [0, 3, 5], [0, 0]]
