@@ -34,7 +34,8 @@ def build_evidence(ranked: DataFrame) -> DataFrame:
         F.struct(F.lit("parent_symbol").alias("key"), F.col("parent_symbol").alias("value")),
     )
     return ranked.select(
-        "query_id", F.col("chunk_id").alias("evidence_id"), "file_path", "start_line", "end_line",
+        "query_id", *[name for name in scale.SCOPE if name in ranked.columns], F.col("chunk_id").alias("evidence_id"),
+        "file_path", "start_line", "end_line",
         F.coalesce("symbol_name", F.try_element_at(exact, F.lit(1))["name"]).alias("symbol"),
         F.substring("content", 1, EXCERPT_CHARS).alias("content_excerpt"),
         F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("metadata"),
@@ -53,10 +54,10 @@ def evidence_order() -> list[Column]:
 
 
 def evidence_dedupe(evidence: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """First row per place, or per URL for web rows, in evidence order (or the given order)."""
+    """First row per place in its corpus (and version, where there is one), or per URL for web rows, in evidence order (or the given order)."""
     web = F.col("source_type") == "WEB"
     place = F.when(web, F.concat(F.lit("WEB\u0000"), F.coalesce("url", F.lit("")))).otherwise(
-        F.concat_ws("\u0000", "repository_id", "file_path", F.col("start_line").cast("string"), F.col("end_line").cast("string"))
+        F.concat_ws("\u0000", *[F.col(name).cast("string") for name in scale.SCOPE if name in evidence.columns], "file_path", F.col("start_line").cast("string"), F.col("end_line").cast("string"))
     )
     return scale.first_per(
         evidence.withColumn("_place", place), ["context_id", "_place"], order or evidence_order()

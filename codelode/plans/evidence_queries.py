@@ -329,7 +329,7 @@ def confidence_downgrade(spark, sf):
 
 CONTEXT_SQL = f"""{SCORED.replace('AS score', "AS score, rpad(chunk_id, CAST(trunc(raw_score) AS INTEGER) % 3000 + 30, 'x') AS content, [signal] AS signals")},
   {DEDUPE_SQL.format(source='scored')},
-  thin AS (SELECT s.* FROM scored s JOIN survivors USING (query_id, file_path, chunk_id)), {ADJACENT_SQL.format(source='thin')},
+  thin AS (SELECT s.* FROM scored s JOIN survivors USING (query_id, repository_id, index_version, file_path, chunk_id)), {ADJACENT_SQL.format(source='thin')},
   ev AS (SELECT query_id, file_path, start_line, end_line, score, CASE WHEN len(ids) = 1 THEN ids[1] ELSE sha256(array_to_string(ids, ':')) END AS evidence_id,
       least(length(content), 4000) AS chars FROM adjacent),
   ctx_ord AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path, start_line, evidence_id) AS rank FROM ev),
@@ -353,7 +353,7 @@ def build_context(spark, sf):
     ).select(
         F.col("query_id").alias("context_id"), "evidence_id", "file_path", "start_line", "end_line",
         F.col("metadata")["score"].cast("double").alias("score"), F.length("content_excerpt").cast("long").alias("chars"),
-        F.lit("CODE").alias("source_type"), F.lit("app").alias("repository_id"),
+        F.lit("CODE").alias("source_type"), "repository_id", "index_version",
         (F.col("metadata")["is_structural_expansion"] == "true").alias("is_structural"), F.lit(None).cast("string").alias("url"),
     )
     kept = E.context_budget(E.evidence_dedupe(evidence))
