@@ -239,15 +239,16 @@ def flow_trace(entries: DataFrame, neighbors: DataFrame, expansions: int = EXPAN
         F.col("target_file").alias("file"), F.col("to_id").alias("id"), "kind",
     )
     lists = neighbors.groupBy(F.col("from_id").alias("_head")).agg(F.array_sort(F.collect_list(child)).alias("_children"))
-    edge_type = "array<struct<source:bigint,target:bigint,kind:string>>"
+    id_type = entries.schema["symbol_id"].dataType.simpleString()
+    edge_type = f"array<struct<source:{id_type},target:{id_type},kind:string>>"
     state = entries.select(
         "query_id", F.array("symbol_id").alias("queue"), F.array("symbol_id").alias("path"),
-        F.expr("cast(array() as array<bigint>)").alias("visited"), F.expr(f"cast(array() as {edge_type})").alias("edges"),
+        F.expr(f"cast(array() as array<{id_type}>)").alias("visited"), F.expr(f"cast(array() as {edge_type})").alias("edges"),
     )
     for _ in range(expansions):
         joined = state.withColumn("_head", F.try_element_at("queue", F.lit(1))).join(lists, "_head", "left")
         children = F.coalesce("_children", F.filter("_children", lambda c: F.lit(False)), F.expr(
-            "cast(array() as array<struct<upper:boolean,name:string,file:string,id:bigint,kind:string>>)"
+            f"cast(array() as array<struct<upper:boolean,name:string,file:string,id:{id_type},kind:string>>)"
         ))
         ids = F.transform(children, lambda c: c["id"])
         rest = F.slice("queue", F.lit(2), F.greatest(F.size("queue") - 1, F.lit(0)))

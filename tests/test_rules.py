@@ -232,3 +232,11 @@ def test_line_offsets_count_characters(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
     got = {r.i: r.o for r in frame.select("i", C.line_offsets(F.col("t")).alias("o")).collect()}
     assert [got[i] for i in range(7)] == [[0, 0], [0, 2], [0, 3], [0, 2, 3, 4], [0, 1], [0, 3, 5], [0, 0]]
+
+
+def test_a_flow_walks_string_ids(spark):
+    rows = [("a:1", "a:2", "two", "f.py", "CALLS"), ("a:2", "a:3", "Three", "g.py", "CALLS"), ("a:2", "a:1", "one", "f.py", "API_CALL")]
+    neighbors = spark.createDataFrame(rows, "from_id string, to_id string, target_name string, target_file string, kind string")
+    entries = spark.createDataFrame([("q", "a:1"), ("lone", "z:9")], "query_id string, symbol_id string")
+    got = {r.query_id: (r.path, len(r.edges), r.is_partial) for r in G.flow_trace(entries, neighbors).collect()}
+    assert got == {"q": (["a:1", "a:2", "a:3"], 3, False), "lone": (["z:9"], 0, False)}
