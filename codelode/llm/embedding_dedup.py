@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by rounds of random trees that follow the local density."""
 
 from __future__ import annotations
 
@@ -6,23 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import connected_components, local_roots, saved
+from codelode.llm.common import connected_components, local_roots, mix, saved
 
-#: Sorted orders and neighbours looked at in each. More passes find more pairs that stand alone; a group is found as a
-#: whole once its members are chained.
-PASSES = 16
-NEIGHBOURS = 32
-SIGN_BITS = 62
+#: Vectors of a leaf at most; all pairs of a leaf are compared. A width with no more vectors than that is compared as a whole.
+LEAF = 8192
+#: Trees of a round. Rounds go on until one finds nothing new.
+TREES = 4
+#: The driver makes the upper levels of a tree from so many vectors and bytes at most, a task the levels below.
+SAMPLE_ROWS = 65_536
+SAMPLE_BYTES = 32 << 20
+SAMPLE_LEAF = 32
 #: Components up to this size are compared as one matrix, larger ones by pivot and blocks of this many vectors.
 BLOCK = 256
 
-_FOUND = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("edge", pa.int64()), ("tail", pa.bool_()), ("pass", pa.int32()), ("place", pa.int32()), ("vector", pa.list_(pa.float32()))])
-_FOUND_SQL = "left long, right long, edge long, tail boolean, pass int, place int, vector array<float>"
-
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of equal length as unit vectors in double precision."""
@@ -57,99 +56,153 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "class"), different
 
 
-def _passes(different: DataFrame, passes: int) -> DataFrame:
-    """Each vector once a pass, with the signs of its random projections of that pass as one integer."""
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            signs = np.zeros((len(batch), passes), dtype=np.int64)
-            for rows in _of_each_width(batch["vector"]):
-                unit = _matrix(batch["vector"].take(pa.array(rows)))
-                width = unit.shape[1]
-                if width not in planes:
-                    planes[width] = np.random.default_rng(width).normal(size=(width, passes * SIGN_BITS))
-                bits = (unit @ planes[width] > 0).reshape(len(rows), passes, SIGN_BITS)
-                signs[rows] = bits @ (1 << np.arange(SIGN_BITS - 1, -1, -1, dtype=np.int64))
-            for number in range(passes):
-                yield pa.RecordBatch.from_arrays(
-                    [batch["class"], pa.array(np.full(len(batch), number, np.int32)), pa.array(signs[:, number]), batch["vector"]],
-                    ["class", "pass", "signs", "vector"],
-                )
-
-    return different.select("class", "vector").mapInArrow(per_batch, "class long, pass int, signs long, vector array<float>")
+def _direction(unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A random direction in which these vectors spread around their own centre."""
+    found = rng.normal(size=len(unit)) @ (unit - unit.mean(axis=0))
+    length = np.linalg.norm(found)
+    return found / length if length > 1e-12 else rng.normal(size=unit.shape[1])
 
 
-def _near(unit: np.ndarray, ids: np.ndarray, group: np.ndarray, reach: int, least: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most `reach` apart, of the same group, with cosine >= least; with `split`, only across it."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, min(reach, len(ids) - 1) + 1):
-        at = np.arange(len(ids) - step) if split is None else np.arange(max(0, split - step), min(split, len(ids) - step))
-        at = at[group[at] == group[at + step]]
-        at = at[np.einsum("ij,ij->i", unit[at], unit[at + step]) >= least]
-        left.append(ids[at])
-        right.append(ids[at + step])
-    return np.concatenate(left), np.concatenate(right)
+def _jitter(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Tiny offsets that split vectors of one direction evenly, otherwise in every tree."""
+    return mix(ids.view(np.uint64) ^ mix(np.full(1, seed, np.uint64))).astype(np.float64) * 2.0**-64 * 1e-9
 
 
-def window_links(different: DataFrame, *, least: float, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(left, right) links of classes among near neighbours in each pass, as a star of each task's linked groups.
+def _tree(unit: np.ndarray, ids: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Directions and medians of the nodes of each level, made from a sample."""
+    rng, node, levels = np.random.default_rng(seed), np.zeros(len(unit), np.int64), []
+    for level in range(depth):
+        directions, medians = np.zeros((1 << level, unit.shape[1])), np.zeros(1 << level)
+        side = np.zeros(len(unit), np.int64)
+        order = np.argsort(node, kind="stable")
+        bounds = np.searchsorted(node[order], np.arange((1 << level) + 1))
+        for k in range(1 << level):
+            at = order[bounds[k] : bounds[k + 1]]
+            if len(at):
+                directions[k] = _direction(unit[at], rng)
+                value = unit[at] @ directions[k] + _jitter(ids[at], seed + level)
+                medians[k] = np.median(value)
+                side[at] = value > medians[k]
+        levels.append((directions, medians))
+        node = 2 * node + side
+    return levels
+
+
+def _leaves(unit: np.ndarray, ids: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], seed: int) -> np.ndarray:
+    node = np.zeros(len(unit), np.int64)
+    for level, (directions, medians) in enumerate(levels):
+        value = np.einsum("ij,ij->i", unit, directions[node]) + _jitter(ids, seed + level)
+        node = 2 * node + (value > medians[node])
+    return node
+
+
+def _halved(unit: np.ndarray, ids: np.ndarray, seed: int) -> Iterator[np.ndarray]:
+    """Places of the vectors of each leaf, by halving what is larger than a leaf at medians."""
+    rng, open_parts = np.random.default_rng(seed), [np.arange(len(unit))]
+    while open_parts:
+        at = open_parts.pop()
+        if len(at) <= LEAF:
+            yield at
+            continue
+        value = unit[at] @ _direction(unit[at], rng) + _jitter(ids[at], int(rng.integers(1 << 62)))
+        at = at[np.argpartition(value, len(at) // 2)]
+        open_parts += [at[: len(at) // 2], at[len(at) // 2 :]]
+
+
+def _joined(unit: np.ndarray, root: np.ndarray, least: float) -> np.ndarray:
+    """Groups (smallest place) of the vectors of a leaf by their cosines, begun from the groups `root`."""
+    small = unit.astype(np.float32)
+    for begin in range(0, len(unit), BLOCK):
+        rows = slice(begin, begin + BLOCK)
+        # single precision leaves out what is surely below, double precision decides
+        close = (small[rows] @ small[begin:].T >= least - 1e-5) & (root[rows][:, None] != root[begin:][None, :])
+        left, right = np.nonzero(close)
+        for k in range(0, len(left), 1 << 16):
+            a, b = left[k : k + (1 << 16)] + begin, right[k : k + (1 << 16)] + begin
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            linked = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+            if linked.any():
+                nodes, lowest = local_roots(root[a[linked]], root[b[linked]])
+                moved = np.arange(len(root))
+                moved[nodes] = lowest
+                root = moved[root]
+    return root
+
+
+def _round(rows: DataFrame, widths: dict[int, int], number: int, least: float) -> DataFrame:
+    """(left, right): links between components of `rows` (class, component, vector) that lie in one leaf of this round."""
+    total = sum(widths.values())
+    trees: list[dict[int, list]] = [{} for _ in range(TREES if max(widths.values(), default=0) > LEAF else 1)]
+    for width, count in widths.items():
+        take = min(SAMPLE_ROWS, max(SAMPLE_BYTES // (4 * width), 2 * SAMPLE_LEAF))
+        depth = max(0, min(int(np.ceil(np.log2(count / LEAF))), int(np.log2(min(take, count) / SAMPLE_LEAF)) if count > LEAF else 0))
+        if not depth:
+            continue
+        limit = int(2.0**32 * min(1.0, take / count))
+        drawn = rows.where(F.size("vector") == width).where(F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 32)) < limit)
+        sample = drawn.select("class", "vector").toArrow()
+        unit, ids = _matrix(sample["vector"]), sample["class"].to_numpy()
+        for k, tree in enumerate(trees):
+            tree[width] = _tree(unit, ids, depth, 1000 * (number * TREES + k))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, tree in enumerate(trees):
+                seed = 1000 * (number * TREES + k)
+                leaf = np.zeros(len(batch), np.int64)
+                for at in _of_each_width(batch["vector"]):
+                    unit = _matrix(batch["vector"].take(pa.array(at)))
+                    if unit.shape[1] in tree:
+                        leaf[at] = _leaves(unit, batch["class"].to_numpy()[at], tree[unit.shape[1]], seed)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(batch), k, np.int32)), batch["vector"].value_lengths(), pa.array(leaf), batch["class"], batch["component"], batch["vector"]],
+                    ["tree", "width", "leaf", "class", "component", "vector"],
+                )
 
-    The passes are sorted together by (pass, signs); neighbours are compared while a sorted partition streams by. The
-    first and last vectors of each partition are compared across the border afterwards.
+    def compare(table: pa.Table) -> pa.Table:
+        unit, ids = _matrix(table["vector"]), table["class"].to_numpy()
+        labels, group = np.unique(table["component"].to_numpy(), return_inverse=True)
+        seed = [number, table["tree"][0].as_py(), table["leaf"][0].as_py()]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in _halved(unit, ids, seed):
+            present, begin = np.unique(group[at], return_inverse=True)
+            first = np.zeros(len(present), np.int64)
+            first[begin[::-1]] = np.arange(len(at))[::-1]
+            root = _joined(unit[at], first[begin], least)
+            top = root[first]
+            left.append(labels[present[top != first]])
+            right.append(labels[group[at]][top[top != first]])
+        return pa.table({"left": np.concatenate(left), "right": np.concatenate(right)})
+
+    if not total:
+        return rows.select(F.col("class").alias("left"), F.col("class").alias("right"))
+    placed = rows.select("class", "component", "vector").mapInArrow(place, "tree int, width int, leaf long, class long, component long, vector array<float>")
+    return placed.groupBy("tree", "width", "leaf").applyInArrow(compare, "left long, right long")
+
+
+def forest_components(different: DataFrame, *, least: float) -> DataFrame:
+    """(node, component) of the classes that are linked with others.
+
+    Every tree halves the vectors at medians of random directions around the centre of each part, so a dense region is
+    cut as often as its number of vectors needs, and all pairs of a leaf are compared. Rounds of new trees go on until
+    one finds no link between two components: the number of trees follows from what the region still hides. If no
+    width has more vectors than a leaf, one round has compared all pairs.
     """
-    shuffled = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def star(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nodes, roots = local_roots(left, right) if len(left) else (left, right)
-        return nodes[nodes != roots], roots[nodes != roots]
-
-    def borders(edge: int, tail: bool, part: pa.Table) -> pa.RecordBatch:
-        n = len(part)
-        places = pa.array(np.arange(n) - (n if tail else 0), pa.int32())
-        columns = [part["class"], pa.nulls(n, pa.int64()), pa.array(np.full(n, edge)), pa.array(np.full(n, tail)), part["pass"], places, part["vector"]]
-        return pa.Table.from_arrays(columns, schema=_FOUND).combine_chunks().to_batches()
-
-    def links(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        rest = [pa.nulls(len(left), field.type) for field in list(_FOUND)[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), *rest], schema=_FOUND)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge, held, head = TaskContext.get().partitionId(), None, None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if head is None or len(head) < neighbours:
-                head = rows.slice(0, neighbours) if head is None else pa.concat_tables([head, rows.slice(0, neighbours - len(head))])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            yield links(*compare(rows, None))
-            held = rows.slice(max(0, len(rows) - neighbours))
-        if head is not None:
-            yield from borders(edge - 1, False, head)
-            yield from borders(edge, True, held)
-
-    def compare(rows: pa.Table, split: int | None) -> tuple[np.ndarray, np.ndarray]:
-        ids, order = rows["class"].to_numpy(), rows["pass"].to_numpy()
-        vectors = rows["vector"].combine_chunks()
-        width = np.asarray(vectors.value_lengths())
-        if len(np.unique(width)) == 1:
-            return star(*_near(_matrix(vectors), ids, order, neighbours, least, split))
-        pairs = []
-        for at in _of_each_width(vectors):
-            cut = None if split is None else int((at < split).sum())
-            pairs.append(_near(_matrix(vectors.take(pa.array(at))), ids[at], order[at], neighbours, least, cut))
-        return star(*(np.concatenate(side) for side in zip(*pairs, strict=True)))
-
-    def across(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        rows = pa.table({"class": table["left"], "pass": table["pass"], "vector": table["vector"]})
-        split = int(np.asarray(table["tail"]).sum())
-        left, right = compare(rows, split) if 0 < split < len(rows) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"left": left, "right": right})
-
-    ordered = _passes(different, passes).repartitionByRange(shuffled, "pass", "signs", "class").sortWithinPartitions("pass", "signs", "class")
-    found = saved(ordered.mapInArrow(stream, _FOUND_SQL), "window-links")
-    crossed = found.where("edge IS NOT NULL").groupBy("edge").applyInArrow(across, "left long, right long")
-    return found.where("edge IS NULL").select("left", "right").union(crossed)
+    widths = {r["width"]: r["count"] for r in different.groupBy(F.size("vector").alias("width")).count().collect()}
+    links, found, number = None, None, 0
+    while True:
+        rows = different.withColumn("component", F.col("class")) if found is None else different.join(
+            found, F.col("class") == F.col("node"), "left"
+        ).select("class", "vector", F.coalesce("component", "class").alias("component"))
+        new = saved(_round(rows, widths, number, least), "tree-links")
+        if found is not None and new.isEmpty():
+            return found
+        links = new if links is None else links.union(new)
+        found = saved(connected_components(links, "left", "right"), "vector-components")
+        number += 1
+        if max(widths.values(), default=0) <= LEAF:
+            return found
 
 
 def _counts(members: DataFrame, least: float, bundles: int) -> DataFrame:
@@ -223,18 +276,17 @@ def _counts(members: DataFrame, least: float, bundles: int) -> DataFrame:
     return compared.union(inside).union(own).groupBy("class").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.95, passes: int = PASSES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Equal vectors are one class throughout and are linked with each other. Different vectors are linked if their cosine
-    in double precision is at least `least` and they fall into one component of the links that the passes find; inside
+    in double precision is at least `least` and they fall into one component of the links that the trees find; inside
     a component every such pair counts. Unusable vectors are linked with nothing, vectors of different length neither.
     A row without vec_id counts as a vector, and has a component only with others.
     """
     rows, different = classes(vectors)
     different = saved(different, "different-vectors")
-    links = window_links(different, least=least, passes=passes, neighbours=neighbours)
-    found = saved(connected_components(links, "left", "right"), "vector-components")
+    found = forest_components(different, least=least)
     grouped = different.join(found, F.col("class") == F.col("node"))
     counts = _counts(grouped.select("class", "members", "vector", "component"), least, 1 + different.count() // 4096)
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))

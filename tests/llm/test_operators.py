@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,3 +414,32 @@ def test_links_of_odd_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert got[None].n_links == 0 and got[None].kept is False
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.85])
+def test_planted_pairs_in_a_hot_direction_are_found(spark, cosine):
+    from codelode.llm.common import saved
+
+    rng = np.random.default_rng(8)
+    rows, width, pairs = 100_000, 64, 2_000
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    vectors = unit(rng.normal(size=(rows, width)))
+    hot = rows // 3
+    away = unit(rng.normal(size=(hot, width)))
+    vectors[:hot] = unit(np.sqrt(cosine) * unit(rng.normal(size=width)) + np.sqrt(1 - cosine) * away)
+    for begin in (0, hot):  # partners at cosine 0.955, half of them inside the hot third
+        one = vectors[begin : begin + pairs]
+        side = vectors[begin + pairs : begin + 2 * pairs]
+        side = unit(side - (side * one).sum(1, keepdims=True) * one)
+        vectors[begin + pairs : begin + 2 * pairs] = 0.955 * one + np.sqrt(1 - 0.955**2) * side
+    frame = saved(spark.createDataFrame(pa.table({"vec_id": np.arange(rows), "embedding": list(vectors.astype("f4"))})), "test-vectors")
+    got = embedding_dedup.near_vectors(frame).select("vec_id", "component_id", "n_links").toPandas().sort_values("vec_id")
+    component, links = got["component_id"].to_numpy(), got["n_links"].to_numpy()
+    for begin in (0, hot):
+        ours, theirs = np.arange(begin, begin + pairs), np.arange(begin + pairs, begin + 2 * pairs)
+        recall = np.mean((component[ours] == component[theirs]) & (links[ours] > 0))
+        print(f"recall of planted pairs, cosine {cosine}, from {begin}: {recall:.4f}")
+        assert recall >= 0.999
