@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,31 +52,56 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lower case, only a-z, 0-9 and inner dots, single spaces.
+#: Ends of pieces of text, and the sign before an identifier that stands for the pieces it was found in.
+MARK, FOUND = "\u0001", "\u0002"
+
 
-    A sentence ends at . ! or ? before white space, at an empty line, and at a line end before a capital letter, so
-    wrapped lines of one sentence stay together.
+def pieces(text: Column) -> Column:
+    """Normalised text, its pieces parted by marks: lower case, only a-z, 0-9 and inner dots, single spaces.
+
+    A piece ends at . ! or ? before white space, at an empty line, and at a line end before a capital letter. A
+    sentence is one piece or several: lines are also wrapped before capital letters.
     """
-    mark = "\u0001"
-    cut = F.regexp_replace(text, "([.!?])[ \\t\\r\\n]+", "$1" + mark)
-    cut = F.regexp_replace(cut, "\\n[ \\t\\r]*([A-Z\\n])", mark + "$1")
-    plain = F.regexp_replace(F.lower(cut), f"[^a-z0-9.{mark}]+", " ")
-    return F.transform(F.split(plain, mark), lambda s: F.btrim(s, F.lit(" .")))
+    cut = F.regexp_replace(text, "([.!?])[ \\t\\r\\n]+", "$1" + MARK)
+    cut = F.regexp_replace(cut, "\\n[ \\t\\r]*([A-Z\\n])", MARK + "$1")
+    return F.regexp_replace(F.lower(cut), f"[^a-z0-9.{MARK}]+", " ")
+
+
+def sentences(text: Column) -> Column:
+    """Pieces of the text, where one or several in a row that make a known sentence are FOUND and its identifier."""
+    between = f"[ .{MARK}]"
+    known = F.array(*[
+        F.struct(
+            F.lit(sentence).alias("sentence"),
+            F.lit(f"(?<=^|{MARK})[ .]*" + f"{between}+".join(re.escape(w) for w in sentence.split(" ")) + f"[ .]*(?={MARK}|$)").alias("pattern"),
+            F.lit(FOUND + name).alias("name"),
+        )
+        for sentence, name in sorted(SENTENCES.items(), key=lambda x: -len(x[0]))
+    ])
+
+    def joined(state: Column, one: Column) -> Column:
+        replaced = F.regexp_replace(state["marked"], one["pattern"], one["name"])
+        return F.struct(F.when(F.contains(state["flat"], one["sentence"]), replaced).otherwise(state["marked"]).alias("marked"), state["flat"].alias("flat"))
+
+    def found(marked: Column) -> Column:
+        flat = F.regexp_replace(marked, f"{between}*{MARK}{between}*", " ")
+        return F.aggregate(known, F.struct(marked.alias("marked"), flat.alias("flat")), joined, lambda state: state["marked"])
+
+    # an array of one binds the normalised text, so that it is made once
+    return F.transform(F.split(F.transform(F.array(pieces(text)), found)[0], MARK), lambda s: F.btrim(s, F.lit(" .")))
 
 
 def license_statements(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rule, licence, statements): what each document says about its licence.
 
-    Sentences are looked up among the known ones; another sentence that speaks of a licence or copyright counts as
-    Unknown and the rest is skipped. The identifiers in reading order are matched against the ordered rules. All
+    Sentences are looked up among the known ones, however their lines are wrapped; another piece that speaks of a
+    licence or copyright counts as Unknown and the rest is skipped. The identifiers in reading order are matched against the ordered rules. All
     work stays inside the row: nothing is shuffled, and a repeated or null id changes nothing. Null and empty texts
     say nothing and give no row.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     spoken = F.transform(
         sentences(F.col(text)),
-        lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.contains("licens") | s.contains("licenc") | s.contains("copyright"), F.lit("Unknown"))),
+        lambda s: F.when(s.startswith(FOUND), F.substring(s, 2, 99)).when(s.contains("licens") | s.contains("licenc") | s.contains("copyright"), F.lit("Unknown")),
     )
     told = F.array_join(F.transform(F.filter(spoken, lambda x: x.isNotNull()), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     rules = F.array(*[
