@@ -32,11 +32,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of near copies (five-word shingles, similarity 0.8); rows without id stay."""
-    found = near_duplicates(docs, size=5, threshold=Fraction(8, 10))
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """One row of every group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
+
+    Rows are compared by their texts, whatever their ids: rows that share a doc_id or have none stay unless their text
+    is in a group with a smaller row. Rows without id come last in a group.
+    """
+    keyed = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), size=5, threshold=Fraction(8, 10))
+    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return keyed.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

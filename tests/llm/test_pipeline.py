@@ -91,3 +91,15 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_near_copies_are_removed_by_row(spark, documents):
+    rng = random.Random(21)
+    text = [words(rng, 60, 3000) for _ in range(6)]
+    near = [*text[1]]
+    near[30] = "changed"
+    a, b, c, d, e, f = (" ".join(t) for t in text)
+    rows = [(1, a), (5, a), (5, b), (5, c), (6, " ".join(near)), (None, d), (None, d), (None, c), (8, e), (8, e), (None, None), (9, ""), (9, f)]
+    got = corpus_pipeline.near_stage(spark, documents(rows), "").collect()
+    kept = sorted(((r.doc_id, r.text) for r in got), key=repr)
+    assert kept == sorted([(1, a), (5, b), (5, c), (None, d), (8, e), (None, None), (9, ""), (9, f)], key=repr)
