@@ -37,20 +37,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item is repeated where, on one alignment of the two token sequences, WINDOW consecutive tokens (all of a
     shorter item) agree but for SUBSTITUTIONS of them (in proportion for a shorter item). `alignments` counts the
     alignments and `matched` is the largest number of agreeing tokens in a window. Items under SPAN tokens, and null or
-    empty texts, repeat nothing. Rows without an id count under the null id.
+    empty texts, repeat nothing. Every row is aligned on its own, and the rows of one id, or without an id, are counted
+    together afterwards. Rows are told apart by their place, so `docs` has to be read in the same order by a repeated
+    task, as a stored table is.
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
     items = items.select("item_id", tokens_of(F.col("item_text")).alias("tokens")).where(F.size("tokens") >= SPAN)
     known = _seeds(items, "item_id").select("item_id", F.col("tokens").alias("item"), F.col("at").alias("item_at"), "seed").distinct()
     if known.count() <= BROADCAST_SEEDS:
         known = F.broadcast(known)
-    found = _seeds(docs.select("doc_id", tokens_of(F.col("text")).alias("tokens")), "doc_id").join(known, "seed")
+    found = _seeds(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens_of(F.col("text")).alias("tokens")), "row", "doc_id").join(known, "seed")
     shift = F.col("at") - F.col("item_at")
     begin = F.greatest(shift, F.lit(0))
     aligned = (
-        found.select("doc_id", "item_id", shift.alias("shift"), F.slice("tokens", begin + 1, F.size("item") - (begin - shift)).alias("ours"), "item")
-        .groupBy("doc_id", "item_id", "shift")
-        .agg(F.first("ours").alias("ours"), F.first("item").alias("item"))
+        found.select("row", "doc_id", "item_id", shift.alias("shift"), F.slice("tokens", begin + 1, F.size("item") - (begin - shift)).alias("ours"), "item")
+        .groupBy("row", "item_id", "shift")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("ours").alias("ours"), F.first("item").alias("item"))
     )
     theirs = F.slice("item", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("ours"))
     hits = F.zip_with("ours", theirs, lambda x, y: (x == y).cast("int"))

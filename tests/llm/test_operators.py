@@ -266,6 +266,16 @@ def test_a_benchmark_beyond_the_broadcast_bound_gives_the_same_leaks(spark, docu
     assert [tuple(r) for r in decontam.leaks(documents(rows), benchmark).collect()] == [(1, 1, 1, 10)]
 
 
+def test_rows_of_one_id_and_without_id_are_aligned_on_their_own(spark, documents):
+    item = " ".join(f"item{i}" for i in range(20))
+    seed_only = " ".join([*item.split()[:7], *(f"other{i}" for i in range(13))])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for doc_id in (7, None):
+        for rows in ([(doc_id, seed_only), (doc_id, item)], [(doc_id, item), (doc_id, seed_only)]):
+            got = decontam.leaks(documents(rows).coalesce(1), benchmark).collect()
+            assert [tuple(r) for r in got] == [(doc_id, 1, 1, 13)]
+
+
 # --- 5 n-gram join
 
 def sets_of(rows, size):

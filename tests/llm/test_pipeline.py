@@ -103,3 +103,13 @@ def test_near_copies_are_removed_by_row(spark, documents):
     got = corpus_pipeline.near_stage(spark, documents(rows), "").collect()
     kept = sorted(((r.doc_id, r.text) for r in got), key=repr)
     assert kept == sorted([(1, a), (5, b), (5, c), (None, d), (8, e), (None, None), (9, ""), (9, f)], key=repr)
+
+
+def test_leaking_rows_are_removed_by_row(spark, documents, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    seed_only = " ".join([*item.split()[:7], *(f"other{i}" for i in range(13))])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(3, seed_only), (3, item), (None, item), (None, seed_only), (None, None), (4, "clean")]
+    got = corpus_pipeline.decontamination_stage(spark, documents(rows), str(tmp_path))
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert kept == sorted([(3, seed_only), (None, seed_only), (None, None), (4, "clean")], key=repr)
