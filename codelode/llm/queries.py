@@ -255,6 +255,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("headers", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")))
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS digest
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(DISTINCT (doc_id, size, digest)) AS units FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s),
+o AS (SELECT *, [1, 2, 3][i % 3 + 1] AS weight, 3 * source_size AS most FROM w),
+q AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS asked
+  FROM o WINDOW b AS (ORDER BY most / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(most::DOUBLE, max(asked) OVER () * weight) AS target FROM q),
+x AS (SELECT *, least(most, floor(target + 0.5)::BIGINT) AS words FROM t),
+p AS (
+  SELECT d.*, x.source_size, x.target, x.units, CASE WHEN x.source_size = 0 THEN 0 ELSE x.words // x.source_size END AS passes,
+    CASE WHEN x.source_size = 0 THEN 0 ELSE x.words % x.source_size END AS rest,
+    md5(coalesce(doc_id::VARCHAR, '') || '#' || digest || '#' || (CASE WHEN x.source_size = 0 THEN 0 ELSE x.words // x.source_size END) || '#0') AS lot
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+l AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(lot, 1, 8))::BIGINT % greatest(1, units // 4096), lot, doc_id, digest, size, r) - size AS before
+  FROM p)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (passes * size + least(size, greatest(0, rest - before)))::BIGINT AS taken FROM l
+"""
+
+
+@LLM.query("op11_source_mixture", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.mixing import Mixture
+
+    mixture = Mixture(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3, block=1024)
+    return mixture.documents().select("doc_id", "size", "source_size", "target", "taken")
+
+
 @LLM.query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
