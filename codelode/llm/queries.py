@@ -287,6 +287,44 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.documents().select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP12_SQL = rf"""
+WITH t0 AS (SELECT i AS n, i::BIGINT AS c FROM range(256) r(i)),
+t1 AS (SELECT n, list_reduce(list_prepend(c, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM t0),
+crc AS (SELECT list(c ORDER BY n) AS cells FROM t1),
+t AS (
+  SELECT conv_id, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM t),
+b AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM t),
+c AS (SELECT conv_id, base, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, cells[(xor(a, x) & 255) + 1]))) % 4 AS h FROM b, crc),
+r AS (
+  SELECT c.conv_id, pos, id, words FROM c JOIN o USING (conv_id) WHERE pos > h OR base = c.conv_id
+  UNION ALL SELECT c.conv_id, pos, id, words FROM c JOIN o ON o.conv_id = c.base WHERE base <> c.conv_id AND pos <= h),
+s AS (SELECT c.conv_id, coalesce(string_agg(id, '' ORDER BY pos), '') AS path, list(words ORDER BY pos) AS words, count(id) AS depth FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, depth, path, words, unnest(range(depth + 1)) AS d FROM s),
+n AS (
+  SELECT substr(path, 1, 32 * d) AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d = 0 THEN 0 ELSE words[d] END) AS w,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = d), '') AS ends
+  FROM p GROUP BY substr(path, 1, 32 * d), d),
+k AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT *, unnest(range(d + 1)) AS a FROM m),
+v AS (SELECT substr(path, 1, 32 * a) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens FROM u GROUP BY substr(path, 1, 32 * a))
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN v USING (path) LEFT JOIN n q ON m.d > 0 AND q.path = substr(m.path, 1, 32 * (m.d - 1))
+"""
+
+
+@LLM.query("op12_conversation_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelode.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 @LLM.query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
