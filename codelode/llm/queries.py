@@ -325,6 +325,16 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@LLM.query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codelode.llm.alignment import alignment_summary
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment_summary(table(spark, sf_dir, "documents"), a, b)
+
+
 @LLM.query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
