@@ -227,12 +227,20 @@ def select_entry_symbol(questions: DataFrame, candidates: DataFrame) -> DataFram
     )
 
 
-def flow_trace(entries: DataFrame, neighbors: DataFrame, expansions: int = EXPANSIONS) -> DataFrame:
-    """Bounded forward walk: (query_id, path, edges, visited, is_partial).
+def flow_trace(
+    entries: DataFrame, neighbors: DataFrame, expansions: int = EXPANSIONS, first_hops: DataFrame | None = None,
+    open_calls: DataFrame | None = None,
+) -> DataFrame:
+    """Bounded forward walk: (query_id, path, edges, visited, open, cut, is_partial).
+
+    One row per question holds the open list, ordered by priority; it is bounded by `expansions` and the neighbours'
+    fan-out. Every round expands its head by one equi-join with the neighbour lists; found nodes go ahead of the others
+    and no node is expanded twice. Rounds are few and fixed, so lineage stays short.
 
-    One row per question holds the queue. Every round expands its head by one equi-join with the
-    neighbour lists (at most two targets each); found nodes go ahead of the queue and no node is
-    expanded twice. Rounds are few and fixed, so lineage stays short.
+    first_hops (symbol_id, target_id or null, tried): the walk goes from the entry to that target, and on from there;
+    each call that was tried for it takes one expansion. open_calls (node_id, call): a node without neighbours ends in
+    a node `unresolved:<node>:<call>`, which is listed in `open`. `cut` lists the nodes that were found, but not
+    expanded, because the bound ended the walk. Both need string ids.
     """
     child = F.struct(
         F.col("target_name").rlike("^[A-Z]").alias("upper"), F.col("target_name").alias("name"),
@@ -240,16 +248,30 @@ def flow_trace(entries: DataFrame, neighbors: DataFrame, expansions: int = EXPAN
     )
     lists = neighbors.groupBy(F.col("from_id").alias("_head")).agg(F.array_sort(F.collect_list(child)).alias("_children"))
     id_type = entries.schema["symbol_id"].dataType.simpleString()
-    edge_type = f"array<struct<source:{id_type},target:{id_type},kind:string>>"
-    state = entries.select(
-        "query_id", F.array("symbol_id").alias("queue"), F.array("symbol_id").alias("path"),
-        F.expr(f"cast(array() as array<{id_type}>)").alias("visited"), F.expr(f"cast(array() as {edge_type})").alias("edges"),
-    )
-    for _ in range(expansions):
-        joined = state.withColumn("_head", F.try_element_at("queue", F.lit(1))).join(lists, "_head", "left")
-        children = F.coalesce("_children", F.filter("_children", lambda c: F.lit(False)), F.expr(
-            f"cast(array() as array<struct<upper:boolean,name:string,file:string,id:{id_type},kind:string>>)"
-        ))
+    call = F.lit(None).cast("string")
+    if open_calls is not None:
+        lists = lists.join(open_calls.select(F.col("node_id").alias("_head"), F.col("call").alias("_call")), "_head", "full_outer")
+        call = F.col("_call")
+    lists = lists.select("_head", "_children", call.alias("_call"))
+    edge = f"struct<source:{id_type},target:{id_type},kind:string>"
+    nothing = F.expr(f"cast(array() as array<{id_type}>)")
+    begun = entries.select("query_id", "symbol_id")
+    if first_hops is None:
+        begun = begun.withColumns({"target_id": F.lit(None).cast(id_type), "tried": F.lit(0)})
+    else:
+        begun = begun.join(first_hops.select("symbol_id", "target_id", "tried"), "symbol_id", "left")
+    hops = F.col("target_id").isNotNull()
+    state = begun.select(
+        "query_id", F.array(F.coalesce("target_id", "symbol_id")).alias("queue"),
+        F.when(hops, F.array("symbol_id", "target_id")).otherwise(F.array("symbol_id")).alias("path"),
+        F.when(hops, F.array("symbol_id")).otherwise(nothing).alias("visited"),
+        F.when(hops, F.array(F.struct(F.col("symbol_id").alias("source"), F.col("target_id").alias("target"), F.lit("CALLS").alias("kind"))))
+        .otherwise(F.expr(f"cast(array() as array<{edge}>)")).alias("edges"),
+        nothing.alias("open"), F.coalesce("tried", F.lit(0)).alias("used"),
+    )
+    for number in range(expansions):
+        joined = state.withColumn("_head", F.when(F.col("used") + number < expansions, F.try_element_at("queue", F.lit(1)))).join(lists, "_head", "left")
+        children = F.coalesce("_children", F.expr(f"cast(array() as array<struct<upper:boolean,name:string,file:string,id:{id_type},kind:string>>)"))
         ids = F.transform(children, lambda c: c["id"])
         rest = F.slice("queue", F.lit(2), F.greatest(F.size("queue") - 1, F.lit(0)))
         active = F.col("_head").isNotNull()
@@ -258,14 +280,23 @@ def flow_trace(entries: DataFrame, neighbors: DataFrame, expansions: int = EXPAN
         links = F.transform(
             children, lambda c: F.struct(F.col("_head").alias("source"), c["id"].alias("target"), c["kind"].alias("kind"))
         )
+        ends, end = nothing, F.expr(f"cast(array() as array<{edge}>)")
+        if open_calls is not None:
+            name = F.concat_ws(":", F.lit("unresolved"), "_head", "_call")
+            ended = (F.size(children) == 0) & F.col("_call").isNotNull()
+            ends = F.when(ended, F.array(name)).otherwise(nothing)
+            end = F.when(ended, F.array(F.struct(F.col("_head").alias("source"), name.alias("target"), F.lit("CALLS").alias("kind")))).otherwise(end)
         state = joined.select(
-            "query_id",
+            "query_id", "used",
             F.when(active, F.concat(found, rest)).otherwise(F.col("queue")).alias("queue"),
-            F.when(active, F.array_distinct(F.concat("path", ids))).otherwise(F.col("path")).alias("path"),
+            F.when(active, F.array_distinct(F.concat("path", ids, ends))).otherwise(F.col("path")).alias("path"),
             F.when(active, seen).otherwise(F.col("visited")).alias("visited"),
-            F.when(active, F.concat("edges", links)).otherwise(F.col("edges")).alias("edges"),
+            F.when(active, F.concat("edges", links, end)).otherwise(F.col("edges")).alias("edges"),
+            F.when(active, F.concat("open", ends)).otherwise(F.col("open")).alias("open"),
         )
-    return state.select("query_id", "path", "edges", "visited", (F.size("queue") > 0).alias("is_partial"))
+    partial = F.size("queue") > 0
+    cut = F.when(partial, F.array_except(F.array_except("path", "visited"), "open")).otherwise(nothing)
+    return state.select("query_id", "path", "edges", "visited", "open", cut.alias("cut"), partial.alias("is_partial"))
 
 
 def ordered_path(trace: DataFrame) -> DataFrame:
@@ -283,9 +314,9 @@ def ordered_path(trace: DataFrame) -> DataFrame:
         )
 
     walked = F.aggregate(F.sequence(F.lit(1), F.size("path") + F.size("edges")), begin, step)["ordered"]
-    return trace.select("query_id", "visited", "is_partial", F.posexplode(walked).alias("position", "node_id")).select(
+    return trace.select("query_id", "open", "cut", F.posexplode(walked).alias("position", "node_id")).select(
         "query_id", (F.col("position") + 1).alias("position"), "node_id",
-        (F.col("is_partial") & ~F.array_contains("visited", F.col("node_id"))).alias("is_unresolved"),
+        (F.array_contains("cut", F.col("node_id")) | F.array_contains("open", F.col("node_id"))).alias("is_unresolved"),
     )
 
 
@@ -310,6 +341,24 @@ def client_first_hop(entries: DataFrame, direct_calls: DataFrame, symbols: DataF
     return single.groupBy(*keys).agg(F.min(F.struct("called", "target_id")).alias("h")).select(*keys, "h.*")
 
 
+def first_hops(entries: DataFrame, direct_calls: DataFrame, symbols: DataFrame, edges: DataFrame, bound: int = EXPANSIONS) -> DataFrame:
+    """(symbol_id, target_id or null, tried) of every front-end entry, as client_first_hop finds it.
+
+    A symbol's direct calls are tried by name until one leads to a single front-end symbol; `tried` counts them, at most `bound`.
+    """
+    keys = [*SCOPE, "symbol_id"]
+    named = symbols.where(F.col("file_path").startswith("frontend/")).select(*keys, F.col("name").alias("_own"))
+    calls = entries.select(*keys).join(named, keys).join(direct_calls, keys).where(F.col("called") != F.col("_own"))
+    chosen = client_first_hop(entries, direct_calls, symbols, edges).withColumnRenamed("called", "_chosen")
+    tried = calls.join(chosen, keys, "left").groupBy(*keys).agg(
+        F.count_distinct(F.when(F.col("_chosen").isNull() | (F.col("called") <= F.col("_chosen")), F.col("called"))).alias("n"),
+        F.first("target_id").alias("target_id"),
+    )
+    return tried.select(
+        "symbol_id", F.when(F.col("n") <= bound, F.col("target_id")).alias("target_id"), F.least("n", F.lit(bound)).cast("int").alias("tried")
+    )
+
+
 def unresolved_calls(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
     """One unresolved call per node without outgoing edges.
 

@@ -171,6 +171,77 @@ def flow_trace(spark, sf):
     )
 
 
+# The whole investigation over parsed code: every symbol as an entry, first hops, open calls and cut targets in one walk.
+WALK_SQL = f"""{RESOLVE_SQL},
+  sym AS (SELECT concat_ws(':', 'app', path, b, name) AS id, path, name, kind, b, direct, calls FROM code_symbols),
+  routes AS (SELECT concat('app:', ts, ':9:use', ua, un) AS from_id, concat('app:', py, ':10:read_', n, '_', k) AS to_id FROM code_rows WHERE s <> 13),
+  links AS (SELECT from_id, to_id, min(kind) AS kind FROM (SELECT from_id, to_id, kind FROM resolved WHERE kind = 'CALLS' AND to_id IS NOT NULL
+    UNION ALL SELECT from_id, to_id, 'API_CALL' FROM routes) GROUP BY from_id, to_id),
+  nb AS (SELECT l.*, b.name AS target_name, b.path AS target_file FROM links l JOIN sym a ON a.id = l.from_id JOIN sym b ON b.id = l.to_id
+    QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY b.kind IN ('CLASS', 'INTERFACE', 'TYPE'), b.path = a.path, b.path, b.name, b.b, b.id) <= 2),
+  kids AS (SELECT from_id, list({{'id': to_id, 'kind': kind}} ORDER BY regexp_matches(target_name, '^[A-Z]'), target_name, target_file, to_id) AS kids FROM nb GROUP BY from_id),
+  asked AS (SELECT id, name, unnest(direct) AS called FROM sym WHERE prefix(path, 'frontend/')),
+  hop AS (SELECT a.id, a.called, min(t.id) AS target_id FROM asked a JOIN (SELECT DISTINCT from_id, to_id FROM resolved WHERE kind = 'CALLS') l ON l.from_id = a.id
+    JOIN sym t ON t.id = l.to_id AND t.name = a.called AND prefix(t.path, 'frontend/') WHERE a.called <> a.name GROUP BY a.id, a.called HAVING count(DISTINCT t.id) = 1),
+  picked AS (SELECT id, min(called) AS called, arg_min(target_id, called) AS target_id FROM hop GROUP BY id),
+  tries AS (SELECT a.id, any_value(p.target_id) AS target_id, count(DISTINCT a.called) FILTER (WHERE p.called IS NULL OR a.called <= p.called) AS tried
+    FROM asked a LEFT JOIN picked p USING (id) WHERE a.called <> a.name GROUP BY a.id),
+  ended AS (SELECT id, list_sort(direct)[1] AS call FROM sym WHERE len(direct) > 0 AND id NOT IN (SELECT from_id FROM resolved WHERE kind = 'CALLS' AND to_id IS NOT NULL)),
+  walk AS (SELECT sym.id AS query_id, 0 AS step, least(coalesce(tried, 0), 5) AS used, CASE WHEN tried <= 5 THEN target_id END AS hop,
+      [coalesce(hop, sym.id)] AS queue, CASE WHEN hop IS NULL THEN [sym.id] ELSE [sym.id, hop] END AS path,
+      CASE WHEN hop IS NULL THEN []::VARCHAR[] ELSE [sym.id] END AS visited,
+      CASE WHEN hop IS NULL THEN []::STRUCT(s VARCHAR, t VARCHAR, k VARCHAR)[] ELSE [{{'s': sym.id, 't': hop, 'k': 'CALLS'}}] END AS links, []::VARCHAR[] AS opened
+    FROM sym LEFT JOIN tries USING (id)
+    UNION ALL SELECT w.query_id, w.step + 1, w.used, w.hop,
+      CASE WHEN h IS NULL THEN w.queue ELSE list_concat(list_filter(list_transform(coalesce(k.kids, []), lambda c: c.id), lambda i: NOT list_contains(list_append(w.visited, h), i)
+        AND NOT list_contains(w.queue[2:], i)), w.queue[2:]) END,
+      CASE WHEN h IS NULL THEN w.path ELSE list_concat(list_concat(w.path, list_filter(list_transform(coalesce(k.kids, []), lambda c: c.id), lambda i: NOT list_contains(w.path, i))),
+        CASE WHEN k.kids IS NULL AND e.call IS NOT NULL THEN [concat_ws(':', 'unresolved', h, e.call)] ELSE [] END) END,
+      CASE WHEN h IS NULL THEN w.visited ELSE list_append(w.visited, h) END,
+      CASE WHEN h IS NULL THEN w.links ELSE list_concat(list_concat(w.links, list_transform(coalesce(k.kids, []), lambda c: {{'s': h, 't': c.id, 'k': c.kind}})),
+        CASE WHEN k.kids IS NULL AND e.call IS NOT NULL THEN [{{'s': h, 't': concat_ws(':', 'unresolved', h, e.call), 'k': 'CALLS'}}] ELSE [] END) END,
+      CASE WHEN h IS NOT NULL AND k.kids IS NULL AND e.call IS NOT NULL THEN list_append(w.opened, concat_ws(':', 'unresolved', h, e.call)) ELSE w.opened END
+    FROM (SELECT *, CASE WHEN used + step < 5 THEN queue[1] END AS h FROM walk WHERE step < 5) w LEFT JOIN kids k ON k.from_id = w.h LEFT JOIN ended e ON e.id = w.h),
+  done AS (SELECT *, len(queue) > 0 AS is_partial FROM walk WHERE step = 5)"""
+
+
+def walked(spark, sf):
+    """flow_trace from every symbol of the parsed code."""
+    parsed, files = parsed_code(spark, sf, reused=True)
+    version = F.lit(1).alias("index_version")
+    symbols = stored(C.symbol_table(parsed, files))
+    resolved = stored(C.resolve_edges(C.extract_edges(parsed), symbols, parsed).select("repository_id", "from_id", "to_id", "kind", "confidence"))
+    routes = C.resolve_api_routes(parsed, files, symbols).select("repository_id", "from_id", "to_id", F.lit("API_CALL").alias("kind"), F.lit("low").alias("confidence"))
+    edges = resolved.where("to_id IS NOT NULL").unionByName(routes).select("*", version)
+    places = symbols.where(F.col("name") != C.MODULE).select("*", version, F.col("path").alias("file_path"))
+    chunks = C.chunk_symbols(parsed, files).select(
+        "repository_id", version, F.concat_ws(":", "path", F.col("start_line").cast("string"), "symbol_name").alias("chunk_id"),
+        F.col("path").alias("file_path"), "symbol_name", "start_line", "end_line",
+    )
+    facts = C.symbols_of(parsed).join(files.select("repository_id", "path", "content"), ["repository_id", "path"]).select(
+        "repository_id", version, F.concat_ws(":", "repository_id", "path", F.col("start_line").cast("string"), "name").alias("symbol_id"),
+        F.col("name").alias("symbol"), "calls", "direct_calls", F.col("content").alias("source_text"), F.col("content").alias("file_text"),
+        F.expr("cast(array() as array<string>)").alias("explicit"),
+    )
+    direct = facts.select(*G.SCOPE, "symbol_id", F.explode("direct_calls").alias("called"))
+    answered = resolved.where("kind = 'CALLS' AND to_id IS NOT NULL").select(F.col("from_id").alias("node_id"))
+    ended = G.unresolved_calls(facts.withColumnRenamed("symbol_id", "node_id"), answered)
+    entries = places.select(*G.SCOPE, F.col("symbol_id").alias("query_id"), "symbol_id")
+    neighbors = stored(G.forward_neighbors(places, edges, chunks))
+    hops = G.first_hops(entries, direct, places, edges)
+    return G.flow_trace(entries, neighbors, first_hops=hops, open_calls=ended)
+
+
+@query("flow_walk", recursive(f"""WITH {WALK_SQL} SELECT query_id, array_to_string(path, ' ') AS path,
+    array_to_string(list_transform(links, lambda l: l.s || '>' || l.t || ':' || l.k), ' ') AS edges, array_to_string(opened, ' ') AS open,
+    CASE WHEN is_partial THEN array_to_string(list_filter(path, lambda p: NOT list_contains(visited, p) AND NOT list_contains(opened, p)), ' ') ELSE '' END AS cut, is_partial FROM done"""))
+def flow_walk(spark, sf):
+    labels = F.transform("edges", lambda e: F.concat(e["source"], F.lit(">"), e["target"], F.lit(":"), e["kind"]))
+    return walked(spark, sf).select(
+        "query_id", *[F.array_join(c, " ").alias(c) for c in ("path", "open", "cut")], F.array_join(labels, " ").alias("edges"), "is_partial"
+    )
+
+
 @query("client_first_hop", oracle(
     f"""WITH front AS (SELECT * FROM symbols WHERE prefix(file_path, 'frontend/')),
        dc AS (SELECT DISTINCT e.from_id AS symbol_id, s.name AS called FROM edges e JOIN symbols s ON s.symbol_id = e.to_id AND {same('s', 'e')} WHERE confidence = 'high'),
