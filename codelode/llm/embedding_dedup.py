@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by rounds of random trees that follow the local density."""
+"""Near-duplicate vectors by passes over orders of concatenated random hashes."""
 
 from __future__ import annotations
 
@@ -6,19 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.llm.common import connected_components, local_roots, mix, saved
+from codelode.llm.common import connected_components, local_roots, saved
 
-#: Vectors of a leaf at most; all pairs of a leaf are compared. A width with no more vectors than that is compared as a whole.
-LEAF = 8192
-#: Trees of a round. Rounds go on until one finds nothing new.
-TREES = 4
-#: The driver makes the upper levels of a tree from so many vectors and bytes at most, a task the levels below.
-SAMPLE_ROWS = 65_536
-SAMPLE_BYTES = 32 << 20
-SAMPLE_LEAF = 32
+#: Random hashes of a key; each is the side of a random plane through the centre of all vectors.
+HASHES = 128
+#: Neighbours in the order that a vector is compared with on each side, at least.
+WINDOW = 1024
+#: Passes of a round. Rounds go on until one finds nothing new.
+PASSES = 4
 #: Components up to this size are compared as one matrix, larger ones by pivot and blocks of this many vectors.
 BLOCK = 256
 
@@ -28,6 +26,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # so that squares stay finite
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -46,7 +45,7 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0),
         F.lit(False),
     )
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.select("vec_id", F.when(usable, F.xxhash64("embedding")).alias("class"), "embedding")
     different = (
         rows.where("class IS NOT NULL")
@@ -56,57 +55,20 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "class"), different
 
 
-def _direction(unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A random direction in which these vectors spread around their own centre."""
-    found = rng.normal(size=len(unit)) @ (unit - unit.mean(axis=0))
-    length = np.linalg.norm(found)
-    return found / length if length > 1e-12 else rng.normal(size=unit.shape[1])
-
-
-def _jitter(ids: np.ndarray, seed: int) -> np.ndarray:
-    """Tiny offsets that split vectors of one direction evenly, otherwise in every tree."""
-    return mix(ids.view(np.uint64) ^ mix(np.full(1, seed, np.uint64))).astype(np.float64) * 2.0**-64 * 1e-9
+def centres(different: DataFrame) -> DataFrame:
+    """(width, centre): mean of the unit vectors of each width; sums of batches are added up, not vectors."""
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(at), _matrix(batch["vector"].take(pa.array(at))).sum(axis=0)) for at in _of_each_width(batch["vector"])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(x) for _, x in found], pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.float64()))],
+                ["width", "n", "total"],
+            )
 
-def _tree(unit: np.ndarray, ids: np.ndarray, depth: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Directions and medians of the nodes of each level, made from a sample."""
-    rng, node, levels = np.random.default_rng(seed), np.zeros(len(unit), np.int64), []
-    for level in range(depth):
-        directions, medians = np.zeros((1 << level, unit.shape[1])), np.zeros(1 << level)
-        side = np.zeros(len(unit), np.int64)
-        order = np.argsort(node, kind="stable")
-        bounds = np.searchsorted(node[order], np.arange((1 << level) + 1))
-        for k in range(1 << level):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                directions[k] = _direction(unit[at], rng)
-                value = unit[at] @ directions[k] + _jitter(ids[at], seed + level)
-                medians[k] = np.median(value)
-                side[at] = value > medians[k]
-        levels.append((directions, medians))
-        node = 2 * node + side
-    return levels
-
-
-def _leaves(unit: np.ndarray, ids: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], seed: int) -> np.ndarray:
-    node = np.zeros(len(unit), np.int64)
-    for level, (directions, medians) in enumerate(levels):
-        value = np.einsum("ij,ij->i", unit, directions[node]) + _jitter(ids, seed + level)
-        node = 2 * node + (value > medians[node])
-    return node
-
-
-def _halved(unit: np.ndarray, ids: np.ndarray, seed: int) -> Iterator[np.ndarray]:
-    """Places of the vectors of each leaf, by halving what is larger than a leaf at medians."""
-    rng, open_parts = np.random.default_rng(seed), [np.arange(len(unit))]
-    while open_parts:
-        at = open_parts.pop()
-        if len(at) <= LEAF:
-            yield at
-            continue
-        value = unit[at] @ _direction(unit[at], rng) + _jitter(ids[at], int(rng.integers(1 << 62)))
-        at = at[np.argpartition(value, len(at) // 2)]
-        open_parts += [at[: len(at) // 2], at[len(at) // 2 :]]
+    parts = different.select("vector").mapInArrow(sums, "width int, n long, total array<double>")
+    means = parts.select("width", "n", F.posexplode("total").alias("pos", "x")).groupBy("width", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return means.groupBy("width").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centre"))
 
 
 def _joined(unit: np.ndarray, root: np.ndarray, least: float) -> np.ndarray:
@@ -130,79 +92,83 @@ def _joined(unit: np.ndarray, root: np.ndarray, least: float) -> np.ndarray:
     return root
 
 
-def _round(rows: DataFrame, widths: dict[int, int], number: int, least: float) -> DataFrame:
-    """(left, right): links between components of `rows` (class, component, vector) that lie in one leaf of this round."""
-    total = sum(widths.values())
-    trees: list[dict[int, list]] = [{} for _ in range(TREES if max(widths.values(), default=0) > LEAF else 1)]
-    for width, count in widths.items():
-        take = min(SAMPLE_ROWS, max(SAMPLE_BYTES // (4 * width), 2 * SAMPLE_LEAF))
-        depth = max(0, min(int(np.ceil(np.log2(count / LEAF))), int(np.log2(min(take, count) / SAMPLE_LEAF)) if count > LEAF else 0))
-        if not depth:
-            continue
-        limit = int(2.0**32 * min(1.0, take / count))
-        drawn = rows.where(F.size("vector") == width).where(F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 32)) < limit)
-        sample = drawn.select("class", "vector").toArrow()
-        unit, ids = _matrix(sample["vector"]), sample["class"].to_numpy()
-        for k, tree in enumerate(trees):
-            tree[width] = _tree(unit, ids, depth, 1000 * (number * TREES + k))
+def _planes(width: int, number: int) -> np.ndarray:
+    """The random planes of a pass; the same in every task."""
+    return np.random.default_rng([number, width]).normal(size=(width, HASHES))
+
+
+def sorted_pass_links(rows: DataFrame, middle: DataFrame, numbers: list[int], least: float, window: int) -> DataFrame:
+    """(left, right): links between components of `rows` (class, component, vector) that these passes find.
+
+    Each pass orders the vectors by their hashes from its own planes, side by side as one key. The order is cut into
+    blocks of `window` vectors, and each block is compared with itself and the next one, so a vector meets at least
+    `window` neighbours on either side. The orders are ranges of keys and classes, so equal keys are no single task.
+    """
+    spark = rows.sparkSession
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, tree in enumerate(trees):
-                seed = 1000 * (number * TREES + k)
-                leaf = np.zeros(len(batch), np.int64)
+            for number in numbers:
+                keys = np.zeros((len(batch), HASHES // 8), np.uint8)
                 for at in _of_each_width(batch["vector"]):
-                    unit = _matrix(batch["vector"].take(pa.array(at)))
-                    if unit.shape[1] in tree:
-                        leaf[at] = _leaves(unit, batch["class"].to_numpy()[at], tree[unit.shape[1]], seed)
+                    of = pa.array(at)
+                    unit = _matrix(batch["vector"].take(of))
+                    centre = np.asarray(batch["centre"].take(of[:1]).flatten())
+                    keys[at] = np.packbits((unit - centre) @ _planes(unit.shape[1], number) > 0, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(batch), k, np.int32)), batch["vector"].value_lengths(), pa.array(leaf), batch["class"], batch["component"], batch["vector"]],
-                    ["tree", "width", "leaf", "class", "component", "vector"],
+                    [pa.array(np.full(len(batch), number, np.int32)), batch["width"], pa.array([k.tobytes() for k in keys], pa.binary()), batch["class"], batch["component"], batch["vector"]],
+                    ["pass", "width", "key", "class", "component", "vector"],
                 )
 
     def compare(table: pa.Table) -> pa.Table:
-        unit, ids = _matrix(table["vector"]), table["class"].to_numpy()
         labels, group = np.unique(table["component"].to_numpy(), return_inverse=True)
-        seed = [number, table["tree"][0].as_py(), table["leaf"][0].as_py()]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in _halved(unit, ids, seed):
+        order = np.char.add(table["pass"].to_numpy().astype(str), np.char.add(" ", table["width"].to_numpy().astype(str)))
+        vectors = table["vector"].combine_chunks()
+        for kind in np.unique(order):
+            at = np.flatnonzero(order == kind)
+            unit = _matrix(vectors.take(pa.array(at)))
             present, begin = np.unique(group[at], return_inverse=True)
             first = np.zeros(len(present), np.int64)
             first[begin[::-1]] = np.arange(len(at))[::-1]
-            root = _joined(unit[at], first[begin], least)
+            root = _joined(unit, first[begin], least)
             top = root[first]
             left.append(labels[present[top != first]])
             right.append(labels[group[at]][top[top != first]])
         return pa.table({"left": np.concatenate(left), "right": np.concatenate(right)})
 
-    if not total:
-        return rows.select(F.col("class").alias("left"), F.col("class").alias("right"))
-    placed = rows.select("class", "component", "vector").mapInArrow(place, "tree int, width int, leaf long, class long, component long, vector array<float>")
-    return placed.groupBy("tree", "width", "leaf").applyInArrow(compare, "left long, right long")
-
-
-def forest_components(different: DataFrame, *, least: float) -> DataFrame:
+    known = rows.select("class", "component", "vector", F.size("vector").alias("width")).join(middle, "width")
+    placed = known.mapInArrow(place, "pass int, width int, key binary, class long, component long, vector array<double>")
+    order = ["pass", "width", "key", "class"]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ordered = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ordered = saved(ordered.drop("key"), "sorted-pass")
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block = F.floor((F.col("_before") + F.col("_row")) / window).cast("long")
+    blocks = ordered.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("block", F.explode(F.array(block, block - 1)))
+    columns = ["block", "pass", "width", "class", "component", "vector"]
+    return blocks.select(*columns).groupBy("block").applyInArrow(compare, "left long, right long")
+
+
+def projection_components(different: DataFrame, *, least: float, window: int = WINDOW) -> DataFrame:
     """(node, component) of the classes that are linked with others.
 
-    Every tree halves the vectors at medians of random directions around the centre of each part, so a dense region is
-    cut as often as its number of vectors needs, and all pairs of a leaf are compared. Rounds of new trees go on until
-    one finds no link between two components: the number of trees follows from what the region still hides. If no
-    width has more vectors than a leaf, one round has compared all pairs.
+    Rounds of passes with new planes go on until one finds no link between two components, so the number of passes
+    follows from what dense directions still hide: a pair that a window misses in one order has a new chance in each.
     """
-    widths = {r["width"]: r["count"] for r in different.groupBy(F.size("vector").alias("width")).count().collect()}
-    links, found, number = None, None, 0
+    middle, links, found, number = saved(centres(different), "vector-centres"), None, None, 0
     while True:
         rows = different.withColumn("component", F.col("class")) if found is None else different.join(
             found, F.col("class") == F.col("node"), "left"
         ).select("class", "vector", F.coalesce("component", "class").alias("component"))
-        new = saved(_round(rows, widths, number, least), "tree-links")
-        if found is not None and new.isEmpty():
-            return found
+        new = saved(sorted_pass_links(rows, middle, list(range(number, number + PASSES)), least, window), "pass-links")
+        if new.isEmpty():
+            return found if found is not None else saved(connected_components(new, "left", "right"), "vector-components")
         links = new if links is None else links.union(new)
         found = saved(connected_components(links, "left", "right"), "vector-components")
-        number += 1
-        if max(widths.values(), default=0) <= LEAF:
-            return found
+        number += PASSES
 
 
 def _counts(members: DataFrame, least: float, bundles: int) -> DataFrame:
@@ -276,17 +242,17 @@ def _counts(members: DataFrame, least: float, bundles: int) -> DataFrame:
     return compared.union(inside).union(own).groupBy("class").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.95) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.95, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Equal vectors are one class throughout and are linked with each other. Different vectors are linked if their cosine
-    in double precision is at least `least` and they fall into one component of the links that the trees find; inside
+    in double precision is at least `least` and they fall into one component of the links that the passes find; inside
     a component every such pair counts. Unusable vectors are linked with nothing, vectors of different length neither.
     A row without vec_id counts as a vector, and has a component only with others.
     """
     rows, different = classes(vectors)
     different = saved(different, "different-vectors")
-    found = forest_components(different, least=least)
+    found = projection_components(different, least=least, window=window)
     grouped = different.join(found, F.col("class") == F.col("node"))
     counts = _counts(grouped.select("class", "members", "vector", "component"), least, 1 + different.count() // 4096)
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))

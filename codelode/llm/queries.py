@@ -149,7 +149,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: All pairs of vectors; the sorted passes have to find the same links here.
+#: All pairs of vectors; the sorted passes have to find the same links.
 OP10_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
