@@ -30,6 +30,17 @@ def saved(frame: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def unused_names(frame: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with signs added to those that the frame has (in any case)."""
+    taken, out = {name.lower() for name in frame.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of each row in them; nulls are empty."""
     if column.null_count:

@@ -16,9 +16,15 @@ SUBSTITUTIONS = 2
 BROADCAST_SEEDS = 200_000
 
 
+#: Scripts that are written without spaces; each of their characters is a token.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
 def tokens_of(text: Column) -> Column:
-    """Lower-case runs of letters, marks and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
+    """Lower-case runs of letters, marks and digits; characters of scripts without spaces one by one."""
+    alone = "[" + "".join(rf"\p{{Is{script}}}" for script in UNSPACED) + "]"
+    spaced = F.when(text.rlike(alone), F.regexp_replace(text, f"({alone})", " $1 ")).otherwise(text)
+    return F.array_remove(F.split(F.lower(spaced), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def _seeds(rows: DataFrame, *carried: str) -> DataFrame:
@@ -36,17 +42,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is repeated where, on one alignment of the two token sequences, WINDOW consecutive tokens (all of a
     shorter item) agree but for SUBSTITUTIONS of them (in proportion for a shorter item). `alignments` counts the
-    alignments and `matched` is the largest number of agreeing tokens in a window. Items under SPAN tokens, and null or
-    empty texts, repeat nothing. Every row is aligned on its own, and the rows of one id, or without an id, are counted
+    alignments and `matched` is the largest number of agreeing tokens in a window. An item under SPAN tokens is repeated
+    where all its tokens follow each other. Null and empty texts repeat nothing. Every row is aligned on its own, and the rows of one id, or without an id, are counted
     together afterwards. Rows are told apart by their place, so `docs` has to be read in the same order by a repeated
     task, as a stored table is.
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
-    items = items.select("item_id", tokens_of(F.col("item_text")).alias("tokens")).where(F.size("tokens") >= SPAN)
+    every = items.select("item_id", tokens_of(F.col("item_text")).alias("tokens"))
+    items = every.where(F.size("tokens") >= SPAN)
     known = _seeds(items, "item_id").select("item_id", F.col("tokens").alias("item"), F.col("at").alias("item_at"), "seed").distinct()
     if known.count() <= BROADCAST_SEEDS:
         known = F.broadcast(known)
-    found = _seeds(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens_of(F.col("text")).alias("tokens")), "row", "doc_id").join(known, "seed")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens_of(F.col("text")).alias("tokens"))
+    found = _seeds(rows, "row", "doc_id").join(known, "seed")
     shift = F.col("at") - F.col("item_at")
     begin = F.greatest(shift, F.lit(0))
     aligned = (
@@ -64,8 +72,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     checked = aligned.select("doc_id", "item_id", hits.alias("hits"), window.alias("window")).select("doc_id", "item_id", "window", matched.alias("matched"))
-    return (
-        checked.where(F.col("matched") >= F.col("window") - F.floor(F.col("window") * SUBSTITUTIONS / WINDOW))
-        .groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("alignments"), F.max("matched").cast("long").alias("matched"))
-    )
+    repeated = checked.where(F.col("matched") >= F.col("window") - F.floor(F.col("window") * SUBSTITUTIONS / WINDOW))
+    repeated = repeated.groupBy("doc_id", "item_id").agg(F.count("*").alias("alignments"), F.max("matched").cast("long").alias("matched"))
+    short = every.where(F.size("tokens").between(1, SPAN - 1)).distinct()
+    sizes = sorted(r["n"] for r in short.select(F.size("tokens").alias("n")).distinct().collect())  # fewer than SPAN
+    return repeated.union(_whole_items(rows, short, sizes)) if sizes else repeated
+
+
+def _whole_items(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, item_id, alignments, matched) of the places at which all tokens of an item follow each other."""
+    def runs_of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda at: F.slice("tokens", at, n))
+        return F.when(F.size("tokens") >= n, every).otherwise(F.array().cast("array<array<string>>"))
+
+    runs = F.flatten(F.array(*map(runs_of, sizes)))
+    told = rows.select("doc_id", F.explode(runs).alias("tokens")).groupBy("doc_id", "tokens").agg(F.count("*").alias("alignments"))
+    return told.join(items, "tokens").select("doc_id", "item_id", "alignments", F.size("tokens").cast("long").alias("matched"))

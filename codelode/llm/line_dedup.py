@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm.common import saved
+from codelode.llm.common import saved, unused_names
 
 _TRIM = b" \t\n\x0b\x0c\r"
 
@@ -120,11 +120,14 @@ def dedup_lines(docs: DataFrame, *, batches: int = 4, fanout: int = 2, least: in
     pairs = saved(line_keys(docs, least).withColumn("part", part), "line-keys", ("part",))
     runs = LineRuns(spark, fanout)
     drops = None
-    for number in range(len(set(cuts or [])) + 1):
-        found = saved(runs.absorb(pairs.where(F.col("part") == number).drop("part")), "line-drops")
-        drops = found if drops is None else drops.union(found)
-    runs.drop()
-    lost = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_keys"))
+    try:
+        for number in range(len(set(cuts or [])) + 1):
+            found = saved(runs.absorb(pairs.where(F.col("part") == number).drop("part")), "line-drops")
+            drops = found if drops is None else drops.union(found)
+    finally:
+        runs.drop()
+    own, gone_keys, out = unused_names(docs, "_doc", "_keys", "_out")
+    lost = drops.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(gone_keys))
 
     @F.pandas_udf("kept string, n_lines long, n_dropped long")
     def rewrite(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -138,8 +141,8 @@ def dedup_lines(docs: DataFrame, *, batches: int = 4, fanout: int = 2, least: in
             out.append(("\n".join(left), len(lines), len(lines) - len(left)))
         return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col(own), "left")
     clash = [name for name in docs.columns if name in ("kept", "n_lines", "n_dropped")]
-    return joined.withColumn("_out", rewrite("text", "_keys")).select(
-        *[docs[name] for name in docs.columns if name not in clash], "_out.kept", "_out.n_lines", "_out.n_dropped"
+    return joined.withColumn(out, rewrite("text", gone_keys)).select(
+        *[docs[name] for name in docs.columns if name not in clash], f"{out}.kept", f"{out}.n_lines", f"{out}.n_dropped"
     )

@@ -209,12 +209,20 @@ def near_duplicates(docs: DataFrame, *, size: int, threshold: Fraction, hub_roun
     """(doc_id, n_shingles, component_id) of every document, linked where the Jaccard similarity of its shingles with
     another one's reaches `threshold`.
 
-    Documents without words are linked with nothing. Rows that share a doc_id are one node; rows without a doc_id are
-    left out. Equal sets are one class before any pair is made. A list of documents that share a prefix shingle isn't
+    Documents without words are linked with nothing. Rows that share a doc_id are one node and give a row each. A row
+    without a doc_id is a node of its own; its component is the smallest doc_id that it reaches, if any. Equal sets are one class before any pair is made. A list of documents that share a prefix shingle isn't
     paired with itself: first every document meets one hub of its list, and after that only documents of different
     components meet, until no list has such a pair that the filters allow. So no link is lost between components, and
     a large group of near copies costs one pair for each document, not for each two of them.
     """
+    top, nameless = docs.agg(F.max(F.col("doc_id").cast("long")), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    if nameless:
+        top = top if top is not None else -1
+        own = F.lit(top + 1) + F.monotonically_increasing_id()
+        named = saved(docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text"), "named-rows")
+        found = near_duplicates(named, size=size, threshold=threshold, hub_rounds=hub_rounds)
+        real = lambda c: F.when(F.col(c) <= top, F.col(c)).alias(c)
+        return found.select(real("doc_id"), "n_shingles", real("component_id"))
     sets = shared_sets(docs, size, threshold).withColumn("class", F.xxhash64("n_shingles", "s1", "s2"))
     postings = saved(_postings(sets, threshold), "postings")
     lists = postings.groupBy("key").agg(F.count("*").alias("len")).where("len > 1").select("key")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,6 @@ END_OF_TEXT = "<|endoftext|>"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, lot long"
 
 
-@cache
 def encoder(ranks: str, vocabulary: str):
     """Token ids of a text, by the rank file, and by the vocabulary file where the former gives up.
 

@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> Model
     """Fit on at most `per_class` labelled documents of each class, chosen by a hash of their id.
 
     The bound is a parameter of the model's training only. Held-out ids are left out; null or other labels are
-    ignored; of contradicting labels the lower counts. The sample's ids (2 * per_class rows at most) are broadcast;
+    ignored; of contradicting labels the lower counts, of several texts of one id the smallest by code points. The sample's ids (2 * per_class rows at most) are broadcast;
     features are made where the texts are, and one task runs the descent over them.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> Model
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("label = 0").orderBy(*order).limit(per_class).union(known.where("label = 1").orderBy(*order).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    bags = texts.mapInArrow(_bag, "doc_id long, label int, buckets binary, shares binary").dropDuplicates(["doc_id"])
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    bags = texts.mapInArrow(_bag, "doc_id long, label int, buckets binary, shares binary")
 
     def descend(frame: pd.DataFrame) -> pd.DataFrame:
         model = fit(frame)

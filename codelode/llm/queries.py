@@ -124,12 +124,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=Fraction(9, 10))
 
 
-#: Eleven of thirteen tokens (in proportion for short items) agree, so four in a row do: found by exact runs of four.
-LEAKS_SQL = r"""
+#: Eleven of thirteen tokens (in proportion for shorter items) agree, so four in a row do: found by exact runs of four.
+#: Items under eight tokens are compared as a whole.
+_TOKENS_SQL = (
+    r"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])',"
+    r" ' \1 ', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')"
+)
+LEAKS_SQL = rf"""
 WITH t AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM {documents}
+  SELECT 'd' AS kind, doc_id AS id, {_TOKENS_SQL} AS ws FROM {{documents}}
   UNION ALL
-  SELECT DISTINCT 'b', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+  SELECT DISTINCT 'b', item_id, {_TOKENS_SQL} FROM benchmark),
 g AS (SELECT kind, id, ws, unnest(range(1, len(ws) - 2)) AS i FROM t),
 h AS (SELECT kind, id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] AS run FROM g),
 m AS (SELECT DISTINCT a.id AS doc_id, b.id AS item_id, a.i - b.i AS shift FROM h a JOIN h b ON a.run = b.run WHERE a.kind = 'd' AND b.kind = 'b'),
@@ -137,8 +142,11 @@ p AS (
   SELECT doc_id, item_id, shift, least(13, len(b.ws)) AS w,
     list_transform(range(greatest(1, 1 + shift), least(len(d.ws), len(b.ws) + shift) + 1), lambda i: (d.ws[i] = b.ws[i - shift])::INTEGER) AS hits
   FROM m JOIN t d ON d.kind = 'd' AND d.id = doc_id JOIN t b ON b.kind = 'b' AND b.id = item_id WHERE len(b.ws) >= 8),
-q AS (SELECT doc_id, item_id, shift, w, list_max(list_transform(range(1, len(hits) - w + 2), lambda i: list_sum(hits[i:i + w - 1]))) AS matched FROM p)
+q AS (SELECT doc_id, item_id, shift, w, list_max(list_transform(range(1, len(hits) - w + 2), lambda i: list_sum(hits[i:i + w - 1]))) AS matched FROM p),
+s AS (SELECT d.id AS doc_id, b.id AS item_id, d.ws AS dw, b.ws AS bw, unnest(range(1, len(d.ws) - len(b.ws) + 2)) AS i FROM t d JOIN t b ON d.kind = 'd' AND b.kind = 'b' AND len(b.ws) BETWEEN 1 AND 7)
 SELECT doc_id, item_id, count(*) AS alignments, max(matched)::BIGINT AS matched FROM q WHERE matched >= w - floor(w * 2 / 13) GROUP BY doc_id, item_id
+UNION ALL
+SELECT doc_id, item_id, count(*), max(len(bw))::BIGINT FROM s WHERE dw[i:i + len(bw) - 1] = bw GROUP BY doc_id, item_id
 """
 
 

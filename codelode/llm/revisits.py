@@ -39,6 +39,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     without their mark), else last-modified if both have it, else the payload digest. `state` is resolved, mismatch,
     unproven (no validator in common) or missing (no earlier response or no URL). A resolved revisit gets the
     response's headers with its own permitted ones on top, and the response's digest; the payload itself isn't moved.
+    A repeated revisit gives a row each time; of responses with one record_id and time the one with the largest digest counts.
 
     The latest response of each (URL, block of time) is found by a map-side aggregate and carried over later blocks;
     captures are ordered only within their block.
@@ -49,7 +50,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     answer = F.struct("ts", "record_id", "headers", "digest")
     full = rows.where("kind = 'response' AND site IS NOT NULL AND ts IS NOT NULL")
-    asked = rows.where("kind = 'revisit'")
+    asked = rows.where("kind = 'revisit' AND record_id IS NOT NULL").withColumn("new", F.struct("headers", "digest"))
     newest = full.groupBy("site", "block").agg(F.max(F.struct("ts", "record_id")).alias("top"))
     blocks = newest.select("site", "block", "top").unionByName(
         asked.where("site IS NOT NULL").select("site", "block").distinct().withColumn("top", F.lit(None).cast("struct<ts:bigint,record_id:bigint>"))
@@ -58,15 +59,19 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = blocks.select("site", "block", F.last("top", ignorenulls=True).over(earlier).alias("carried"))
     inside = Window.partitionBy("site", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     slim = full.select("site", "block", "ts", "record_id", F.struct("ts", "record_id").alias("own")).unionByName(
-        asked.select("site", "block", "ts", "record_id", F.lit(None).cast("struct<ts:bigint,record_id:bigint>").alias("own"))
-    ).withColumn("asks", F.col("own").isNull())
-    met = slim.withColumn("near", F.max("own").over(inside)).where("asks").select("site", "block", "ts", "record_id", "near")
+        asked.select("site", "block", "ts", "record_id", F.lit(None).cast("struct<ts:bigint,record_id:bigint>").alias("own"), "new"),
+        allowMissingColumns=True,
+    )
+    met = slim.withColumn("near", F.max("own").over(inside)).where("new IS NOT NULL").select("site", "block", "ts", "record_id", "near", "new")
+    latest = F.coalesce(F.when(F.col("ts").isNotNull(), F.col("near")), F.col("carried"))
     met = met.join(carried, ["site", "block"], "left").select(
-        "record_id", F.coalesce(F.when(F.col("ts").isNotNull(), F.col("near.record_id")), F.col("carried.record_id")).alias("response_id")
+        "record_id", latest["record_id"].alias("response_id"), latest["ts"].alias("response_ts"),
+        F.col("new.headers").alias("new"), F.col("new.digest").alias("new_digest"),
     )
-    ours = asked.select("record_id", F.col("headers").alias("new"), F.col("digest").alias("new_digest"))
-    theirs = full.select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), F.col("digest").alias("old_digest"))
-    joined = met.join(ours, "record_id").join(theirs, "response_id", "left")
+    theirs = full.groupBy(F.col("record_id").alias("response_id"), F.col("ts").alias("response_ts")).agg(
+        F.max_by(F.struct("headers", "digest"), F.coalesce("digest", F.lit(""))).alias("old")
+    ).select("response_id", "response_ts", F.col("old.headers").alias("old"), F.col("old.digest").alias("old_digest"))
+    joined = met.join(theirs, ["response_id", "response_ts"], "left")
     checks = [(_tag(F.col("new")["etag"]), _tag(F.col("old")["etag"])), (F.col("new")["last-modified"], F.col("old")["last-modified"]), (F.col("new_digest"), F.col("old_digest"))]
     state = F.when(F.col("response_id").isNull(), "missing")
     for a, b in checks:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +16,6 @@ WORD_CHARS = 256
 UNKNOWN_PENALTY = 10.0
 
 
-@cache
 def pieces(model: str) -> tuple[dict[str, float], float, int]:
     """Scores of the model's pieces, the score of an unknown character, and the length of the longest piece."""
     import sentencepiece

@@ -248,7 +248,7 @@ def test_leaks_equal_brute_force(spark, documents):
             for shift in range(-len(theirs), len(mine)):
                 agree = [mine[j + shift] == theirs[j] for j in range(len(theirs)) if 0 <= j + shift < len(mine)]
                 best = max((sum(agree[k : k + window]) for k in range(len(agree) - window + 1)), default=0)
-                if len(theirs) >= 8 and best >= window - window * 2 // 13:
+                if len(theirs) >= 8 and best >= window - window * 2 // 13 or len(theirs) == best > 0:
                     hits.append(best)
             if hits:
                 expected[d, b] = (len(hits), max(hits))
@@ -276,6 +276,15 @@ def test_rows_of_one_id_and_without_id_are_aligned_on_their_own(spark, documents
             assert [tuple(r) for r in got] == [(doc_id, 1, 1, 13)]
 
 
+def test_short_items_and_items_of_scripts_without_spaces(spark, documents):
+    seven, chinese = "only seven words stand in this item", "机器学习的模型需要大量的训练数据才能得到好的结果吗"
+    benchmark = spark.createDataFrame([(1, seven), (2, chinese), (3, "一二三")], "item_id long, text string")
+    rows = [(10, f"before. {seven.upper()}, after"), (11, seven.replace("words", "other")), (12, f"前面{chinese}后面"), (13, chinese.replace("大", "小")), (14, chinese[3:14]),
+            (15, "一二三四 一二三"), (16, "一二四"), (None, seven), (17, None)]
+    got = sorted((tuple(r) for r in decontam.leaks(documents(rows), benchmark).collect()), key=repr)
+    assert got == sorted([(10, 1, 1, 7), (12, 2, 1, 13), (13, 2, 1, 13), (15, 3, 2, 3), (None, 1, 1, 7)], key=repr)
+
+
 # --- 5 n-gram join
 
 def sets_of(rows, size):
@@ -304,7 +313,9 @@ def test_components_equal_all_pairs(spark, documents, odd_rows, size, threshold,
         if any(x and y and threshold.denominator * len(x & y) >= threshold.numerator * len(x | y) for x in sets[a] for y in sets[b]):
             links.append((a, b))
     root = component_of(links)
-    assert Counter(map(tuple, got)) == Counter((i, len(s), root(i)) for i, several in sets.items() for s in several)
+    named = Counter((i, len(s), root(i)) for i, several in sets.items() for s in several)
+    nameless = [next(iter(sets_of([(0, t)], size).values()))[0] for i, t in rows if i is None]  # these are linked with nothing
+    assert Counter(map(tuple, got)) == named + Counter((None, len(s), None) for s in nameless)
     assert len(links) > 20
 
 
@@ -379,6 +390,14 @@ def test_as_of_over_blocks_equals_brute_force(spark):
     assert not got
 
 
+def test_repeated_records_give_a_row_each(spark):
+    rows = [(1, 10, "a/p", "response", {"etag": "1"}, "D1")] * 2 + [(1, 10, "a/p", "response", {"etag": "0"}, "D0"), (1, 5, "a/p", "response", {"etag": "9"}, "D9")]
+    rows += [(2, 20, "a/p", "revisit", {"etag": "1"}, None)] * 2 + [(2, 20, "a/p", "revisit", {"etag": "x"}, None)]
+    got = sorted((r.record_id, r.response_id, r.state, r.digest) for r in revisits.resolve_revisits(spark.createDataFrame(rows, revisits.RECORDS)).collect() if r.state == "resolved")
+    assert got == [(2, 1, "resolved", "D1")] * 2
+    assert revisits.resolve_revisits(spark.createDataFrame(rows, revisits.RECORDS)).count() == 3
+
+
 # --- 8 packing
 
 def first_fit_by_hand(sizes, capacity):
