@@ -52,11 +52,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Packed token ids: pieces of the documents with their sequence and offset."""
     import public_tokenizers
 
     ranks, vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
-    return pack(saved(token_pieces(docs, ranks, vocabulary), "token-pieces"))
+    return pack(saved(token_pieces(docs, ranks, vocabulary, with_ids=True), "token-pieces"))
 
 
 STAGES = [
