@@ -16,14 +16,13 @@ SUBSTITUTIONS = 2
 BROADCAST_SEEDS = 200_000
 
 
-#: Scripts that are written without spaces; each of their characters is a token.
-UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+#: Letters of scripts that are written without spaces (Thai, Lao, Myanmar, Khmer, Japanese, Chinese); each is a token.
+UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{3134F}]"
 
 
 def tokens_of(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits; characters of scripts without spaces one by one."""
-    alone = "[" + "".join(rf"\p{{Is{script}}}" for script in UNSPACED) + "]"
-    spaced = F.when(text.rlike(alone), F.regexp_replace(text, f"({alone})", " $1 ")).otherwise(text)
+    spaced = F.when(text.rlike(UNSPACED), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
     return F.array_remove(F.split(F.lower(spaced), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 

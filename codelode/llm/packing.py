@@ -48,12 +48,13 @@ def token_pieces(
     """Tokens of each document with `end_id` at the end, cut into pieces of at most `length`.
 
     `lot` is a random number that depends on the row's place in its stored input. A null text is empty: its only
-    token is `end_id`. `with_ids` adds the ids themselves.
+    token is `end_id`. `with_ids` adds the ids themselves and `piece`, a number of the piece.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, vocabulary)
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+        task = TaskContext.get().partitionId()
+        rng, number = np.random.default_rng(task), task << 33
         for batch in batches:
             rows, lists = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -67,12 +68,13 @@ def token_pieces(
             arrays = [pa.array(frame[name], pa.int64(), from_pandas=True) for name in frame.columns]
             names = list(frame.columns)
             if with_ids:
-                arrays.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
+                arrays += [pa.array(np.arange(number, number + len(lists))), pa.array(lists, pa.list_(pa.int32()))]
+                names += ["piece", "ids"]
+                number += len(lists)
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(per_batch, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(per_batch, PIECE_SCHEMA + (", piece long, ids array<int>" if with_ids else ""))
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,3 +125,9 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, group_rows: int = 8192, row
         .groupBy("_group")
         .applyInPandas(per_group, ", ".join([*kept, "sequence_id long", "offset long"]))
     )
+
+
+def packed_sequences(pieces: DataFrame, *, capacity: int = 1024, group_rows: int = 8192) -> DataFrame:
+    """pack() of stored pieces with ids: places are found without the ids, which are joined to them afterwards."""
+    placed = pack(pieces.drop("ids"), capacity=capacity, group_rows=group_rows)
+    return placed.join(pieces.select("piece", "ids"), "piece").drop("piece")

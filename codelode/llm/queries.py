@@ -127,8 +127,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Eleven of thirteen tokens (in proportion for shorter items) agree, so four in a row do: found by exact runs of four.
 #: Items under eight tokens are compared as a whole.
 _TOKENS_SQL = (
-    r"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])',"
-    r" ' \1 ', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')"
+    r"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '([\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}"
+    r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{3134F}])', ' \1 ', 'g')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')"
 )
 LEAKS_SQL = rf"""
 WITH t AS (

@@ -80,10 +80,13 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     assert leaked == {202, 205} and clean == kept - leaked
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lengths, spans = defaultdict(int), defaultdict(list)
-    for r in inputs["end"]:
+    lengths, spans, written = defaultdict(int), defaultdict(list), defaultdict(list)
+    for r in sorted(inputs["end"], key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == r.length
+        written[r.doc_id] += r.ids
         lengths[r.doc_id] += r.length
         spans[r.sequence_id].append((r.offset, r.length))
+    assert written == {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0] for r in inputs["packing"]}
     assert lengths == {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in inputs["packing"]}
     for pieces in spans.values():
         at = 0
