@@ -15,7 +15,7 @@ from codelode.llm.common import saved, table
 from codelode.llm.decontam import leaks
 from codelode.llm.line_dedup import dedup_lines
 from codelode.llm.ngram_join import near_duplicates
-from codelode.llm.packing import pack, token_pieces
+from codelode.llm.packing import packed_sequences, token_pieces
 from codelode.llm.quality import quality_score, train
 
 
@@ -56,7 +56,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     ranks, vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
-    return pack(saved(token_pieces(docs, ranks, vocabulary, with_ids=True), "token-pieces"))
+    return packed_sequences(saved(token_pieces(docs, ranks, vocabulary, with_ids=True), "token-pieces"))
 
 
 STAGES = [
