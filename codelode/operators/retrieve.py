@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import scale
 from codelode.functions import text as X
+from codelode.functions.stemmer import english_stem
 
 SEMANTIC_LIMIT = 30
 LEXICAL_LIMIT = 30
@@ -206,29 +207,25 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
     return ranked.join(best_tier, "query_id").where(F.col("is_strict") == F.col("_tier")).drop("_tier")
 
 
-# English suffix rules of the full-text variant; fixed values.
-FULLTEXT_SUFFIXES = "(ational|ization|fulness|ousness|iveness|ations|ation|ingly|edly|ments|ment|ness|ings|ing|ies|ed|es|s|ly)$"
-
-
-def fulltext_stem(term: Column) -> Column:
-    return F.when(F.length(term) > 4, F.regexp_replace(term, FULLTEXT_SUFFIXES, "")).otherwise(term)
+def _stems(words: DataFrame) -> DataFrame:
+    """(word, term) of the distinct words, so a word is stemmed once, however often it stands in the corpus."""
+    return words.select("word").distinct().withColumn("term", english_stem(F.col("word")))
 
 
 def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT) -> DataFrame:
     """Stemmed full-text tiers ranked by cover density: the sum of 1 / length over covers.
 
     A cover is the span between two neighbouring hits of different terms; a lone term counts 1/10
-    per hit. This approximates a database text dictionary; stems come from a short suffix list.
+    per hit. Stems are those of the English Porter algorithm. Questions' stems meet the stems of the
+    corpus' vocabulary first, so only words that some question asks for are looked up in the texts.
     """
-    asked = queries.select(
-        *SCOPE, "query_id",
-        F.explode(F.array_distinct(F.transform(X.query_terms(F.col("query_text")), fulltext_stem))).alias("term"),
-    )
+    said = queries.select(*SCOPE, "query_id", F.explode(X.query_terms(F.col("query_text"))).alias("word"))
+    asked = said.join(_stems(said), "word").select(*SCOPE, "query_id", "term").distinct()
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    placed = chunks.select(*SCOPE, "chunk_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "word")).select(
-        *SCOPE, "chunk_id", "pos", fulltext_stem(F.col("word")).alias("term")
-    )
-    hits = placed.join(asked, [*SCOPE, "term"])
+    vocabulary = chunks.select(F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("word")).distinct()
+    wanted = _stems(vocabulary).join(asked, "term").select(*SCOPE, "query_id", "word", "term")
+    placed = chunks.select(*SCOPE, "chunk_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "word"))
+    hits = placed.join(wanted, [*SCOPE, "word"])
     per_chunk = hits.groupBy("query_id", *SCOPE, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
         F.count_distinct("term").alias("matched"),

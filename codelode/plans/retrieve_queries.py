@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelode.catalogue import CATALOGUE
+from codelode.functions.stemmer import STEP_2, STEP_3, STEP_4
 from codelode.functions import text as X
 from codelode.operators import retrieve as R
 from codelode.sources.tables import MODEL_VERSION, Tables, oracle
@@ -205,20 +206,61 @@ def lexical_topk(spark, sf):
     )
 
 
-def sql_fulltext_stem(x: str) -> str:
-    return f"CASE WHEN length({x}) > 4 THEN regexp_replace({x}, '{R.FULLTEXT_SUFFIXES}', '') ELSE {x} END"
+def sql_porter(words: str) -> str:
+    """CTEs that end with porter(word, term): the Porter stem of the words of a CTE, step by step."""
+    def shape(x: str) -> str:
+        # every y after a consonant is a vowel; doubled y are told apart from left to right
+        marked = f"regexp_replace(regexp_replace(regexp_replace({x}, '^yy', 'yV'), '([aeiou]y)y', '\\1V', 'g'), '([bcdfghjklmnpqrstvwxz])y', '\\1V', 'g')"
+        return f"regexp_replace(regexp_replace({marked}, '[aeiou]', 'V', 'g'), '[^V]', 'C', 'g')"
+
+    def least(x: str, m: int) -> str:
+        return f"regexp_matches({shape(x)}, '^C*(V+C+){{{m}}}')"
+
+    def cut(n: int) -> str:
+        return f"left(w, length(w) - {n})"
+
+    def short(x: str) -> str:
+        return f"(suffix({shape(x)}, 'CVC') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+    def longest(suffixes: dict[str, str], m: int) -> str:
+        cases = " ".join(
+            f"WHEN suffix(w, '{x}') THEN CASE WHEN {least(cut(len(x)), m)}{extra} THEN {cut(len(x))} || '{to}' ELSE w END"
+            for x, to in sorted(suffixes.items(), key=lambda p: -len(p[0]))
+            for extra in [f" AND regexp_matches({cut(len(x))}, '[st]$')" if x == "ion" else ""]
+        )
+        return f"CASE {cases} ELSE w END"
+
+    vowel = lambda x: f"contains({shape(x)}, 'V')"
+    steps = [
+        f"CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {cut(2)} WHEN suffix(w, 'ss') THEN w WHEN suffix(w, 's') THEN {cut(1)} ELSE w END, false",
+        f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {least(cut(3), 1)} THEN {cut(1)} ELSE w END WHEN suffix(w, 'ed') AND {vowel(cut(2))} THEN {cut(2)}"
+        f" WHEN suffix(w, 'ing') AND {vowel(cut(3))} THEN {cut(3)} ELSE w END,"
+        f" NOT suffix(w, 'eed') AND (suffix(w, 'ed') AND {vowel(cut(2))} OR suffix(w, 'ing') AND {vowel(cut(3))})",
+        f"CASE WHEN NOT took THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'"
+        f" WHEN w[-1] = w[-2] AND suffix({shape('w')}, 'CC') AND NOT regexp_matches(w, '[lsz]$') THEN {cut(1)}"
+        f" WHEN {least('w', 1)} AND NOT {least('w', 2)} AND {short('w')} THEN w || 'e' ELSE w END, false",
+        f"CASE WHEN suffix(w, 'y') AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END, false",
+        f"{longest(STEP_2, 1)}, false", f"{longest(STEP_3, 1)}, false", f"{longest(dict.fromkeys(STEP_4, ''), 2)}, false",
+        f"CASE WHEN suffix(w, 'e') AND ({least(cut(1), 2)} OR {least(cut(1), 1)} AND NOT {short(cut(1))}) THEN {cut(1)} ELSE w END, false",
+        f"CASE WHEN suffix(w, 'll') AND {least('w', 2)} THEN {cut(1)} ELSE w END, false",
+    ]
+    ctes = [f"porter_0 AS (SELECT DISTINCT word, word AS w, false AS took FROM {words})"]
+    ctes += [f"porter_{n + 1}(word, w, took) AS (SELECT word, {step} FROM porter_{n})" for n, step in enumerate(steps)]
+    ctes.append(f"porter AS (SELECT word, CASE WHEN regexp_matches(word, '^[a-z]{{3,}}$') THEN w ELSE word END AS term FROM porter_{len(steps)})")
+    return ",\n        ".join(ctes)
 
 
 @query(
     "fulltext_rank",
     oracle(
         f"""WITH {terms_cte('queries')},
-        a AS (SELECT DISTINCT q.repository_id, q.index_version, t.query_id, {sql_fulltext_stem('t.term')} AS term FROM queries_terms t JOIN queries q USING (query_id)),
-        n AS (SELECT query_id, count(*) AS n_terms FROM a GROUP BY 1),
         w AS (SELECT repository_id, index_version, chunk_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos
           FROM (SELECT *, {sql_tokens('content')} AS t FROM chunks)),
+        said AS (SELECT word FROM w UNION SELECT term FROM queries_terms), {sql_porter('said')},
+        a AS (SELECT DISTINCT q.repository_id, q.index_version, t.query_id, p.term FROM queries_terms t JOIN queries q USING (query_id) JOIN porter p ON p.word = t.term),
+        n AS (SELECT query_id, count(*) AS n_terms FROM a GROUP BY 1),
         h AS (SELECT a.query_id, w.chunk_id, w.pos, a.term, lead(w.pos) OVER s AS next_pos, lead(a.term) OVER s AS next_term
-          FROM a JOIN w ON {same('a', 'w')} AND {sql_fulltext_stem('w.word')} = a.term WINDOW s AS (PARTITION BY a.query_id, w.chunk_id ORDER BY w.pos)),
+          FROM a JOIN porter p ON p.term = a.term JOIN w ON {same('a', 'w')} AND w.word = p.word WINDOW s AS (PARTITION BY a.query_id, w.chunk_id ORDER BY w.pos)),
         d AS (SELECT query_id, chunk_id, count(DISTINCT term) AS matched, count(*) AS hits,
           round(coalesce(sum(CASE WHEN next_term <> term THEN 1.0::DOUBLE / (next_pos - pos + 1) ELSE 0 END), 0), 9) AS covers FROM h GROUP BY query_id, chunk_id),
         z AS (SELECT query_id, chunk_id, CASE WHEN matched = 1 THEN hits * 0.1::DOUBLE ELSE covers END AS raw_score, matched = n_terms AS is_strict FROM d JOIN n USING (query_id)),
