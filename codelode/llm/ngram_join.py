@@ -18,6 +18,8 @@ SLICE_BYTES = 4 << 20
 #: Shingles keep 48 bits of their hash, above them stands the frequency class: the global rare-first order.
 HASH_BITS = 48
 HUB_ROUNDS = 2
+#: Pairs of one left document that stand together, on average; the result does not depend on it.
+SPAN = 4096
 
 _PARTS = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("owner", pa.binary()), ("shingle", pa.binary()), ("rank", pa.binary())])
 _PARTS_SQL = "part long, slice long, owner binary, shingle binary, rank binary"
@@ -179,17 +181,34 @@ def _suffix_may_reach(a: np.ndarray, b: np.ndarray, most: int, depth: int = 3) -
     return True
 
 
+def _binary_rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a binary column as ordered 64-bit numbers, without copies of the bytes."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, places, data = column.buffers()
+    if data is None:
+        return [np.zeros(0, "<u8")] * len(column)
+    at = np.frombuffer(places, dtype=width, count=len(column) + 1 + column.offset)[column.offset :]
+    return [np.frombuffer(data, "<u8", count=(high - low) // 8, offset=low) for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links among the pairs (left, left_class, right, right_class); every pair is compared once."""
+    """Links among the pairs (left, left_class, right, right_class); every pair is compared once.
+
+    The pairs of one left document follow its set in sorted order, SPAN pairs at most before it comes again, so a hub
+    of many documents is neither copied for each of them nor left to one task. A task holds one set and one batch.
+    """
     t = threshold
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        na, a = 0, np.zeros(0, "<u8")
         for batch in batches:
             hit = np.zeros(len(batch), dtype=bool)
-            columns = (batch[c].to_pylist() for c in ("left_n", "left_keys", "right_n", "right_keys"))
-            for i, (na, ka, nb, kb) in enumerate(zip(*columns, strict=True)):
+            heads, sizes = batch["is_head"].to_pylist(), batch["n"].to_pylist()
+            for i, (head, nb, b) in enumerate(zip(heads, sizes, _binary_rows(batch["keys"]), strict=True)):
+                if head:
+                    na, a = nb, b.copy()
+                    continue
                 need = -(-(na + nb) * t.numerator // (t.numerator + t.denominator))
-                a, b = np.frombuffer(ka, "<u8"), np.frombuffer(kb, "<u8")
                 if min(len(a), len(b)) < need or not _suffix_may_reach(a, b, len(a) + len(b) - 2 * need):
                     continue
                 hit[i] = len(np.intersect1d(a, b, assume_unique=True)) >= need
@@ -197,12 +216,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
             yield pa.RecordBatch.from_arrays([batch["left"].filter(keep), batch["right"].filter(keep)], ["left", "right"])
 
     side = sets.where("keys IS NOT NULL").select("doc_id", "class", F.col("n_shingles").alias("n"), "keys")
-    for name in ("right", "left"):
-        pairs = pairs.join(
-            side.select(*[F.col(c).alias(f"{name}{'_' + c if c != 'doc_id' else ''}") for c in side.columns]), [name, f"{name}_class"]
-        )
-    source = pairs.select("left", "right", "left_n", "left_keys", "right_n", "right_keys")
-    return source.mapInArrow(per_batch, "left long, right long")
+    left, right = (
+        side.select(F.col("doc_id").alias(name), F.col("class").alias(f"{name}_class"), "n", "keys") for name in ("left", "right")
+    )
+    known = ["left", "left_class"]
+    spans = pairs.groupBy(*known).agg(F.floor((F.count("*") - 1) / F.lit(SPAN)).alias("last"))
+    heads = left.join(spans, known).select(
+        *known, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("span"), F.lit(True).alias("is_head"),
+        F.lit(None).cast("long").alias("right"), "n", "keys",
+    )
+    members = pairs.join(spans, known).join(right, ["right", "right_class"]).select(
+        *known, F.pmod(F.xxhash64("right", "right_class"), F.col("last") + 1).alias("span"), F.lit(False).alias("is_head"), "right", "n", "keys"
+    )
+    place = [*known, "span"]
+    rows = heads.unionByName(members).repartition(*place).sortWithinPartitions(*place, F.desc("is_head"))
+    return rows.select("is_head", "left", "right", "n", "keys").mapInArrow(per_batch, "left long, right long")
 
 
 def near_duplicates(docs: DataFrame, *, size: int, threshold: Fraction, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
