@@ -186,30 +186,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    from codelode.llm.license_scan import RULES, SENTENCES
-
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    steps, hits = [], []
-    for n, (ids, licence) in enumerate(RULES):
-        told = "".join(f"<{x}>" for x in ids)
-        steps.append(f"s{n + 1} AS (SELECT r, doc_id, replace(told, '{told}', '<>') AS told FROM s{n})")
-        hits.append(
-            f"SELECT doc_id, {n} AS rule, '{licence}' AS licence, ((length(told) - length(replace(told, '{told}', ''))) // {len(told)})::INTEGER AS statements"
-            f" FROM s{n} WHERE contains(told, '{told}')"
-        )
+    from codelode.llm.license_scan import KNOWN, LEAD, LONGEST, MOST_WORDS, RULES, STARTS
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in KNOWN.items())
+    starts = ", ".join(f"'{s}'" for s in STARTS)
+    orders = [(n, "".join(f"<{x}>" for x in ids), licence) for n, (ids, licence) in enumerate(RULES) if len(ids) > 1]
+    single = ", ".join(f"('{ids[0]}', {n}, '{licence}')" for n, (ids, licence) in enumerate(RULES) if len(ids) == 1)
+    steps = [f"s{k + 1} AS MATERIALIZED (SELECT r, doc_id, replace(told, '{told}', '<>') AS told FROM s{k})" for k, (_, told, _) in enumerate(orders)]
+    hits = [
+        f"SELECT doc_id, {n} AS rule, '{licence}' AS licence, ((length(told) - length(replace(told, '{told}', ''))) // {len(told)})::INTEGER AS statements"
+        f" FROM s{k} WHERE contains(told, '{told}')"
+        for k, (n, told, licence) in enumerate(orders)
+    ]
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
-c AS (
-  SELECT row_number() OVER () AS r, doc_id,
-    string_split(regexp_replace(lower(regexp_replace(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'),
-      '\n[ \t\r]*([A-Z\n])', chr(1) || '\1', 'g')), '[^a-z0-9.\x01]+', ' ', 'g'), chr(1)) AS parts
+WITH known(form, id) AS (VALUES {known}),
+single(id, rule, licence) AS (VALUES {single}),
+w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'),
+      '\n[ \t\r]*([A-Z\n])', chr(1) || '\1', 'g'), '\x01|[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*') AS words
   FROM documents WHERE text IS NOT NULL),
-u AS (SELECT r, doc_id, trim(unnest(parts), ' .') AS sentence, generate_subscripts(parts, 1) AS n FROM c),
-i AS (SELECT r, doc_id, n, coalesce(id, CASE WHEN sentence LIKE '%licens%' OR sentence LIKE '%licenc%' OR sentence LIKE '%copyright%' THEN 'Unknown' END) AS id
-  FROM u LEFT JOIN known USING (sentence)),
-s0 AS (SELECT r, doc_id, string_agg('<' || id || '>', '' ORDER BY n) AS told FROM i WHERE id IS NOT NULL GROUP BY r, doc_id),
-{", ".join(steps)}
+d AS MATERIALIZED (SELECT r, doc_id, list_filter(list_transform(string_split(replace(lower(array_to_string(words, ' ')), 'licence', 'license'), chr(1)),
+      lambda x: trim(x)), lambda x: x <> '') AS parts FROM w),
+u AS MATERIALIZED (SELECT r, doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS n FROM d),
+b AS (SELECT r, n FROM u WHERE array_to_string(string_split(piece, ' ')[1:2], ' ') IN ({starts})),
+l AS (SELECT b.r, b.n, k.k, array_to_string(d.parts[b.n : b.n + k.k - 1], ' ') AS joined FROM b JOIN d USING (r), range(1, {MOST_WORDS} + 1) k(k)
+  WHERE b.n + k.k - 1 <= len(d.parts)),
+h AS (SELECT l.r, l.n, max(k) AS k, arg_max(id, k) AS id FROM l JOIN known ON form = regexp_replace(joined, '{LEAD}', 'under ')
+  WHERE length(joined) <= {LONGEST} GROUP BY ALL),
+m AS (SELECT u.r, doc_id, u.n, coalesce(h.id, CASE WHEN piece LIKE '%licens%' OR piece LIKE '%licenc%' OR piece LIKE '%copyright%' THEN 'Unknown' END) AS id,
+    coalesce(max(u.n + h.k) OVER (PARTITION BY u.r ORDER BY u.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > u.n, false) AS within_another
+  FROM u LEFT JOIN h ON h.r = u.r AND h.n = u.n),
+s0 AS MATERIALIZED (SELECT r, doc_id, string_agg('<' || id || '>', '' ORDER BY n) AS told FROM m WHERE id IS NOT NULL AND NOT within_another GROUP BY r, doc_id),
+{", ".join(steps)},
+z AS (SELECT r, doc_id, unnest(regexp_extract_all(told, '<([^>]+)>', 1)) AS id FROM s{len(orders)})
 {" UNION ALL ".join(hits)}
+UNION ALL SELECT doc_id, rule, licence, count(*)::INTEGER FROM z JOIN single USING (id) GROUP BY r, doc_id, rule, licence
 """
 
 
