@@ -117,6 +117,10 @@ STARTS = sorted(
 LONGEST = max(map(len, KNOWN)) + 80
 MOST_WORDS = max(s.count(" ") for s in KNOWN) + 12
 
+#: A run of pieces beyond SHORT has its whole lead; it can only become a known sentence if it begins like one.
+SHORT = 60
+HEADS = sorted({" ".join(s.split(" ")[:n]) for s in KNOWN for n in range(1, 5)})
+
 #: Ends of pieces of text.
 MARK = "\u0001"
 #: Beginnings of words of which every sentence that counts has one (without looking at case).
@@ -149,17 +153,18 @@ def _found(parts: Column) -> Column:
     ids = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
 
     def longer(state: Column, piece: Column) -> Column:
-        joined = F.when(F.length(state["joined"]) > LONGEST, state["joined"]).otherwise(F.btrim(F.concat_ws(" ", state["joined"], piece)))
-
         def looked_up(both: Column) -> Column:
             hit = both["form"].isin(list(KNOWN))
+            open_end = (F.length(both["joined"]) <= SHORT) | F.substring_index(both["form"], " ", 4).isin(HEADS) & (F.length(both["joined"]) <= LONGEST)
             return F.struct(
-                both["joined"].alias("joined"), (state["n"] + 1).alias("n"),
+                F.when(open_end, both["joined"]).alias("joined"), (state["n"] + 1).alias("n"),
                 F.when(hit, state["n"] + 1).otherwise(state["length"]).alias("length"),
                 F.when(hit, both["form"]).otherwise(state["form"]).alias("form"),
             )
 
-        return _bound(joined, lambda j: _bound(F.struct(j.alias("joined"), F.regexp_replace(j, LEAD, "under ").alias("form")), looked_up))
+        joined = F.btrim(F.concat_ws(" ", state["joined"], piece))
+        grown = _bound(joined, lambda j: _bound(F.struct(j.alias("joined"), F.regexp_replace(j, LEAD, "under ").alias("form")), looked_up))
+        return F.when(state["joined"].isNull(), state).otherwise(grown)
 
     def longest(i: Column) -> Column:
         start = F.struct(F.lit("").alias("joined"), F.lit(0).alias("n"), F.lit(0).alias("length"), F.lit("").alias("form"))
