@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about `most` bytes of text; a longer text is a slice of its own."""
+    _, offsets = text_bytes(batch[column])
+    begin, rows = 0, len(offsets) - 1
+    while begin < rows:
+        end = int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1
+        end = min(max(end, begin + 1), rows)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Bijective finaliser that spreads every input bit over all 64 output bits."""
     values = values ^ (values >> np.uint64(30))

@@ -83,6 +83,13 @@ def _unpacked(data: bytes) -> np.ndarray:
     return low | (np.frombuffer(data, "<u2", offset=4 * n, count=n).astype(np.uint64) << np.uint64(32))
 
 
+def _arrays(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
+    """The packed array of each row, without copies of the column."""
+    data, offsets = text_bytes(column)
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield np.frombuffer(data, kind, count=(end - begin) // 8, offset=begin)
+
+
 def _rank(table: pa.Table) -> pa.Table:
     """Exact document frequency of the shingles of one part; only those of two or more documents go on."""
     if table["part"][0].as_py() < 0:
@@ -143,8 +150,7 @@ def _postings(sets: DataFrame, threshold: Fraction) -> DataFrame:
         for batch in batches:
             n = batch["n_shingles"].to_numpy()
             keys, rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row, (size, need, packed) in enumerate(zip(n, _least_overlap(threshold, n), batch["keys"].to_pylist(), strict=True)):
-                own = np.frombuffer(packed, "<i8")
+            for row, (size, need, own) in enumerate(zip(n, _least_overlap(threshold, n), _arrays(batch["keys"], "<i8"), strict=True)):
                 alone = size - len(own)  # shingles of no other document come first in the order
                 prefix = own[: size - need + 1 - alone]
                 keys.append(prefix)
@@ -186,10 +192,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = np.zeros(len(batch), dtype=bool)
-            columns = (batch[c].to_pylist() for c in ("left_n", "left_keys", "right_n", "right_keys"))
-            for i, (na, ka, nb, kb) in enumerate(zip(*columns, strict=True)):
+            sizes = (batch[c].to_pylist() for c in ("left_n", "right_n"))
+            sets = (_arrays(batch[c], "<u8") for c in ("left_keys", "right_keys"))
+            for i, (na, nb, a, b) in enumerate(zip(*sizes, *sets, strict=True)):
                 need = -(-(na + nb) * t.numerator // (t.numerator + t.denominator))
-                a, b = np.frombuffer(ka, "<u8"), np.frombuffer(kb, "<u8")
                 if min(len(a), len(b)) < need or not _suffix_may_reach(a, b, len(a) + len(b) - 2 * need):
                     continue
                 hit[i] = len(np.intersect1d(a, b, assume_unique=True)) >= need

@@ -13,31 +13,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import text_slices
+
 END_OF_TEXT = "<|endoftext|>"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, lot long"
 
 
-def encoder(ranks: str, vocabulary: str):
+def special_tokens(vocabulary: str) -> dict[str, int]:
+    from tokenizers import Tokenizer
+
+    return {END_OF_TEXT: Tokenizer.from_file(vocabulary).token_to_id(END_OF_TEXT)}
+
+
+def encoder(ranks: str, vocabulary: str, special: dict[str, int]):
     """Token ids of a text, by the rank file, and by the vocabulary file where the former gives up.
 
     Both files hold the same vocabulary. The rank file's library is several times faster, but its splitting pattern
-    fails on runs of about a million white-space characters.
+    fails on runs of about a million white-space characters; only then is the other file loaded.
     """
     import tiktoken
     import public_tokenizers
-    from tokenizers import Tokenizer
 
     with open(ranks, "rb") as file:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    slow = Tokenizer.from_file(vocabulary)
-    special = {END_OF_TEXT: slow.token_to_id(END_OF_TEXT)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+    slow = []
 
     def encode(text: str) -> list[int]:
         try:
             return fast.encode(text, allowed_special="all")
         except ValueError:
-            return slow.encode(text, add_special_tokens=False).ids
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(vocabulary))
+            return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -50,12 +60,13 @@ def token_pieces(
     `lot` is a random number that depends on the row's place in its stored input. A null text is empty: its only
     token is `end_id`. `with_ids` adds the ids themselves and `piece`, a number of the piece.
     """
+    special = special_tokens(vocabulary)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, vocabulary)
+        encode = encoder(ranks, vocabulary, special)
         task = TaskContext.get().partitionId()
         rng, number = np.random.default_rng(task), task << 33
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "text")):
             rows, lists = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
