@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from codelode.functions import layout
 from codelode.functions import paths as P
+from codelode.functions import scale
 from codelode.functions import text as X
 
 # Chunk size limits in characters.
@@ -57,7 +58,7 @@ def module_symbols(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """One <module> symbol per parsable file with imports, spanning the file."""
     with_imports = parsed.where(F.col("parse_ok") & (F.size("imports") > 0)).select("repository_id", "path")
     return with_imports.join(
-        files.select("repository_id", "path", X.line_count(F.col("content")).alias("end_line")), ["repository_id", "path"]
+        scale.unsent(files.select("repository_id", "path", X.line_count(F.col("content")).alias("end_line"))), ["repository_id", "path"]
     ).select(
         "repository_id", "path", F.lit(MODULE).alias("name"), F.lit("MODULE").alias("symbol_type"),
         F.lit(1).alias("start_line"), "end_line", F.lit(None).cast("string").alias("parent"),
@@ -141,7 +142,7 @@ def linked_routes(symbols: Column, s: Column) -> Column:
 def edge_sources(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Attach from_id: the last symbol of that name in the file."""
     return edges.join(
-        _file_names(symbols).withColumnsRenamed({"name": "from_name", "id": "from_id"}),
+        scale.unsent(_file_names(symbols).withColumnsRenamed({"name": "from_name", "id": "from_id"})),
         ["repository_id", "path", "from_name"],
     )
 
@@ -189,14 +190,14 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, parsed: DataFrame) -> Da
     )
     imported = (
         import_targets(parsed)
-        .join(by_tail, ["repository_id", "to_name", "expected"])
+        .join(scale.unsent(by_tail), ["repository_id", "to_name", "expected"])
         .groupBy("repository_id", "path", "to_name")
         .agg(F.count_distinct("symbol_id").alias("m"), F.min("symbol_id").alias("import_id"))
     )
     return (
-        sourced.join(local, ["repository_id", "path", "to_name"], "left")
-        .join(names, ["repository_id", "to_name"], "left")
-        .join(imported, ["repository_id", "path", "to_name"], "left")
+        sourced.join(scale.unsent(local), ["repository_id", "path", "to_name"], "left")
+        .join(scale.unsent(imported), ["repository_id", "path", "to_name"], "left")
+        .join(scale.unsent(names), ["repository_id", "to_name"], "left")
         .select(
             "repository_id", "path", "from_name", "to_name", "kind", "confidence", "from_id",
             F.coalesce(
@@ -215,14 +216,14 @@ def server_routes(parsed: DataFrame, files: DataFrame, symbols: DataFrame) -> Da
     )
     call = r"(?i)\.(get|post|put|patch|delete)\s*\(\s*['\"]([^'\"]+)['\"]"
     rows = python.join(
-        files.select("repository_id", "path", prefix.alias("prefix")), ["repository_id", "path"]
+        scale.unsent(files.select("repository_id", "path", prefix.alias("prefix"))), ["repository_id", "path"]
     ).select("repository_id", "path", "name", "prefix", F.explode("api_routes").alias("mark"))
     routed = rows.where(F.col("mark").rlike(call)).select(
         "repository_id", "path", "name", F.upper(F.regexp_extract("mark", call, 1)).alias("method"),
         F.concat(F.col("prefix"), F.lit("/"), F.ltrim(F.regexp_extract("mark", call, 2), F.lit("/"))).alias("route"),
     )
     return (
-        routed.join(_file_names(symbols), ["repository_id", "path", "name"])
+        routed.join(scale.unsent(_file_names(symbols)), ["repository_id", "path", "name"])
         .groupBy("repository_id", "method", "route")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("to_id"))
         .where("n = 1")
@@ -239,8 +240,8 @@ def resolve_api_routes(parsed: DataFrame, files: DataFrame, symbols: DataFrame)
         F.explode(linked_routes(F.col("symbols"), F.col("s"))).alias("c"),
     ).select("repository_id", "path", "name", F.col("c.method").alias("method"), F.col("c.path").alias("route"))
     return (
-        clients.join(server_routes(parsed, files, symbols), ["repository_id", "method", "route"])
-        .join(_file_names(symbols).withColumnRenamed("id", "from_id"), ["repository_id", "path", "name"])
+        clients.join(scale.unsent(server_routes(parsed, files, symbols)), ["repository_id", "method", "route"])
+        .join(scale.unsent(_file_names(symbols).withColumnRenamed("id", "from_id")), ["repository_id", "path", "name"])
         .select("repository_id", "from_id", "to_id", "method", "route")
         .distinct()
     )
@@ -299,7 +300,7 @@ def chunk_symbols(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """
     keys = ["repository_id", "path"]
     rows = parsed.where("parse_ok").select(*keys, "symbols").join(
-        with_lines(files.select(*keys, "content")), keys
+        scale.unsent(with_lines(files.select(*keys, "content"))), keys
     ).withColumn("language", P.language(F.col("path")))
 
     def placed(s: Column) -> Column:
