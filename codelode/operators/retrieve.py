@@ -256,7 +256,7 @@ def symbol_exact(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select(
         *SCOPE, "query_id", F.trim("query_text").alias("query_text"), F.lower(F.trim("query_text")).alias("_lower")
     ).where(F.col("query_text") != "")
-    joined = symbols.withColumn("_lower", F.lower("name")).join(asked, [*SCOPE, "_lower"])
+    joined = scale.dealt(symbols, "symbol_id").withColumn("_lower", F.lower("name")).join(asked, [*SCOPE, "_lower"])
     same = F.col("name") == F.col("query_text")
     return joined.withColumn("score", F.when(same, 1.0).otherwise(0.95)).withColumn(
         "match_type", F.when(same, "exact_case_sensitive").otherwise("exact_case_insensitive")
@@ -291,10 +291,12 @@ def name_similarity(names: DataFrame, queries: DataFrame) -> DataFrame:
 def symbol_fuzzy(symbols: DataFrame, queries: DataFrame, k: int = FUZZY_LIMIT) -> DataFrame:
     """Trigram-close symbols strictly above the threshold, best k by score, name, id; exact names excluded.
 
-    Names are ranked before they meet their symbols: each of the best k names has a symbol, so k names are enough.
+    Names are ranked before they meet their symbols: each of the best k names has a symbol, so k names are enough, and
+    of a name no more than its first k symbols can be among the best. So a pair of question and name makes at most k rows.
     """
     names = scale.top_k(name_similarity(symbols, queries), ["query_id"], [F.desc("score"), F.asc("name")], k).drop("rank")
-    scored = symbols.join(names, [*SCOPE, "name"]).withColumn("match_type", F.lit("fuzzy"))
+    first = scale.top_k(scale.dealt(symbols, "symbol_id"), [*SCOPE, "name"], [F.asc("symbol_id")], k).drop("rank")
+    scored = first.join(names, [*SCOPE, "name"]).withColumn("match_type", F.lit("fuzzy"))
     ranked = scale.top_k(scored, ["query_id"], [F.desc("score"), F.asc("name"), F.asc("symbol_id")], k)
     return ranked.drop("rank")
 
@@ -321,7 +323,7 @@ def owner_join(points: DataFrame, chunks: DataFrame) -> DataFrame:
     keys = F.filter(F.array_append(blocks, by_name(F.col("symbol_name"))), lambda k: k.isNotNull())
     right = chunks.select(*SCOPE, "chunk_id", "file_path", "start_line", "end_line", F.explode(keys).alias("_key"))
     inside = F.col("symbol_start").between(F.col("start_line"), F.col("end_line"))
-    return left.join(right, [*SCOPE, "file_path", "_key"]).where(F.col("_key").startswith("b") == inside).drop("_key")
+    return left.join(scale.unsent(right), [*SCOPE, "file_path", "_key"]).where(F.col("_key").startswith("b") == inside).drop("_key")
 
 
 def owner_pairs(matches: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from codelode.operators import retrieve as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +13,20 @@ def test_symbols_are_not_sent_to_every_task(spark, key):
     """Exploded symbols look small to Spark, so it gathered them in the driver to broadcast them."""
     plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_fuzzy_names_meet_their_first_symbols_only(spark):
+    """Every symbol of a name met every question close to that name before the best ten were taken."""
+    rows = [("c", 1, 1000 + i, "load_thing") for i in range(400)] + [("c", 1, i, "load_think") for i in range(400)]
+    symbols = spark.createDataFrame(rows, "repository_id string, index_version int, symbol_id long, name string")
+    queries = spark.createDataFrame([("q", "c", 1, "load_thinz")], "query_id string, repository_id string, index_version int, query_text string")
+    found = R.symbol_fuzzy(symbols, queries)
+    assert [r.symbol_id for r in found.orderBy("name", "symbol_id").collect()] == list(range(1000, 1010))
+    joined, ranked = [], [found._jdf.queryExecution().optimizedPlan()]
+    while ranked:
+        node = ranked.pop()
+        ranked += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join" and "symbol_id" in node.output().mkString():
+            joined.append(node)
+    sides = [side.toString() for node in joined for side in (node.left(), node.right()) if "symbol_id" in side.output().mkString()]
+    assert sides and all("row_number" in side for side in sides)
