@@ -30,3 +30,15 @@ def test_fuzzy_names_meet_their_first_symbols_only(spark):
             joined.append(node)
     sides = [side.toString() for node in joined for side in (node.left(), node.right()) if "symbol_id" in side.output().mkString()]
     assert sides and all("row_number" in side for side in sides)
+
+
+def test_context_texts_move_once(spark):
+    """Texts went through every shuffle that looks for neighbouring intervals."""
+    nodes, windows = [entry.queries()["build_context"](spark, SF)._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Window":
+            windows += 1
+            assert "content#" not in node.output().mkString()
+    assert windows
