@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from codelode.functions import lookup
+from codelode.operators import evidence as E
 from codelode.operators import retrieve as R
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,20 @@ def test_context_texts_move_once(spark):
             windows += 1
             assert "content#" not in node.output().mkString()
     assert windows
+
+
+def test_memories_of_contexts_are_not_shuffled_as_pairs(spark, monkeypatch):
+    """Pairs were made once per shared keyword and shuffled to be made distinct; ids in two corpora are found once."""
+    monkeypatch.setattr(lookup, "SLICE_ITEMS", 3)
+    monkeypatch.setattr(lookup, "BLOCK_QUESTIONS", 2)
+    memories = spark.createDataFrame(
+        [("a", i, f"login token page {i}", False) for i in range(9)] + [("b", 1, "login token", False), ("b", 50, None, False), ("b", 51, "login", True), (None, 60, "login", False)],
+        "repository_id string, memory_id long, topic string, is_stale boolean")
+    contexts = spark.createDataFrame(
+        [("x", "a", "token login", ""), ("x", "b", "token login", ""), ("y", "a", "?", ""), ("y", "b", "?", ""), ("z", "b", "ogi", ""), ("n", "a", None, None), (None, "b", "login", "")],
+        "context_id string, repository_id string, query_text string, task_type string")
+    found = E.memory_filter(memories, contexts)
+    everything = range(9)
+    expected = [("x", i) for i in everything] + [("y", i) for i in everything] + [("n", i) for i in everything] + [("y", 50), ("z", 1), (None, 1)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapCoGroupsInArrow"
