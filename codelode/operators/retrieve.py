@@ -217,18 +217,25 @@ def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
 
     A cover is the span between two neighbouring hits of different terms; a lone term counts 1/10
     per hit. Stems are those of the English Porter algorithm. Questions' stems meet the stems of the
-    corpus' vocabulary first, so only words that some question asks for are looked up in the texts.
+    corpus' vocabulary first, so only words that some question asks for are looked up in the texts. A chunk's places are
+    gathered once, by term, and each question picks its own from them inside the row: what is shuffled grows with the
+    texts, not with the questions that share their words.
     """
     said = queries.select(*SCOPE, "query_id", F.explode(X.query_terms(F.col("query_text"))).alias("word"))
     asked = said.join(_stems(said), "word").select(*SCOPE, "query_id", "term").distinct()
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     vocabulary = chunks.select(F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("word")).distinct()
-    wanted = _stems(vocabulary).join(asked, "term").select(*SCOPE, "query_id", "word", "term")
+    wanted = _stems(vocabulary).join(asked.select(*SCOPE, "term").distinct(), "term").select(*SCOPE, "word", "term")
     placed = chunks.select(*SCOPE, "chunk_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "word"))
-    hits = placed.join(wanted, [*SCOPE, "word"])
-    per_chunk = hits.groupBy("query_id", *SCOPE, "chunk_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
-        F.count_distinct("term").alias("matched"),
+    found = placed.join(wanted, [*SCOPE, "word"]).groupBy(*SCOPE, "chunk_id", "term").agg(F.collect_list("pos").alias("places"))
+    terms = scale.dealt(found.groupBy(*SCOPE, "chunk_id").agg(F.collect_list(F.struct("term", "places")).alias("_terms")), *SCOPE, "chunk_id")
+    questions = asked.groupBy("query_id", *SCOPE).agg(F.collect_set("term").alias("_asked"))
+    own = F.filter("_terms", lambda t: F.array_contains("_asked", t["term"]))
+    per_chunk = terms.join(questions, SCOPE).withColumn("_own", own).where(F.size("_own") > 0).select(
+        "query_id", *SCOPE, "chunk_id", F.size("_own").alias("matched"),
+        F.array_sort(F.flatten(F.transform(
+            "_own", lambda t: F.transform(t["places"], lambda at: F.struct(at.alias("pos"), t["term"].alias("term")))
+        ))).alias("hits"),
     )
     neighbours = F.zip_with(
         F.slice("hits", F.lit(1), F.size("hits") - 1),

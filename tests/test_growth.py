@@ -61,3 +61,15 @@ def test_memories_of_contexts_are_not_shuffled_as_pairs(spark, monkeypatch):
     expected = [("x", i) for i in everything] + [("y", i) for i in everything] + [("n", i) for i in everything] + [("y", 50), ("z", 1), (None, 1)]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapCoGroupsInArrow"
+
+
+def test_places_are_not_gathered_per_question(spark):
+    """Each place of a word was shuffled once for every question that has the word."""
+    nodes, seen = [entry.queries()["fulltext_rank"](spark, SF)._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Aggregate" and "chunk_id#" in node.output().mkString():
+            seen += 1
+            assert "query_id#" not in node.output().mkString()
+    assert seen
