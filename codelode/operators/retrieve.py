@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import scale
@@ -18,9 +20,12 @@ LEXICAL_LIMIT = 30
 FUZZY_LIMIT = 10
 FUZZY_THRESHOLD = 0.3
 SCOPE = scale.SCOPE
-#: Rows of one score matrix; the result doesn't depend on them.
-SLICE_VECTORS = 4096
-BLOCK_QUESTIONS = 256
+#: Rows that meet in a task; the result doesn't depend on them.
+SLICE_VECTORS = SLICE_CHUNKS = 4096
+SLICE_BYTES = 16 << 20
+BLOCK_QUESTIONS = 4096
+#: Questions of one score matrix.
+MATRIX_QUESTIONS = 256
 #: Float noise of a cosine lies below; equal vectors must score equal in any block.
 COSINE_DIGITS = 12
 #: Likewise for a sum of cover shares, which depends on the order of addition.
@@ -60,7 +65,7 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_LIMI
     """Exact top k by cosine similarity inside the corpus version of each query; zero norms score 0; ties by chunk id.
 
     The vectors of a corpus version are cut into slices and its questions into blocks, both of bounded size by their
-    number of rows. A task scores one block against one slice, so its matrix is bounded, and hands on at most k rows
+    number of rows. A task scores one block against one slice, a bounded matrix at a time, and hands on at most k rows
     per question; one ranked merge finishes the job. Rows without a vector take no part.
     """
     kinds = {name: frame.schema[name].dataType.simpleString() for frame, name in (
@@ -69,56 +74,42 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int = SEMANTIC_LIMI
     vectors = vectors.where("embedding IS NOT NULL").select(*SCOPE, "chunk_id", "embedding")
     queries = queries.where("query_embedding IS NOT NULL").select(*SCOPE, "query_id", "query_embedding")
 
-    def parts(frame: DataFrame, rows: int, name: str) -> DataFrame:
-        return frame.groupBy(*SCOPE).agg(F.ceil(F.count("*") / F.lit(rows)).alias(name))
-
-    plan = parts(vectors, SLICE_VECTORS, "_slices").join(parts(queries, BLOCK_QUESTIONS, "_blocks"), SCOPE)
-    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-    left = vectors.join(plan, SCOPE).select(
-        *SCOPE, "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.col("_slices")).alias("_slice"), every("_blocks").alias("_block")
-    )
-    right = queries.join(plan, SCOPE).select(
-        *SCOPE, "query_id", "query_embedding", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).alias("_block"), every("_slices").alias("_slice")
+    left, right = scale.cut_to_meet(
+        vectors, queries, SCOPE, ("chunk_id", "query_id"), F.count("*") / SLICE_VECTORS, F.count("*") / BLOCK_QUESTIONS
     )
-    keys = [*SCOPE, "_slice", "_block"]
 
     def meet(key: tuple, chunk_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk_part) or not len(query_part):
             return pd.DataFrame({"query_id": [], SCOPE[0]: [], SCOPE[1]: [], "chunk_id": [], "raw_score": []})
         ids = chunk_part["chunk_id"].to_numpy()
-        scores = _cosine(_matrix(chunk_part["embedding"]), _matrix(query_part["query_embedding"]))
-        picks = [_best_rows(ids, row, k) for row in scores]
+        known, asked = _matrix(chunk_part["embedding"]), _matrix(query_part["query_embedding"])
+        picks, best = [], []
+        for begin in range(0, len(asked), MATRIX_QUESTIONS):
+            for row in _cosine(known, asked[begin : begin + MATRIX_QUESTIONS]):
+                picks.append(_best_rows(ids, row, k))
+                best.append(row[picks[-1]])
         return pd.DataFrame({
             "query_id": np.repeat(query_part["query_id"].to_numpy(), [len(p) for p in picks]),
             SCOPE[0]: key[0], SCOPE[1]: key[1],
             "chunk_id": np.concatenate([ids[p] for p in picks]),
-            "raw_score": np.concatenate([row[p] for row, p in zip(scores, picks)]),
+            "raw_score": np.concatenate(best),
         })
 
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    partial = left.cogroup(right).applyInPandas(meet, schema)
     return scale.top_k(partial, ["query_id"], [F.desc("raw_score"), F.asc("chunk_id")], k)
 
 
 # ---------------------------------------------------------------- lexical
 
-def postings(chunks: DataFrame, keys: Sequence[str] = (*SCOPE, "chunk_id")) -> DataFrame:
-    """One row per token occurrence: (keys, term)."""
-    return chunks.select(*keys, F.explode(X.tokens(F.col("content"))).alias("term"))
-
-
 def _phrase_tokens(text: Column) -> Column:
     """Tokens that must appear whole wherever the text appears: all but the first and the last."""
     raw = X.tokens(text)
     return F.array_distinct(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 2, F.lit(0))))
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, matched, hits, phrase, n_terms) for every chunk of the query's corpus version with a positive score.
-
-    Terms are counted per chunk where the texts are read, before anything moves; the counts meet the question terms
-    in one equi-join. Texts are compared only for pairs that hold every inner token of the question.
-    """
-    asked = (
+def _asked_terms(queries: DataFrame) -> DataFrame:
+    """Questions with their terms, the inner tokens that select texts for the phrase test, their longest token and their phrase."""
+    return (
         queries.withColumn("query_text", F.trim("query_text"))
         .withColumn("_terms", X.query_terms(F.col("query_text")))
         .withColumn("_all_inner", _phrase_tokens(F.col("query_text")))
@@ -126,65 +117,110 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         # Inner tokens that are terms already select few texts; common words are used only when there are no others.
         .withColumn("_common", F.array_intersect("_all_inner", "_terms"))
         .withColumn("_inner", F.when(F.size("_common") > 0, F.col("_common")).otherwise(F.col("_all_inner")))
-        .drop("_all_inner", "_common")
-    )
-    sizes = asked.select("query_id", F.size("_terms").alias("n_terms"), F.size("_inner").alias("n_inner"), "query_text")
-    wanted = asked.select(
-        *SCOPE, "query_id", "_terms", "_inner", F.explode(F.array_union("_terms", "_inner")).alias("term")
-    ).select(
-        *SCOPE, "query_id", "term",
-        F.array_contains("_terms", F.col("term")).alias("is_term"),
-        F.array_contains("_inner", F.col("term")).alias("is_inner"),
-    )
-    counts = postings(chunks).groupBy(*SCOPE, "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    pairs = counts.join(wanted, [*SCOPE, "term"]).groupBy("query_id", *SCOPE, "chunk_id").agg(
-        F.sum(F.when(F.col("is_term"), F.col("tf")).otherwise(0)).alias("hits"),
-        F.count_if("is_term").alias("matched"),
-        F.count_if("is_inner").alias("inner_matched"),
+        .select(
+            *SCOPE, "query_id", "_terms", "_inner", F.lower("query_text").alias("_phrase"),
+            F.expr(
+                "array_max(transform(regexp_extract_all(lower(query_text), '[A-Za-z0-9_]+', 0), "
+                "t -> struct(length(t) AS n, t AS token))).token"
+            ).alias("_longest"),
+        )
     )
-    keys = ["query_id", *SCOPE, "chunk_id"]
-    sized = pairs.join(sizes.select("query_id", "n_inner"), "query_id")
-    holds_inner = sized.where((F.col("n_inner") > 0) & (F.col("inner_matched") == F.col("n_inner")))
-    suspects = holds_inner.select(*keys).unionByName(_short_phrase_pairs(chunks, asked.where(F.size("_inner") == 0)))
-    phrases = (
-        suspects.join(sizes.select("query_id", "query_text"), "query_id")
-        .join(chunks.select(*SCOPE, "chunk_id", "content"), [*SCOPE, "chunk_id"])
-        .where(F.contains(F.lower("content"), F.lower("query_text")))
-        .select(*keys, F.lit(1).alias("phrase"))
-    )
-    counted = pairs.select(*keys, "hits", "matched").join(phrases, keys, "full_outer")
-    return counted.join(sizes.select("query_id", "n_terms"), "query_id").select(
-        *keys, "n_terms",
-        F.coalesce("hits", F.lit(0)).alias("hits"),
-        F.coalesce("matched", F.lit(0)).alias("matched"),
-        F.coalesce("phrase", F.lit(0)).alias("phrase"),
-    ).where(F.col("hits") + F.col("phrase") > 0)
 
 
-def _short_phrase_pairs(chunks: DataFrame, short: DataFrame) -> DataFrame:
-    """Candidate (query, chunk) pairs for questions of one or two tokens.
+def _posting_lists(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the rows; the rows that hold a word (ascending) and how often; the first place of each word in both."""
+    coded = tokens.flatten().dictionary_encode()
+    words = len(coded.dictionary)
+    owners = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    pairs, counts = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(tokens) + owners, return_counts=True)
+    return coded.dictionary, pairs % len(tokens), counts, np.searchsorted(pairs, np.arange(words + 1) * len(tokens))
+
 
-    Such a question can sit inside longer words. Its longest token is looked up in the distinct
-    words of the corpus by leading gram, then the words lead back to their chunks.
+def _lexical_rows(texts: pa.Table, asked: pa.Table, place: Sequence[str], k: int | None) -> pa.Table:
+    """Rows of one slice of chunks that score for each question of one block.
+
+    With k only the k best rows of a question are taken, and only strict ones where there are any.
     """
-    short = short.select(
-        *SCOPE, "query_id",
-        F.expr(
-            "array_max(transform(regexp_extract_all(lower(query_text), '[A-Za-z0-9_]+', 0), "
-            "t -> struct(length(t) AS n, t AS token))).token"
-        ).alias("token"),
-    )
-    short = short.withColumn("gram", F.substring("token", 1, 3))
-    words = postings(chunks).select(*SCOPE, "term").distinct()
-    positions = F.sequence(F.lit(1), F.length("term"))
-    pieces = F.flatten(F.transform(
-        positions, lambda i: F.array(*[F.substring("term", i, F.lit(n)) for n in (1, 2, 3)])
-    ))
-    spread = words.select(*SCOPE, "term", F.explode(F.array_distinct(pieces)).alias("gram"))
-    holders = (
-        spread.join(short, [*SCOPE, "gram"]).where(F.contains("term", F.col("token"))).select("query_id", *SCOPE, "term").distinct()
+    texts = texts.take(pc.sort_indices(texts, sort_keys=[(name, "ascending") for name in place], null_placement="at_start")).combine_chunks()
+    asked = asked.combine_chunks()
+    n, content = len(texts), pc.fill_null(texts["_text"], "").combine_chunks()
+    words, rows, counts, first = _posting_lists(texts["_tokens"].combine_chunks())
+    codes = {
+        name: pc.index_in(asked[name].combine_chunks().flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+        for name in ("_terms", "_inner")
+    }
+    ends = {name: np.cumsum(pc.list_value_length(asked[name]).to_numpy()) for name in codes}
+
+    def holding_all(inner: np.ndarray) -> np.ndarray:
+        if (inner < 0).any():
+            return rows[:0]
+        lists = sorted((rows[first[c] : first[c + 1]] for c in inner), key=len)
+        held = lists[0]
+        for other in lists[1:]:
+            held = np.intersect1d(held, other, assume_unique=True)
+        return held
+
+    def with_piece(token: str | None) -> np.ndarray:
+        if token is None:
+            return rows[:0]
+        holders = np.flatnonzero(pc.match_substring(words, token).to_numpy(zero_copy_only=False))
+        return np.unique(np.concatenate([rows[first[c] : first[c + 1]] for c in holders])) if len(holders) else rows[:0]
+
+    figures: dict[str, list[np.ndarray]] = {name: [] for name in ("chunk", "question", "n_terms", "hits", "matched", "phrase")}
+    for i, (phrase, longest) in enumerate(zip(asked["_phrase"].to_pylist(), asked["_longest"].to_pylist())):
+        terms, inner = (codes[name][(ends[name][i - 1] if i else 0) : ends[name][i]] for name in ("_terms", "_inner"))
+        hits, matched, phrased = (np.zeros(n, np.int64) for _ in range(3))
+        for c in terms[terms >= 0]:
+            at = slice(first[c], first[c + 1])
+            hits[rows[at]] += counts[at]
+            matched[rows[at]] += 1
+        suspects = holding_all(inner) if len(inner) else with_piece(longest)
+        if len(suspects):
+            phrased[suspects] = pc.match_substring(content.take(pa.array(suspects)), phrase).to_numpy(zero_copy_only=False)
+        live = np.flatnonzero(hits + phrased)
+        if k is not None:
+            strict = live[matched[live] == len(terms)]
+            live = strict if len(strict) else live
+            live = live[_best_rows(live, hits[live] + phrased[live] + matched[live] / len(terms), k)]
+        for name, values in (
+            ("chunk", live), ("question", np.full(len(live), i)), ("n_terms", np.full(len(live), len(terms))),
+            ("hits", hits[live]), ("matched", matched[live]), ("phrase", phrased[live]),
+        ):
+            figures[name].append(values)
+    merged = {name: pa.array(np.concatenate(values)) for name, values in figures.items()}
+    found, whose = texts.select(place).take(merged.pop("chunk")), asked.select(["query_id", *SCOPE]).take(merged.pop("question"))
+    return pa.table({**{name: whose[name] for name in whose.column_names}, **{name: found[name] for name in place}, **merged})
+
+
+def lexical_scores(chunks: DataFrame, queries: DataFrame, place: Sequence[str] = ("chunk_id",), k: int | None = None) -> DataFrame:
+    """(query_id, scope, place, n_terms, hits, matched, phrase) for every chunk of the query's corpus version with a positive score.
+
+    The chunks of a corpus version are cut into slices, by rows and by bytes of text, and its questions into blocks. A task
+    makes the posting lists of one slice and scores the questions of one block by them, so pairs of a question and a chunk
+    are never shuffled; with k a task hands on no more than k rows per question, the first of equal ones in the order of
+    `place`. Texts are compared only where a chunk holds every inner token of the question; a question of one or two tokens
+    can sit inside longer words, so its longest token is looked up in the slice's words.
+    """
+    kinds = {name: frame.schema[name].dataType.simpleString() for frame, names in ((queries, ["query_id", *SCOPE]), (chunks, place)) for name in names}
+    left, right = scale.cut_to_meet(
+        chunks.select(
+            *SCOPE, *place, F.lower("content").alias("_text"), F.octet_length("content").alias("_bytes"),
+            F.coalesce(X.tokens(F.col("content")), F.expr("cast(array() as array<string>)")).alias("_tokens"),
+        ),
+        _asked_terms(queries), SCOPE, ("chunk_id", "query_id"),
+        F.greatest(F.count("*") / SLICE_CHUNKS, F.coalesce(F.sum("_bytes"), F.lit(0)) / SLICE_BYTES),
+        F.count("*") / BLOCK_QUESTIONS,
     )
-    return postings(chunks).join(holders, [*SCOPE, "term"]).select("query_id", *SCOPE, "chunk_id").distinct()
+    numbers = ("n_terms", "hits", "matched", "phrase")
+
+    def meet(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        if len(texts) and len(asked):
+            return _lexical_rows(texts, asked, place, k)
+        fields = [asked.schema.field(name) for name in ("query_id", *SCOPE)] + [texts.schema.field(name) for name in place]
+        return pa.schema([*fields, *((name, pa.int64()) for name in numbers)]).empty_table()
+
+    schema = [*(f"{name} {kind}" for name, kind in kinds.items()), *(f"{name} long" for name in numbers)]
+    return left.cogroup(right).applyInArrow(meet, ", ".join(schema))
 
 
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT) -> DataFrame:
@@ -193,18 +229,14 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
     One ranking serves both tiers: strict rows sort first, so the top k of the mixed order holds
     exactly the rows of the winning tier.
     """
-    scored = lexical_scores(chunks, queries).select(
-        "query_id", *SCOPE, "chunk_id",
-        (F.col("matched") == F.col("n_terms")).alias("is_strict"),
+    place = ["file_path", "start_line", "chunk_id"]
+    scored = lexical_scores(chunks, queries, place, k).select(
+        "query_id", *SCOPE, *place, (F.col("matched") == F.col("n_terms")).alias("is_strict"),
         (F.col("hits") + F.col("phrase") + F.col("matched") / F.col("n_terms")).alias("raw_score"),
     )
-    located = scored.join(chunks.select(*SCOPE, "chunk_id", "file_path", "start_line"), [*SCOPE, "chunk_id"])
-    ranked = scale.top_k(
-        located, ["query_id"],
-        [F.desc("is_strict"), F.desc("raw_score"), F.asc("file_path"), F.asc("start_line"), F.asc("chunk_id")], k,
-    )
-    best_tier = ranked.groupBy("query_id").agg(F.max("is_strict").alias("_tier"))
-    return ranked.join(best_tier, "query_id").where(F.col("is_strict") == F.col("_tier")).drop("_tier")
+    ranked = scale.top_k(scored, ["query_id"], [F.desc("is_strict"), F.desc("raw_score"), *map(F.asc, place)], k)
+    tier = F.max("is_strict").over(Window.partitionBy("query_id"))
+    return ranked.withColumn("_tier", tier).where(F.col("is_strict") == F.col("_tier")).drop("_tier")
 
 
 def _stems(words: DataFrame) -> DataFrame:

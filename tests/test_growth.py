@@ -73,3 +73,33 @@ def test_places_are_not_gathered_per_question(spark):
             seen += 1
             assert "query_id#" not in node.output().mkString()
     assert seen
+
+
+def test_lexical_pairs_are_not_shuffled(spark, monkeypatch):
+    """Every pair of a question and a chunk that share a word was shuffled; now a task hands on its best k of each question."""
+    monkeypatch.setattr(R, "SLICE_CHUNKS", 2)
+    monkeypatch.setattr(R, "BLOCK_QUESTIONS", 2)
+    texts = ["login token page", "the Token of a login; token", "concatenate", "page page", None, "", "login", "a token page of login"]
+    chunks = spark.createDataFrame(
+        [("a", 1, i, f"f{9 - i}" if i else None, 1, text) for i, text in enumerate(texts)] + [("b", 1, 20, "f", 1, "login token")],
+        "repository_id string, index_version int, chunk_id long, file_path string, start_line int, content string")
+    queries = spark.createDataFrame(
+        [("a", 1, "both", "login token"), ("a", 1, "any", "login absent"), ("a", 1, "cat", " cat"), ("a", 1, "said", "Token of a login"), ("a", 1, "none", "of the"), ("b", 1, "b", "token")],
+        "repository_id string, index_version int, query_id string, query_text string")
+    found = R.lexical_topk(chunks, queries, 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.is_strict, r.raw_score)
+    assert got == {
+        "both": {1: (0, True, 4.0), 2: (1, True, 4.0), 3: (7, True, 3.0)},
+        "any": {1: (0, False, 1.5), 2: (7, False, 1.5), 3: (6, False, 1.5)},
+        "cat": {1: (2, False, 1.0)}, "said": {1: (1, True, 5.0), 2: (0, True, 3.0), 3: (7, True, 3.0)}, "b": {1: (20, True, 3.0)},
+    }
+    nodes, joins = [found._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        joined = node.output().mkString() if node.nodeName() == "Join" else ""
+        assert not ("chunk_id#" in joined and "query_id#" in joined)
+        joins += node.nodeName() == "FlatMapCoGroupsInArrow"
+    assert joins == 1
