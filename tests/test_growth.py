@@ -1,10 +1,14 @@
 """Plans and steps that have to stay bounded when the tables grow."""
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from codelode.functions import lookup
 from codelode.operators import evidence as E
+from codelode.operators import hybrid as H
+from codelode.operators import rank as K
 from codelode.operators import retrieve as R
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +107,20 @@ def test_lexical_pairs_are_not_shuffled(spark, monkeypatch):
         assert not ("chunk_id#" in joined and "query_id#" in joined)
         joins += node.nodeName() == "FlatMapCoGroupsInArrow"
     assert joins == 1
+
+
+def test_ranking_carries_no_texts(spark):
+    """The texts of all candidates went through each step of the ranking, to be read for the first k rows only."""
+    scope = "repository_id string, index_version int"
+    chunks = spark.createDataFrame(
+        [("a", 1, f"c{i}", "f", 10 * i, 10 * i + 9, f"text {i}", None) for i in (2, 10, 30)],
+        f"{scope}, chunk_id string, file_path string, start_line int, end_line int, content string, symbol_name string")
+    queries = spark.createDataFrame([("a", 1, "q", "words")], f"{scope}, query_id string, query_text string")
+    found = spark.createDataFrame(
+        [("q", f"c{i}", "lexical", float(i), []) for i in (2, 10, 30)],
+        "query_id string, chunk_id string, signal string, raw_score double, matched array<struct<name:string,match_type:string>>")
+    fused = H.fuse(found, chunks, queries)
+    assert "content" not in fused.columns
+    merged = K.merge_runs(K.adjacent_runs(K.overlap_survivors(fused.withColumn("start_line", F.expr("if(chunk_id = 'c10', 30, start_line)")), ["signals"])))
+    top = H.with_texts(merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("start_line"))), chunks)
+    assert [(r.source_ids, r.content) for r in top.orderBy("rank").collect()] == [(["c10", "c2"], "text 2\ntext 10"), (["c30"], "text 30")]
