@@ -124,3 +124,14 @@ def test_ranking_carries_no_texts(spark):
     merged = K.merge_runs(K.adjacent_runs(K.overlap_survivors(fused.withColumn("start_line", F.expr("if(chunk_id = 'c10', 30, start_line)")), ["signals"])))
     top = H.with_texts(merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("start_line"))), chunks)
     assert [(r.source_ids, r.content) for r in top.orderBy("rank").collect()] == [(["c10", "c2"], "text 2\ntext 10"), (["c30"], "text 30")]
+
+
+def test_citations_are_checked_once_for_their_summary(spark):
+    """Totals and the histogram each read the checks, so all their joins ran twice."""
+    checked = spark.createDataFrame(
+        [("r", "a", None), ("r", "b", "X"), ("r", "a", None), ("r", "c", "X"), ("r", "d", "Y"), ("s", "a", None), ("t", "b", "Y"), ("u", None, None)],
+        "response_id string, evidence_id string, reason string")
+    got = {r.response_id: (r.total, r.accepted, r.rejected, r.kept_ids, r.reasons) for r in E.citation_summary(checked).collect()}
+    assert got == {"r": (5, 2, 3, ["a"], {"X": 2, "Y": 1}), "s": (1, 1, 0, ["a"], {}), "t": (1, 0, 1, [], {"Y": 1}), "u": (1, 1, 0, [], {})}
+    plan = entry.queries()["citation_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
