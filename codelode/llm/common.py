@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.session import ensure_checkpoint_dir, stored
+from codelode.session import saved, stored
 
 WHITE_SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
 
@@ -19,18 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(frame: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a frame as Parquet below the shared checkpoint folder and read it again.
-
-    Unlike a checkpoint the files are compressed and can be read by column, or by the values of the columns `by`.
-    """
-    spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    frame.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def unused_names(frame: DataFrame, *wanted: str) -> list[str]:
     """The wanted column names, with signs added to those that the frame has (in any case)."""
     taken, out = {name.lower() for name in frame.columns}, []

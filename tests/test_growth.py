@@ -135,3 +135,10 @@ def test_citations_are_checked_once_for_their_summary(spark):
     assert got == {"r": (5, 2, 3, ["a"], {"X": 2, "Y": 1}), "s": (1, 1, 0, ["a"], {}), "t": (1, 0, 1, [], {"Y": 1}), "u": (1, 1, 0, [], {})}
     plan = entry.queries()["citation_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 3
+
+
+def test_intervals_are_ranked_once(spark):
+    """Each pass over the intervals ranked all candidates again, and the survivors were looked up in them."""
+    kept = entry.queries()["overlap_dedupe"](spark, SF)
+    assert kept.inputFiles() and not any("lineitem" in name for name in kept.inputFiles())
+    assert "LeftSemi" not in kept._jdf.queryExecution().optimizedPlan().toString()
