@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from codelode.session import saved, stored
 
 WHITE_SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
+#: Edges that a task joins at once.
+LOCAL_EDGES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,33 +159,51 @@ def local_roots(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
             return nodes, nodes[root]
 
 
+def _locally_joined(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: each task gives its nodes one edge to the smallest node that it can reach there."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= LOCAL_EDGES:
+                yield joined(held)
+                held, rows = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        nodes, roots = local_roots(table["a"].to_numpy(), table["b"].to_numpy())
+        other = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(x[other], table["a"].type) for x in (nodes, roots)], ["a", "b"])
+
+    return edges.mapInArrow(per_task, edges.schema)
+
+
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): component is the smallest node reachable. Nodes without links are absent.
 
-    Alternating large-star and small-star steps: every round keeps at most as many edges as before and ends with one
-    edge from each node to its smallest one. Minima are combined before each shuffle; hubs meet in plain joins that
-    adaptive execution can split. Edges are cut from their lineage each round.
+    Tasks first join what they hold themselves, so that few links, which are one task, need no round: the driver keeps a
+    thread for each exchange of each round. Then large-star and small-star steps alternate until each node has one edge, to
+    its smallest one. Every round keeps at most as many edges as before. Minima are combined before each shuffle; hubs meet
+    in plain joins that adaptive execution can split. Edges are cut from their lineage each round.
     """
-    edges = stored(
-        links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
-    )
-    before = _state(edges)
-    while before[0]:
+    first = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
+    edges = stored(_locally_joined(first))
+    while not _settled(edges):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least).distinct())
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        edges.select(F.col("b"), F.col("b")).distinct()
-    )
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return row[0], row[1]
+        edges = stored(_locally_joined(small.union(least).distinct()))
+    return edges.union(edges.select("b", "b")).toDF("node", "component").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether a node with a smaller one has no other node: then each edge leads to its component's smallest node."""
+    ends = edges.selectExpr("a AS node", "b AS up", "false AS low").union(edges.selectExpr("b", "null", "true"))
+    open_ = ends.groupBy("node").agg(F.min("up").alias("m"), F.max("up").alias("n"), F.bool_or("low").alias("low"))
+    return open_.where("m <> n OR (low AND m IS NOT NULL)").isEmpty()

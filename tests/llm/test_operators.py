@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.llm import decontam, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality, revisits, sharding, token_counts
+from codelode.llm import common, decontam, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality, revisits, sharding, token_counts
 from codelode.llm.common import connected_components
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,20 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_few_links_need_no_round(spark, monkeypatch):
+    """Each round's exchanges keep threads in the driver, and a whole round was run to see that nothing changes."""
+    rounds = []
+    monkeypatch.setattr(common, "stored", lambda frame, put=common.stored: rounds.append(put(frame)) or rounds[-1])
+    links = [(10 * i, 10 * i + k) for i in range(1, 6) for k in range(1, 6)] + [(13, 21), (25, 31)]
+    root = component_of(links)
+    found = connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in {x for pair in links for x in pair})
+    assert len(rounds) == 1
+    parted = lambda edges, join=common._locally_joined: join(edges.repartition(7, F.rand(1)))
+    monkeypatch.setattr(common, "_locally_joined", parted)
+    assert sorted(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect())) == sorted(map(tuple, found))
+
+
 # --- 1 token counts
 
 def test_counts_equal_a_unigram_model_on_the_same_pieces(spark, documents, odd_rows):
