@@ -10,6 +10,7 @@ from codelode.operators import evidence as E
 from codelode.operators import hybrid as H
 from codelode.operators import rank as K
 from codelode.operators import retrieve as R
+from codelode.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,17 @@ def test_symbols_are_not_sent_to_every_task(spark, key):
     assert "BroadcastExchange" not in plan
 
 
+def test_related_chunks_are_not_gathered(spark):
+    """Questions, seeds and their symbols are stored or exploded, so they looked small and went through the driver."""
+    t = Tables(spark, SF)
+    matches = R.symbol_matches(t.symbols(), t.symbol_queries())
+    ranked = R.owner_pairs(matches, t.symbol_chunks()).select("query_id", *R.SCOPE, "chunk_id", "score", "file_path", "start_line", "end_line", F.lit("symbol").alias("signal"))
+    added = K.structural_expand(ranked, ranked, t.symbol_chunks(), t.symbols(), t.edges())
+    for frame in (ranked, added, entry.queries()["related_chunks"](spark, SF)):
+        assert "BroadcastExchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert added.count()
+
+
 def test_fuzzy_names_meet_their_first_symbols_only(spark):
     """Every symbol of a name met every question close to that name before the best ten were taken."""
     rows = [("c", 1, 1000 + i, "load_thing") for i in range(400)] + [("c", 1, i, "load_think") for i in range(400)]
