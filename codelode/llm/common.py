@@ -185,13 +185,14 @@ def _locally_joined(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): component is the smallest node reachable. Nodes without links are absent.
 
-    Tasks first join what they hold themselves, so that few links, which are one task, need no round: the driver keeps a
-    thread for each exchange of each round. Then large-star and small-star steps alternate until each node has one edge, to
-    its smallest one. Every round keeps at most as many edges as before. Minima are combined before each shuffle; hubs meet
-    in plain joins that adaptive execution can split. Edges are cut from their lineage each round.
+    Tasks first join what they hold themselves. Up to LOCAL_EDGES links, 16 bytes each, are read by one task and need no
+    round: the driver keeps a thread for each exchange of each round, and each stored frame is a file for each task. Of more
+    links, large-star and small-star steps alternate until each node has one edge, to its smallest one. Every round keeps at
+    most as many edges as before. Minima are combined before each shuffle; hubs meet in plain joins that adaptive execution
+    can split. Edges are cut from their lineage each round. `links` are read twice and should be stored.
     """
-    first = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
-    edges = stored(_locally_joined(first))
+    first = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b")
+    edges = stored(_locally_joined(first.coalesce(1) if first.count() <= LOCAL_EDGES else first.distinct()))
     while not _settled(edges):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

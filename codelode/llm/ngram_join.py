@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from codelode.llm.common import connected_components, mix, saved, shingle_sets, text_bytes, word_hashes
 
-#: Text per unit of work inside a task; bounds the arrays that a task holds.
+#: Text per slice, whose shingles are packed into one row for each part.
 SLICE_BYTES = 4 << 20
+#: Text whose words are hashed at once: the arrays of that take some twenty times its bytes.
+HASHED_BYTES = 512 << 10
 #: Shingles keep 48 bits of their hash, above them stands the frequency class: the global rare-first order.
 HASH_BITS = 48
 HUB_ROUNDS = 2
@@ -49,7 +51,7 @@ def _deal(docs: DataFrame, size: int, parts: int) -> DataFrame:
                 begin, number = end, number + 1
 
     def slice_rows(number: int, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        value, owner = shingle_sets(*word_hashes(data, offsets), size)
+        value, owner = _slice_sets(data, offsets, size)
         count = np.bincount(owner, minlength=len(ids)).astype("<i8")
         digests = np.zeros((2, len(ids)), dtype=np.uint64)
         if len(value):
@@ -73,6 +75,20 @@ def _deal(docs: DataFrame, size: int, parts: int) -> DataFrame:
     return source.mapInArrow(per_batch, _PARTS_SQL)
 
 
+def _slice_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """`shingle_sets` of the rows of a slice, made from about HASHED_BYTES of text at a time."""
+    parts, begin, rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0, len(offsets) - 1
+    while begin < rows:
+        end = int(np.searchsorted(offsets, offsets[begin] + HASHED_BYTES, side="right")) - 1
+        end = min(max(end, begin + 1), rows)
+        part = offsets[begin : end + 1]
+        value, owner = shingle_sets(*word_hashes(data[part[0] : part[-1]], part - part[0]), size)
+        parts.append((value, owner + begin))
+        begin = end
+    value, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return value, owner
+
+
 def _packed(short: np.ndarray) -> bytes:
     return (short & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (short >> np.uint64(32)).astype("<u2").tobytes()
 
@@ -230,8 +246,9 @@ def near_duplicates(docs: DataFrame, *, size: int, threshold: Fraction, hub_roun
         real = lambda c: F.when(F.col(c) <= top, F.col(c)).alias(c)
         return found.select(real("doc_id"), "n_shingles", real("component_id"))
     sets = shared_sets(docs, size, threshold).withColumn("class", F.xxhash64("n_shingles", "s1", "s2"))
-    postings = saved(_postings(sets, threshold), "postings")
-    lists = postings.groupBy("key").agg(F.count("*").alias("len")).where("len > 1").select("key")
+    postings = _postings(sets, threshold)
+    # Counting doc_id keeps the exchange below both uses the same, so it is made once.
+    lists = postings.groupBy("key").agg(F.count("doc_id").alias("len")).where("len > 1").select("key")
     postings = saved(postings.join(lists, "key"), "shared-postings")
     linked = sets.where("keys IS NOT NULL")
     smallest = linked.groupBy("class").agg(F.min("doc_id").alias("first"))

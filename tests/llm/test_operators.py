@@ -61,6 +61,38 @@ def test_few_links_need_no_round(spark, monkeypatch):
     assert sorted(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect())) == sorted(map(tuple, found))
 
 
+def test_few_links_are_joined_by_one_task_however_many_hold_them(spark, monkeypatch):
+    """With partitions that aren't merged, each round stored a file for each of them."""
+    puts = []
+    monkeypatch.setattr(common, "stored", lambda frame, put=common.stored: puts.append(put(frame)) or puts[-1])
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)]
+        frame = spark.createDataFrame(links, "a long, b long").repartition(9)
+        found = {r.node: r.component for r in connected_components(frame, "a", "b").collect()}
+        assert found == {x: 0 if x < 100 else 100 for pair in links for x in pair}
+        assert [x.rdd.getNumPartitions() for x in puts] == [1]
+        monkeypatch.setattr(common, "LOCAL_EDGES", 20)
+        assert {r.node: r.component for r in connected_components(frame, "a", "b").collect()} == found
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+
+
+def test_sets_of_a_slice_are_made_piece_by_piece(monkeypatch):
+    texts = ["a b c d e", "", "a b", "x " * 50 + "y z", "a b c d e", "  ", "q"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    whole = common.shingle_sets(*common.word_hashes(data, offsets), 3)
+    sizes = []
+    hashed = lambda part, *rest: sizes.append(len(part)) or common.word_hashes(part, *rest)
+    monkeypatch.setattr(ngram_join, "word_hashes", hashed)
+    monkeypatch.setattr(ngram_join, "HASHED_BYTES", 12)
+    pieces = ngram_join._slice_sets(data, offsets, 3)
+    assert all((a == b).all() for a, b in zip(pieces, whole, strict=True))
+    assert len(sizes) > 2 and sum(sizes) == len(data)
+
+
 # --- 1 token counts
 
 def test_counts_equal_a_unigram_model_on_the_same_pieces(spark, documents, odd_rows):
