@@ -371,8 +371,12 @@ def owner_pairs(matches: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def symbol_owner_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Best score per owning chunk with the matched symbols collected in place order."""
-    return owner_pairs(matches, chunks).groupBy("query_id", *SCOPE, "chunk_id", "file_path").agg(
+    """Best score per owning chunk with the matched symbols collected in place order.
+
+    Pairs are dealt first: a task of the join would gather its sets in memory before, and each set once more after.
+    """
+    pairs = scale.dealt(owner_pairs(matches, chunks), "query_id", "chunk_id")
+    return pairs.groupBy("query_id", *SCOPE, "chunk_id", "file_path").agg(
         F.max("score").alias("raw_score"),
         F.array_sort(
             F.collect_set(F.struct(
@@ -383,7 +387,10 @@ def symbol_owner_chunks(matches: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def contained_symbols(matches: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Matched symbols of each chunk plus every symbol whose start line lies in it; a match wins over plain containment."""
+    """Matched symbols of each chunk plus every symbol whose start line lies in it; a match wins over plain containment.
+
+    Rows are dealt before the best type of each is picked: the join's few large tasks would sort all that they make.
+    """
     hits = owner_pairs(matches, chunks).select(
         "query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end", "match_type", F.lit(0).alias("_priority")
     )
@@ -400,6 +407,7 @@ def contained_symbols(matches: DataFrame, chunks: DataFrame, symbols: DataFrame)
         "query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end",
         F.lit("contained").alias("match_type"), F.lit(1).alias("_priority"),
     )
-    return hits.unionByName(added).groupBy("query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end").agg(
+    rows = scale.dealt(hits.unionByName(added), "query_id", "chunk_id")
+    return rows.groupBy("query_id", *SCOPE, "chunk_id", "name", "symbol_start", "symbol_end").agg(
         F.min(F.struct("_priority", "match_type"))["match_type"].alias("match_type")
     )

@@ -33,6 +33,13 @@ def test_related_chunks_are_not_gathered(spark):
     assert added.count()
 
 
+@pytest.mark.parametrize("key", ["symbol_owner_chunks", "contained_symbols"])
+def test_pairs_are_dealt_before_they_are_grouped(spark, key):
+    """The join's tasks sorted or gathered all rows that they made, to group them before the shuffle."""
+    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in next(line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_fuzzy_names_meet_their_first_symbols_only(spark):
     """Every symbol of a name met every question close to that name before the best ten were taken."""
     rows = [("c", 1, 1000 + i, "load_thing") for i in range(400)] + [("c", 1, i, "load_think") for i in range(400)]
