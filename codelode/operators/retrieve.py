@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codelode.functions import scale
 from codelode.functions import text as X
 from codelode.functions.stemmer import english_stem
+from codelode.session import stored
 
 SEMANTIC_LIMIT = 30
 LEXICAL_LIMIT = 30
@@ -240,8 +241,63 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
 
 
 def _stems(words: DataFrame) -> DataFrame:
-    """(word, term) of the distinct words, so a word is stemmed once, however often it stands in the corpus."""
-    return words.select("word").distinct().withColumn("term", english_stem(F.col("word")))
+    """(word, term) of the distinct words, so a word is stemmed once, however often it stands in the corpus.
+
+    A term that can't be null keeps joins from testing the stem of every word of the texts before they are made distinct.
+    """
+    return words.select("word").distinct().withColumn("term", F.coalesce(english_stem(F.col("word")), F.lit("")))
+
+
+def _cover_rows(texts: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The k best rows of one slice of chunks for each question of one block; only strict ones where there are any.
+
+    Each asked word's places are one sorted run of numbers (chunk, place), so a question merges the runs of its own words.
+    """
+    texts, asked = texts.combine_chunks(), asked.combine_chunks()
+    ids = texts["chunk_id"].combine_chunks()
+    chunks = ids.unique()
+    chunks = chunks.take(pc.array_sort_indices(chunks, null_placement="at_start"))
+    tokens = pc.split_pattern(pc.fill_null(texts["_tokens"].combine_chunks(), ""), " ")
+    sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    sought = asked["_words"].combine_chunks().flatten()
+    words = sought.unique()
+    word = pc.index_in(coded.dictionary, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+    held = np.flatnonzero(word >= 0)
+    width = int(sizes.max(initial=0)) + 1
+    first_token = np.repeat(np.cumsum(sizes) - sizes, sizes)[held]
+    chunk = np.repeat(pc.index_in(ids, value_set=chunks).to_numpy(zero_copy_only=False).astype(np.int64), sizes)[held]
+    place, word = chunk * width + (held - first_token), word[held]
+    order = np.lexsort((place, word))
+    place, first = place[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+    codes = pc.index_in(sought, value_set=words).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(asked["_words"].combine_chunks()).to_numpy(zero_copy_only=False))
+
+    figures: dict[str, list[np.ndarray]] = {name: [] for name in ("chunk", "question", "raw_score", "is_strict")}
+    for i, (families, n_terms) in enumerate(zip(asked["_families"].to_pylist(), asked["n_terms"].to_pylist())):
+        own = codes[(ends[i - 1] if i else 0) : ends[i]]
+        terms, count = np.repeat(np.arange(len(families)), families), max(len(families), 1)
+        runs = [place[first[c] : first[c + 1]] * count + t for c, t in zip(own, terms)]
+        hits = np.sort(np.concatenate(runs), kind="stable") if runs else place[:0]
+        if not len(hits):
+            continue
+        at, term = np.divmod(hits, count)
+        owner = at // width
+        opens = np.concatenate(([True], owner[1:] != owner[:-1]))
+        group, live = np.cumsum(opens) - 1, owner[opens]
+        covers = np.where(~opens[1:] & (term[1:] != term[:-1]), 1.0 / (np.diff(at) + 1), 0.0)
+        density = np.bincount(group[1:], weights=covers, minlength=len(live))
+        matched = np.bincount(np.unique(group * count + term) // count, minlength=len(live))
+        scores = np.where(matched == 1, np.bincount(group) * 0.1, np.floor(density * 10**COVER_DIGITS + 0.5) / 10**COVER_DIGITS)
+        strict = matched == n_terms
+        kept = np.flatnonzero(strict) if strict.any() else np.arange(len(live))
+        best = kept[_best_rows(live[kept], scores[kept], k)]
+        for name, values in (("chunk", live[best]), ("question", np.full(len(best), i)), ("raw_score", scores[best]), ("is_strict", strict[best])):
+            figures[name].append(values)
+    kinds = {"chunk": np.int64, "question": np.int64, "raw_score": np.float64, "is_strict": np.bool_}
+    merged = {name: pa.array(np.concatenate([np.zeros(0, kinds[name]), *values])) for name, values in figures.items()}
+    whose = asked.select(["query_id", *SCOPE]).take(merged.pop("question"))
+    return pa.table({**{name: whose[name] for name in whose.column_names}, "chunk_id": chunks.take(merged.pop("chunk")), **merged})
 
 
 def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT) -> DataFrame:
@@ -249,43 +305,44 @@ def fulltext_rank(chunks: DataFrame, queries: DataFrame, k: int = LEXICAL_LIMIT)
 
     A cover is the span between two neighbouring hits of different terms; a lone term counts 1/10
     per hit. Stems are those of the English Porter algorithm. Questions' stems meet the stems of the
-    corpus' vocabulary first, so only words that some question asks for are looked up in the texts. A chunk's places are
-    gathered once, by term, and each question picks its own from them inside the row: what is shuffled grows with the
-    texts, not with the questions that share their words.
+    corpus' vocabulary first, so a question goes on with the words that it asks for. Slices of chunks and blocks of
+    questions then meet as in lexical_scores: a text moves once, and a task hands on no more than k rows per question, so
+    pairs of a question and a chunk are never shuffled.
     """
     said = queries.select(*SCOPE, "query_id", F.explode(X.query_terms(F.col("query_text"))).alias("word"))
     asked = said.join(_stems(said), "word").select(*SCOPE, "query_id", "term").distinct()
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     vocabulary = chunks.select(F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("word")).distinct()
-    wanted = _stems(vocabulary).join(asked.select(*SCOPE, "term").distinct(), "term").select(*SCOPE, "word", "term")
-    placed = chunks.select(*SCOPE, "chunk_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "word"))
-    found = placed.join(wanted, [*SCOPE, "word"]).groupBy(*SCOPE, "chunk_id", "term").agg(F.collect_list("pos").alias("places"))
-    terms = scale.dealt(found.groupBy(*SCOPE, "chunk_id").agg(F.collect_list(F.struct("term", "places")).alias("_terms")), *SCOPE, "chunk_id")
-    questions = asked.groupBy("query_id", *SCOPE).agg(F.collect_set("term").alias("_asked"))
-    own = F.filter("_terms", lambda t: F.array_contains("_asked", t["term"]))
-    per_chunk = terms.join(questions, SCOPE).withColumn("_own", own).where(F.size("_own") > 0).select(
-        "query_id", *SCOPE, "chunk_id", F.size("_own").alias("matched"),
-        F.array_sort(F.flatten(F.transform(
-            "_own", lambda t: F.transform(t["places"], lambda at: F.struct(at.alias("pos"), t["term"].alias("term")))
-        ))).alias("hits"),
+    families = _stems(vocabulary).join(asked.select("term").distinct(), "term").groupBy("term").agg(F.collect_list("word").alias("words"))
+    questions = asked.join(scale.unsent(families), "term").groupBy("query_id", *SCOPE).agg(
+        F.array_sort(F.collect_list(F.struct("term", "words"))).alias("_own")
+    ).join(scale.unsent(sizes), "query_id").select(
+        *SCOPE, "query_id", "n_terms", F.flatten(F.transform("_own", lambda t: t["words"])).alias("_words"),
+        F.transform("_own", lambda t: F.size(t["words"])).alias("_families"),
     )
-    neighbours = F.zip_with(
-        F.slice("hits", F.lit(1), F.size("hits") - 1),
-        F.slice("hits", F.lit(2), F.size("hits") - 1),
-        lambda a, b: F.when(a["term"] != b["term"], 1.0 / (b["pos"] - a["pos"] + 1)).otherwise(0.0),
-    )
-    density = F.when(F.col("matched") == 1, F.size("hits") * 0.1).otherwise(
-        F.round(F.aggregate(neighbours, F.lit(0.0), lambda total, value: total + value), COVER_DIGITS)
-    )
-    scored = per_chunk.join(sizes, "query_id").select(
-        "query_id", *SCOPE, "chunk_id", density.alias("raw_score"),
-        (F.col("matched") == F.col("n_terms")).alias("is_strict"),
+    # Rows of one chunk id are one chunk and stay together, so they count once.
+    counted = chunks.groupBy(*SCOPE, "chunk_id").agg(F.sum(F.octet_length("content")).alias("_bytes"))
+    left, right = scale.cut_to_meet(
+        chunks.select(*SCOPE, "chunk_id", F.array_join(X.tokens(F.col("content")), " ").alias("_tokens")),
+        stored(questions), SCOPE, ("chunk_id", "query_id"),
+        F.greatest(F.count("chunk_id") / SLICE_CHUNKS, F.coalesce(F.sum("_bytes"), F.lit(0)) / SLICE_BYTES, F.lit(1)),
+        F.count("*") / BLOCK_QUESTIONS, counted,
     )
+    kinds = {name: frame.schema[name].dataType.simpleString() for frame, names in ((queries, ["query_id", *SCOPE]), (chunks, ["chunk_id"])) for name in names}
+
+    def meet(texts: pa.Table, questions: pa.Table) -> pa.Table:
+        if len(texts) and len(questions):
+            return _cover_rows(texts, questions, k)
+        fields = [*(questions.schema.field(name) for name in ("query_id", *SCOPE)), texts.schema.field("chunk_id")]
+        return pa.schema([*fields, ("raw_score", pa.float64()), ("is_strict", pa.bool_())]).empty_table()
+
+    schema = [*(f"{name} {kind}" for name, kind in kinds.items()), "raw_score double", "is_strict boolean"]
+    scored = left.cogroup(right).applyInArrow(meet, ", ".join(schema))
     ranked = scale.top_k(
         scored, ["query_id"], [F.desc("is_strict"), F.desc("raw_score"), F.asc("chunk_id")], k
     )
-    tier = ranked.groupBy("query_id").agg(F.max("is_strict").alias("_tier"))
-    return ranked.join(tier, "query_id").where(F.col("is_strict") == F.col("_tier")).drop("_tier")
+    tier = F.max("is_strict").over(Window.partitionBy("query_id"))
+    return ranked.withColumn("_tier", tier).where(F.col("is_strict") == F.col("_tier")).drop("_tier")
 
 
 # ---------------------------------------------------------------- symbols

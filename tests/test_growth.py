@@ -98,6 +98,36 @@ def test_places_are_not_gathered_per_question(spark):
     assert seen
 
 
+def test_covers_are_ranked_where_texts_meet_questions(spark, monkeypatch):
+    """Every chunk was joined to every question of its corpus version, and each word of the texts was stemmed before the words were distinct."""
+    monkeypatch.setattr(R, "SLICE_CHUNKS", 2)
+    monkeypatch.setattr(R, "BLOCK_QUESTIONS", 2)
+    texts = ["logins token page", "the Tokens of a login; token", "page page", None, "", "login", "absent login page of tokens"]
+    chunks = spark.createDataFrame(
+        [("a", 1, i, text) for i, text in enumerate(texts)] + [("a", 1, 5, "tokens"), ("a", 1, None, "login token"), ("b", 1, 20, "login token"), (None, 1, 21, "login")],
+        "repository_id string, index_version int, chunk_id long, content string")
+    queries = spark.createDataFrame(
+        [("a", 1, "both", "login token"), ("a", 1, "both", "login token"), ("a", 1, "any", "page missing"), ("a", 1, "none", "of the"), ("a", 1, "far", "missing"), ("a", 1, None, "login"), ("b", 1, "b", "tokens")],
+        "repository_id string, index_version int, query_id string, query_text string")
+    found = R.fulltext_rank(chunks, queries, 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.is_strict, r.raw_score)
+    # The two rows of chunk 5 are one text whose first words share a place.
+    assert got == {
+        "both": {1: (5, True, 1.0), 2: (1, True, 0.75), 3: (None, True, 0.5)}, "any": {1: (2, False, 0.2), 2: (0, False, 0.1), 3: (6, False, 0.1)},
+        "b": {1: (20, True, 0.1)},
+    }
+    nodes, met = [found._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        said = node.output().mkString() if node.nodeName() in ("Join", "Window") else ""
+        assert not ("chunk_id#" in said and "query_id#" in said and "_terms#" in said)
+        met += node.nodeName() == "FlatMapCoGroupsInArrow"
+    assert met == 1
+
+
 def test_lexical_pairs_are_not_shuffled(spark, monkeypatch):
     """Every pair of a question and a chunk that share a word was shuffled; now a task hands on its best k of each question."""
     monkeypatch.setattr(R, "SLICE_CHUNKS", 2)
