@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from codelode.functions import lookup
 from codelode.operators import evidence as E
 from codelode.operators import hybrid as H
+from codelode.operators import memory as M
 from codelode.operators import rank as K
 from codelode.operators import retrieve as R
 from codelode.sources.tables import Tables
@@ -86,6 +87,62 @@ def test_memories_of_contexts_are_not_shuffled_as_pairs(spark, monkeypatch):
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapCoGroupsInArrow"
 
 
+def test_found_memories_are_numbered_without_sorting_pairs(spark, monkeypatch):
+    """Pairs were made once per shared word, shuffled to be made distinct and sorted to be numbered."""
+    monkeypatch.setattr(lookup, "SLICE_ITEMS", 3)
+    monkeypatch.setattr(lookup, "BLOCK_NUMBERED", 2)
+    monkeypatch.setattr(lookup, "PIECE_QUESTIONS", 1)
+    rows = [("a", i, "login tokens", f"page{i % 3} configuration_tables", False, i % 4) for i in range(9)]
+    rows += [("a", 3, "login", "x", False, 9), ("b", 50, None, "login", False, None), ("b", 51, "login", "", True, 1), (None, 60, "login", "", False, 1), ("a", None, "login", "", False, 1)]
+    memories = spark.createDataFrame(rows, "repository_id string, memory_id long, topic string, content string, is_stale boolean, updated_at int")
+    asked = [("x", "a", "token login"), ("x", "a", "PAGE1"), ("y", "a", "?"), ("z", "a", "page2"), ("long", "a", "configuration_table"), ("not", "a", "configuration_lists"), ("n", "a", None), (None, "b", "ogi"), ("w", None, "login")]
+    queries = spark.createDataFrame(asked, "query_id string, repository_id string, query_text string")
+
+    def order(ids):
+        dated = [(r[5], r[1]) for r in rows[:10] if r[1] in ids]
+        return [i for _, i in sorted(dated, key=lambda p: (-p[0], p[1]))]
+
+    def numbered(found):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, {})[r.position] = r.memory_id
+        return {q: [ids[at] for at in range(1, len(ids) + 1)] for q, ids in got.items()}
+
+    everything, expected = order(range(9)), {None: [50]}
+    expected |= {"x": everything, "y": everything, "long": everything, "z": order((2, 5, 8))}
+    found = M.memory_search(memories, queries)
+    assert numbered(found) == expected
+    assert numbered(M.memory_search(memories, queries, limit=2)) == {q: ids[:2] for q, ids in expected.items()}
+    several = queries.union(spark.createDataFrame([("y", "b", "absent"), ("y", "b", "login")], queries.schema))
+    assert numbered(M.memory_search(memories, several)) == expected | {"y": [*everything, 50]}
+    nodes = [found._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("Window", "Aggregate"):
+            said = node.output().mkString()
+            assert not ("query_id#" in said and "memory_id#" in said)
+
+
+def test_long_needles_meet_few_words(spark):
+    """A needle met every word that holds its first three letters; now up to eight letters have to agree."""
+    words = spark.createDataFrame([(w,) for w in ("authentication", "authenticated", "theorem", "them", "ab", "a" * 300)], "word string")
+    needles = spark.createDataFrame([(n,) for n in ("the", "them", "authentic", "authenticate", "authentications", "entica", "a" * 250)], "needle string")
+    pairs = lookup.word_pairs(words, needles)
+    assert sorted(map(tuple, pairs.collect())) == sorted([
+        ("the", "authentication"), ("the", "authenticated"), ("the", "theorem"), ("the", "them"), ("them", "them"), ("authentic", "authentication"), ("authentic", "authenticated"),
+        ("authenticate", "authenticated"), ("entica", "authentication"), ("entica", "authenticated"), ("a" * 250, "a" * 300),
+    ])
+    assert "substring(needle" in pairs._jdf.queryExecution().optimizedPlan().toString() and "1, 8)" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_memories_are_numbers(spark):
+    """Corpus and keyword were written out for each key of each copy of a memory and of a question."""
+    plan = entry.queries()["memory_filter"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    for side in (plan.left(), plan.right()):
+        assert any(f.name() == "keys" and f.dataType().simpleString() == "array<bigint>" for f in [side.schema().apply(i) for i in range(side.schema().size())])
+
+
 def test_places_are_not_gathered_per_question(spark):
     """Each place of a word was shuffled once for every question that has the word."""
     nodes, seen = [entry.queries()["fulltext_rank"](spark, SF)._jdf.queryExecution().optimizedPlan()], 0
