@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from codelode.functions import lookup
+from codelode.functions import lookup, scale
 from codelode.operators import evidence as E
 from codelode.operators import hybrid as H
 from codelode.operators import memory as M
@@ -248,3 +248,36 @@ def test_intervals_are_ranked_once(spark):
     kept = entry.queries()["overlap_dedupe"](spark, SF)
     assert kept.inputFiles() and not any("lineitem" in name for name in kept.inputFiles())
     assert "LeftSemi" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_read_once_to_reserve_web_rows(spark):
+    """The evidence was made distinct anew for the budget, for its web rows and for the row to reserve."""
+    plan = entry.queries()["web_reservation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    rows = [(c, f"{c}{i}", "CODE", 10, 0.9 - i / 100, True) for c in ("a", "b", "c", None) for i in range(5)]
+    rows += [("a", "aw", "WEB", 15, 0.1, True), ("a", "av", "WEB", 5, 0.05, True), ("b", "bw", "WEB", 5, 0.1, False), ("c", "cw", "WEB", 90, 0.1, True), (None, "w", "WEB", 12, 0.95, True), ("d", "dw", "WEB", 20, 0.5, None)]
+    evidence = spark.createDataFrame(rows, "context_id string, evidence_id string, source_type string, chars int, score double, is_external boolean").selectExpr(
+        "*", "false AS is_structural", "'f' AS file_path", "1 AS start_line")
+    got = {}
+    for r in E.web_reservation(evidence, items=4, chars=36).collect():
+        got.setdefault(r.context_id, []).append(r.evidence_id)
+    assert {c: sorted(ids) for c, ids in got.items()} == {
+        "a": ["a0", "a1", "aw"], "b": ["b0", "b1", "b2"], "c": ["c0", "c1", "c2"], None: ["None0", "None1", "None2", "w"], "d": ["dw"]}
+
+
+@pytest.mark.parametrize("longest", [0, 3, 100])
+def test_islands_of_long_and_short_keys(spark, monkeypatch, longest):
+    """Every key's rows went through eight shuffles to be cut into line blocks; now that is for long keys only."""
+    monkeypatch.setattr(scale, "LONG_KEY", longest)
+    spans = [("a", 1, 4, 1), ("a", 8, 9, 1), ("a", 700, 2000, 700), ("a", 900, 901, 700), ("a", 2004, 2005, 700), ("a", 2020, 2020, 2020), ("b", 5, None, 5), ("b", 9, 9, 9), ("c", 3, 3, 3), ("c", 3, 3, 3)]
+    frame = spark.createDataFrame([(*x, i) for i, x in enumerate(spans)] + [(None, 1, 2, 0, 20), ("a", None, 2, 0, 21)], "k string, s int, e int, want int, id int")
+    found = scale.islands(frame, ["k"], "s", "e", [F.asc("s"), F.asc("e"), F.asc("id")], 5)
+    shuffles = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == 1 if longest == 100 else shuffles > 1
+    assert sorted((r.id, r.island) for r in found.collect()) == [(i, x[3]) for i, x in enumerate(spans)]
+
+
+@pytest.mark.parametrize("key", ["overlap_dedupe", "adjacent_merge"])
+def test_intervals_move_once_to_find_their_runs(spark, key):
+    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
