@@ -386,7 +386,7 @@ def merge_tiny_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
         "start_line", "end_line", F.coalesce("symbol_name", F.lit("")).alias("symbol_name"),
         F.length("content").alias("chars"), "content", "chunk_type", "symbol_type", "parent_symbol",
     )
-    grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items")).join(source, keys)
+    grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items")).join(scale.unsent(source), keys)
     begin = F.struct(
         F.lit(0).alias("g"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(False).alias("open"),
         F.expr("array()").cast("array<int>").alias("groups"),
@@ -429,7 +429,7 @@ def _gap_rows(drafts: DataFrame, files: DataFrame) -> DataFrame:
     """One row per file with its text, offsets and the runs of lines that no draft covers."""
     keys = ["repository_id", "path"]
     spans = drafts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start_line", "end_line"))).alias("_spans"))
-    rows = with_lines(files.select(*keys, "content")).join(spans, keys, "left")
+    rows = with_lines(files.select(*keys, "content")).join(scale.unsent(spans), keys, "left")
     begin = F.struct(
         F.lit(0).alias("reach"), F.expr("array()").cast("array<struct<start_line:int,end_line:int>>").alias("gaps")
     )
@@ -562,13 +562,13 @@ def chunk_config(files: DataFrame) -> DataFrame:
 def chunk_fallback(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """One full-file chunk for every file that did not parse."""
     failed = parsed.where(~F.col("parse_ok")).select("repository_id", "path")
-    return whole_file_chunks(files.join(failed, ["repository_id", "path"], "left_semi"), "FALLBACK")
+    return whole_file_chunks(files.join(scale.unsent(failed), ["repository_id", "path"], "left_semi"), "FALLBACK")
 
 
 def chunk_table(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Route every file to its chunker and add language, line count and content hash."""
     keys = ["repository_id", "path"]
-    ok = files.join(parsed.where("parse_ok").select(*keys), keys, "left_semi")
+    ok = files.join(scale.unsent(parsed.where("parse_ok").select(*keys)), keys, "left_semi")
     drafts = split_large_chunks(chunk_symbols(parsed, ok))
     named = merge_tiny_chunks(drafts, ok).drop("merged_symbols")
     columns = [*keys, "chunk_type", "symbol_name", "symbol_type", "parent_symbol", "start_line", "end_line", "content", "source_type"]
@@ -590,7 +590,7 @@ def chunk_table(files: DataFrame, parsed: DataFrame) -> DataFrame:
         .unionByName(padded(chunk_fallback(files, parsed), None, "CODE"))
     )
     counts = files.select(*keys, X.line_count(F.col("content")).alias("file_line_count"))
-    return every.join(counts, keys).withColumn("language", P.language(F.col("path"))).withColumn(
+    return every.join(scale.unsent(counts), keys).withColumn("language", P.language(F.col("path"))).withColumn(
         "content_hash", F.sha2("content", 256)
     ).withColumn(
         "chunk_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelode.catalogue import CATALOGUE
+from codelode.functions.scale import unsent
 from codelode.operators import structure as C
 from codelode.session import stored
 from codelode.sources.code import CODE_SQL, code_files
@@ -182,7 +183,7 @@ def module_gap_chunks(spark, sf):
     """Every gap of these files is short, so each run is one section; longer runs are unit-tested."""
     parsed, files = parsed_code(spark, sf, reused=True)
     drafts = C.chunk_symbols(parsed, files)
-    ok = files.join(parsed.where("parse_ok").select("path"), "path", "left_semi")
+    ok = files.join(unsent(parsed.where("parse_ok").select("path")), "path", "left_semi")
     return C.module_gap_chunks(drafts, ok).drop("repository_id")
 
 

@@ -281,3 +281,9 @@ def test_islands_of_long_and_short_keys(spark, monkeypatch, longest):
 def test_intervals_move_once_to_find_their_runs(spark, key):
     plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("key", ["module_gap_chunks", "chunk_table"])
+def test_parsed_files_are_not_gathered(spark, key):
+    """Paths of parsed files and their drafts looked small, so they went through the driver to every task."""
+    assert "BroadcastExchange" not in entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
